@@ -101,7 +101,7 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
 def decode_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The n ids of a stream; all strides advance together, one table look-up each."""
     symbols, sizes, width = table
-    raw = np.frombuffer(bits + b"\\0" * 8, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
     view = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
     lanes = len(checkpoints)
     out = np.zeros((STRIDE, lanes), np.uint32)
