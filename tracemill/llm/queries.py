@@ -19,6 +19,12 @@ def _tokenizer(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm.quality import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_huffman_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.huffman import read_blocks, store_tokens
 
@@ -35,6 +41,15 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(rows.unionByName(planted)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm.langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    net = fit(docs.where(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+
+
 def op8_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.webp import text_media
 
@@ -48,8 +63,10 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op4_huffman_token_output": op4_huffman_token_output,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_language_id": op7_language_id,
     "op8_webp_media": op8_webp_media,
     "op10_sequence_packing": op10_sequence_packing,
 }
