@@ -56,6 +56,12 @@ def op8_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.packing import pack_documents
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op7_language_id": op7_language_id,
     "op8_webp_media": op8_webp_media,
+    "op9_minhash_neardup": op9_minhash_neardup,
     "op10_sequence_packing": op10_sequence_packing,
 }
 
@@ -87,4 +94,25 @@ ORACLE_SQL: dict[str, str] = {
                 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "op9_minhash_neardup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, s FROM (
+                SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM words)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+        FROM documents d JOIN roots r USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+    """,
 }
