@@ -25,6 +25,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm.lmscore import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_huffman_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.huffman import read_blocks, store_tokens
 
@@ -76,6 +82,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_huffman_token_output": op4_huffman_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
