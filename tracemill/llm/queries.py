@@ -31,6 +31,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm.htmltext import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_huffman_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.huffman import read_blocks, store_tokens
 
@@ -83,6 +89,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_page_differencing": op3_page_differencing,
     "op4_huffman_token_output": op4_huffman_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
