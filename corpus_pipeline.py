@@ -1,17 +1,63 @@
-"""A training-corpus pipeline over the documents table, one operator a stage."""
+"""A training-corpus pipeline over the documents table, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept. All but the last return rows with the columns of ``docs``:
+
+1. language_id drops documents without a decided language;
+2. quality drops documents that importance resampling rejects;
+3. near_dedup keeps the document with the least id of each near-duplicate group;
+4. decontaminate drops documents that hold a window of a benchmark item;
+5. pack returns the pieces of the rest with their places in packed sequences.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tracemill.llm import decontam, langid, neardup, packing, quality
+from tracemill.llm.queries import tokenizer_json
+from tracemill.scratch import materialize
+
+#: Near-duplicates: similarity of sets of five-word shingles, in per cent.
+SIMILARITY = 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.recognised(docs)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs, percent=SIMILARITY)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_json("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("quality", quality_filter),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
+
+#: Language, quality and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written to shared scratch and read again for the next."""
-    from tracemill.scratch import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

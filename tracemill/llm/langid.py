@@ -229,3 +229,9 @@ def identify(docs: DataFrame, net: ByteGRU | None, *, id_col: str = "doc_id", te
     whole = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*(F.col(f"`{c}`") for c in kept)).dtypes) + ", lang_pred string, score double"
     return whole.mapInArrow(predict, schema)
+
+
+def recognised(docs: DataFrame, *, least_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose language is decided with at least this score, with their columns. Learns from ``docs``' own langs."""
+    found = identify(docs, fit(docs))
+    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least_score)).select(*(F.col(f"`{c}`") for c in docs.columns))

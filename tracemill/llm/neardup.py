@@ -3,7 +3,7 @@
 A document's set is its distinct shingles of SHINGLE words. Its signature keeps
 the least hash in each of BINS bins of the hash range; an empty bin borrows
 from the first filled bin of its own fixed permutation (optimal densification).
-Bands of ROWS bins make buckets. Documents with equal sets are one class, and
+Bands of a few bins make buckets. Documents with equal sets are one class, and
 candidates are found between class representatives only.
 
 Candidate edges are stars: in every bucket each representative meets the least
@@ -37,7 +37,7 @@ from tracemill.llm.textarrays import hashed_words, mix, row_chunks, utf8
 from tracemill.scratch import discard, materialize, ship_package
 
 SHINGLE = 5
-BINS, BANDS, ROWS = 128, 25, 5
+BINS = 128
 #: Ids that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
 #: Pairs of the closing comparison that one document may cause on average before another round of stars goes first.
@@ -81,7 +81,16 @@ def _permutations() -> np.ndarray:
 
 PERMUTATIONS = _permutations()
 BIN_SHIFT = np.uint64(64 - (BINS - 1).bit_length())
-BAND_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+BAND_SEEDS = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows that miss fewer than one pair in a million at the threshold."""
+    for rows in range(8, 1, -1):
+        bands = BINS // rows
+        if (1 - (percent / 100) ** rows) ** bands < 1e-6:
+            return bands, rows
+    return BINS, 1
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -98,18 +107,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per band."""
-    rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS)
-    key = BAND_SEEDS.copy()
-    for r in range(ROWS):
-        key = mix(key ^ rows[:, r]) + np.uint64(r)
+    parts, key = sig[: bands * rows].reshape(bands, rows), BAND_SEEDS[:bands].copy()
+    for r in range(rows):
+        key = mix(key ^ parts[:, r]) + np.uint64(r)
     return key
 
 
-def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the set; null for an empty one), bands."""
     ship_package(docs.sparkSession)
+    n_bands, n_rows = layout(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +129,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 rows: list[np.ndarray | None] = []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     keys.append(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None)
-                    rows.append(bands(signature(values[a:b])).view(np.int64) if b > a else None)
+                    rows.append(band_keys(signature(values[a:b]), n_bands, n_rows).view(np.int64) if b > a else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -166,7 +175,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent`` per cent), kept."""
-    signed = materialize(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
+    signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, percent=percent), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
@@ -178,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tried = materialize(stars, "pairs")
     links = materialize(confirm(tried, texts, percent), "links")
     roots = materialize(components(links), "roots")
-    most = PAIRS_EACH * BANDS * classes.count()
+    most = PAIRS_EACH * layout(percent)[0] * classes.count()
     stars_help = True
     while True:
         labelled = buckets.select("bucket", "rep", "n").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -207,3 +216,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = signed.select("doc_id", "n_shingles", "set_key").join(rooted, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each component, and of rows that share an id, one.
+
+    Rows with a null id all stay.
+    """
+    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "components")
+    ids = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d"), F.count_if(~F.col("kept")).alias("gone")).first()
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(F.broadcast(gone) if ids.gone <= BROADCAST_IDS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if ids.n == ids.d:
+        return left
+    whole = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return whole.unionByName(left.where(F.col(id_col).isNull()))

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_json(name: str) -> str:
     import public_tokenizers
 
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
@@ -40,7 +40,7 @@ def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_huffman_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.huffman import read_blocks, store_tokens
 
-    blocks, lengths = store_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    blocks, lengths = store_tokens(_table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
     return read_blocks(blocks, lengths)
 
 
@@ -83,7 +83,7 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
