@@ -1 +1 @@
-
+"""Column functions: identities, paths, time keys, codecs."""

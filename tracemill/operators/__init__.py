@@ -1 +1 @@
-
+"""Operators over events, artifacts and shards."""

@@ -1 +1 @@
-
+"""Whole flows over the operators."""
