@@ -19,8 +19,8 @@ def checksum(spark: SparkSession, path: str) -> str:
 def parsed(lines: DataFrame) -> DataFrame:
     """seq, line, fate ('blank', 'bad', 'no-id', 'pointer'), event_id."""
     doc = F.try_parse_json("line")
-    kind = F.schema_of_variant(F.try_variant_get(doc, "$.eventId", "variant"))
-    event_id = F.when(kind == "STRING", F.try_variant_get(doc, "$.eventId", "string"))
+    is_text = F.to_json(F.try_variant_get(doc, "$.eventId", "variant")).startswith('"')
+    event_id = F.when(is_text, F.try_variant_get(doc, "$.eventId", "string"))
     fate = F.when(F.trim("line") == "", "blank").when(doc.isNull(), "bad").when(event_id.isNull(), "no-id").otherwise("pointer")
     return lines.select("seq", "line", fate.alias("fate"), event_id.alias("event_id"))
 
