@@ -97,17 +97,20 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _turns_by(m: Mapping, record: Column) -> Column:
+    """The turns that one mapping reads from a variant record."""
+    if m.list_path:
+        items = F.try_variant_get(record, f"$.{m.list_path}", "array<map<string,string>>")
+        return F.transform(items, lambda x: _turn(_mapped_role(x[m.role_field], m), x[m.text_field]))
+    read = [(role, F.try_variant_get(record, f"$.{f}", "string")) for role, f in m.fields]
+    return F.filter(F.array(*(F.when(text.isNotNull(), _turn(F.lit(role), text)) for role, text in read)), lambda t: t.isNotNull())
+
+
 def turns_of_json(json: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Canonical turns of JSON records: each row's fingerprint selects its mapping; null where none fits."""
-    prints, out = fingerprint(json_field_paths(json)), F.lit(None).cast(TURNS)
-    record = F.try_parse_json(json)
+    prints, out, record = fingerprint(json_field_paths(json)), F.lit(None).cast(TURNS), F.try_parse_json(json)
     for m in mappings:
-        if m.list_path:
-            items = F.try_variant_get(record, f"$.{m.list_path}", "array<map<string,string>>")
-            turns = F.transform(items, lambda x, m=m: _turn(_mapped_role(x[m.role_field], m), x[m.text_field]))
-        else:
-            turns = F.filter(F.array(*(F.when(F.try_variant_get(record, f"$.{f}", "string").isNotNull(), _turn(F.lit(role), F.try_variant_get(record, f"$.{f}", "string"))) for role, f in m.fields)), lambda t: t.isNotNull())
-        out = F.when(prints == _literal_print(m.paths), turns).otherwise(out)
+        out = F.when(prints == _literal_print(m.paths), _turns_by(m, record)).otherwise(out)
     return out
 
 

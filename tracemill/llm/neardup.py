@@ -7,14 +7,17 @@ Bands of a few bins make buckets. Documents with equal sets are one class, and
 candidates are found between class representatives only.
 
 Candidate edges are stars: in every bucket each representative meets the least
-one. Edges are confirmed on full sets, and components drawn. A link between
-two members that are both unlike the least one would be lost, so for every
-bucket that still spans several components the members outside its largest
-component then meet all members of other components, until no pair that shares
-a bucket is left in two components without having been compared. The pairs
-stay linear in a bucket that is one cluster, and every link whose documents
-share a bucket is found; at the threshold a pair shares none with probability
-(1 - 0.85 ** ROWS) ** BANDS, below one in a million.
+one, its hub. Edges are confirmed on full sets, and components drawn. A link
+between two members that are both unlike the hub would be lost, so a second,
+exact search goes on inside the stars whose members are still in several
+components. In a small star the members left apart are compared. The members
+of all larger ones order their shingles from rare to frequent, by counts over
+these members; two sets alike share a shingle in the first few places (prefix
+filter), where a copy has its own edits and not what its whole group shares, so
+members meet that share rare shingles only. Where a shingle still brings many
+together, that group becomes a star in its turn before its pairs are made. The
+layout of bands follows the threshold s: a pair at it shares no bucket with
+probability (1 - s ** rows) ** bands, below one in a million.
 
 Nulls: a null, empty or blank text has an empty set and is linked with
 nothing; a null doc_id is its own row with a null component. Repeated rows
@@ -29,19 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.components import components
 from tracemill.llm.textarrays import hashed_words, mix, row_chunks, utf8
-from tracemill.scratch import discard, materialize, ship_package
+from tracemill.operators.components import components
+from tracemill.scratch import materialize, ship_package
 
 SHINGLE = 5
 BINS = 128
 #: Ids that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
-#: Pairs of the closing comparison that one document may cause on average before another round of stars goes first.
-PAIRS_EACH = 4
+#: Members of a star that are compared pair by pair where they are left apart.
+SMALL_STAR = 8
+#: Meetings of the second search that one class may cause on average before its groups become stars first.
+PAIRS_EACH = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +145,16 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _held(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these ids (doc_id, one row each)."""
+    ids = materialize(ids, "involved")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach ``percent`` per cent similarity; ``texts`` is (doc_id, text)."""
-    spark = pairs.sparkSession
-    ship_package(spark)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = materialize(ids, "involved")
-    few = ids.count() <= BROADCAST_IDS
-    held = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ship_package(pairs.sparkSession)
+    held = _held(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     first = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -173,6 +180,92 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+def rare_prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """rep, n, shingle, place: the shingles that two of these sets share and that stand in the first places from rare to frequent."""
+    ship_package(reps.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                values, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["rep", "shingles"])
+
+    sets = _held(texts, reps.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(read, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    each = materialize(sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    frequency = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(frequency, "shingle")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    # shingles of one set alone take the first places and meet nothing
+    place = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep")) + rank - 1
+    return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("rep", "n", "shingle", "place")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+class _Search:
+    """Links found so far, their components and the pairs compared."""
+
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent = texts, percent
+        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Compare the pairs (a, b) that weren't yet, join components; whether there was a link."""
+        fresh = pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
+        fresh = materialize(fresh, "pairs")
+        found = materialize(confirm(fresh, self.texts, self.percent), "links")
+        self.tried = fresh if self.tried is None else materialize(self.tried.unionByName(fresh), "pairs")
+        some = not found.isEmpty()
+        if self.links is None or some:
+            self.links = found if self.links is None else materialize(self.links.unionByName(found), "links")
+            self.roots = materialize(components(self.links), "roots")
+        return some
+
+    def apart(self, left: DataFrame, right: DataFrame, on: list[str], when: Column | None = None) -> DataFrame:
+        """Pairs (a, b) of left and right rows (rep, n, root, place and the key) in different components that can be alike."""
+        other = right.select(*on, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"), *([F.col("place").alias("place2")] if when is not None else []))
+        test = (F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), self.percent)
+        met = left.join(other, on).where(test if when is None else test & when)
+        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+    def inside(self, stars: DataFrame, most: int) -> None:
+        """The second search over stars (a, rep, n), each member of a star once."""
+        members = materialize(_rooted(stars, self.roots), "members")
+        open_ = members.groupBy("a").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a", "crowd")
+        members = materialize(members.join(open_, "a"), "members")
+        small = members.where(F.col("crowd") <= SMALL_STAR)
+        large = members.where(F.col("crowd") > SMALL_STAR).select("rep").distinct()
+        self.add(self.apart(small, small, ["a"]))
+        if large.isEmpty():
+            return
+        prefixes = materialize(rare_prefixes(large, self.texts, self.percent), "prefixes")
+        # an overlap that the threshold asks of two sets leaves so many places before the first common shingle
+        need = F.ceil(F.lit(self.percent) * (F.col("n") + F.col("n2")) / F.lit(100 + self.percent))
+        early = (F.col("place") <= F.col("n") - need) & (F.col("place2") <= F.col("n2") - need)
+        help_ = True
+        while True:
+            now = _rooted(prefixes, self.roots)
+            counted = now.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+            groups = counted.groupBy("shingle").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("in_main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+            groups = materialize(groups.select("shingle", "main", "all", (F.col("all") - F.col("in_main")).alias("outside")), "groups")
+            due = groups.agg(F.coalesce(F.sum(F.col("outside") * F.col("all")), F.lit(0)).alias("pairs")).first().pairs
+            met = materialize(now.join(groups.select("shingle", "main"), "shingle"), "met")
+            outside = met.where("root <> main")
+            closing = due <= most or not help_
+            if not closing:
+                hubs = outside.groupBy("shingle").agg(F.min("rep").alias("hub"))
+                outside = outside.join(hubs, "shingle").where("rep = hub")
+            help_ = self.add(self.apart(outside, met, ["shingle"], early))
+            if closing:
+                return
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent`` per cent), kept."""
     signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, percent=percent), "signatures")
@@ -180,37 +273,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("least")).where("size > 1")
-    buckets = materialize(members.join(crowded, "bucket").select("bucket", "rep", "n", F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
-
-    stars = buckets.where((F.col("rep") != F.col("least")) & _alike(F.col("n"), F.col("least_n"), percent)).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = materialize(stars, "pairs")
-    links = materialize(confirm(tried, texts, percent), "links")
-    roots = materialize(components(links), "roots")
-    most = PAIRS_EACH * layout(percent)[0] * classes.count()
-    stars_help = True
-    while True:
-        labelled = buckets.select("bucket", "rep", "n").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        counted = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-        largest = counted.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members")).where("parts > 1")
-        mixed = materialize(labelled.join(largest, "bucket"), "mixed")
-        outside = mixed.where("root <> main")
-        due = outside.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("pairs")).first().pairs
-        closing = due <= most or not stars_help
-        if not closing:  # one more star a bucket, about the least member outside its largest component
-            outside = outside.join(outside.groupBy("bucket").agg(F.min("rep").alias("hub")), "bucket").where("rep = hub")
-        others = mixed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        pairs = outside.join(others, "bucket").where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), percent)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        discard(mixed)
-        more = materialize(confirm(fresh, texts, percent), "links")
-        stars_help = not more.isEmpty()
-        if stars_help:
-            links = materialize(links.unionByName(more), "links")
-            roots = materialize(components(links), "roots")
-        if closing:
-            break
-        tried = materialize(tried.unionByName(fresh), "pairs")
+    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("hub")).where("size > 1")
+    stars = materialize(members.join(hubs, "bucket").where(F.col("rep") != F.col("hub.rep")).select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), "rep", "n").distinct(), "stars")
+    search = _Search(texts, percent)
+    search.add(stars.where(_alike(F.col("n"), F.col("n_a"), percent)).select("a", F.col("rep").alias("b")))
+    search.inside(stars.select("a", "rep", "n"), PAIRS_EACH * max(1000, classes.count()))
+    roots = search.roots
 
     rooted = classes.select("set_key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(rooted, "set_key", "left")
