@@ -169,14 +169,15 @@ def resolve_roots(events: DataFrame, known: DataFrame | None = None) -> DataFram
     ids = events.select(F.col("event_id").alias("up"), F.lit(True).alias("inside"))
     now = here.join(ids, "up", "left").select("event_id", F.when(F.col("root").isNull() & F.col("inside"), F.col("up")).alias("up"), F.when(F.col("root").isNotNull(), F.col("root")).when(F.col("inside").isNull(), F.col("event_id")).alias("root"))
     now = materialize(now, "roots")
+    rounds = now.count().bit_length() + 1
     while not now.where("root is null").isEmpty():
+        if rounds == 0:
+            raise ValueError("a cycle of parents has no root")
+        rounds -= 1
         far = now.select(F.col("event_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"))
         after = materialize(now.join(far, "up", "left").select("event_id", F.when(F.col("root").isNull(), F.col("up2")).alias("up"), F.coalesce("root", "root2").alias("root")), "roots")
-        stuck = after.where("root is null and up is null")
         discard(now)
         now = after
-        if not stuck.isEmpty():
-            raise ValueError("a cycle of parents has no root")
     return events.drop("root_event_id").join(now.select("event_id", F.col("root").alias("root_event_id")), "event_id").select(events.columns)
 
 

@@ -16,6 +16,7 @@ from tracemill.functions import identity
 from tracemill.functions.paths import leaf_key
 from tracemill.operators import artifacts as art
 from tracemill.operators.events import parent_edges
+from tracemill.schemas import EVENT_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,9 @@ def write(snapshot: Snapshot, path: str) -> None:
 def read(spark, path: str, shard: str | None = None) -> Snapshot:
     """A written snapshot; a shard reads its own partition alone."""
     pick = lambda df: df if shard is None else df.where(F.col("shard_path") == shard)
-    events, tokens, edges = (pick(spark.read.parquet(f"{path}/{n}")) for n in ("events", "tokens", "edges"))
+    local = f"{EVENT_COLUMNS.removesuffix(', shard_path string')}, local_id long, actor_key string, channel_key string, shard_path string"
+    layouts = {"events": local, "tokens": "token string, local_id long, shard_path string", "edges": "parent string, child string, seq long, pos int, shard_path string"}
+    events, tokens, edges = (pick(spark.read.schema(kind).parquet(f"{path}/{n}")) for n, kind in layouts.items())
     none = spark.createDataFrame([], "event_id string, occurrence_id string, claim_id string, seq long")
     return Snapshot(shard, events, tokens, edges, none, none.withColumnRenamed("claim_id", "feature_id"))
 
