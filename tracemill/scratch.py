@@ -15,6 +15,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
@@ -73,7 +75,13 @@ def _sweep() -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers of executors, once a session."""
+    """Give this package to the Python workers of executors, once an application, and bound Arrow batches by bytes.
+
+    Batches are bounded by rows unless told otherwise, and rows of long texts
+    make batches of any size; a bound that the session sets itself is kept.
+    """
+    if spark.conf.get(BATCH_BYTES, DEFAULT_BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
