@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.textarrays import tidied
 from tracemill.llm.tokens import encoder
 from tracemill.scratch import discard, materialize, ship_package
 
@@ -130,7 +131,7 @@ def token_ids(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", t
                 blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), blob], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(encode), "doc_id long, n_tokens long, ids binary")
 
 
 def _unpack(column, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used].astype(np.int64))], ["id", "n"])
 
-    return ids.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("n_tokens", "ids").mapInArrow(tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_blocks(ids: DataFrame, lengths: np.ndarray, parts: int) -> DataFrame:
@@ -198,7 +199,7 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, parts: int) -> DataFrame:
         if docs:
             yield block(part, number, start, docs, chunks, np.concatenate(sizes))
 
-    return ids.withColumn("crc", F.crc32("ids")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").select("doc_id", "n_tokens", "ids").mapInArrow(encode, BLOCK)
+    return ids.withColumn("crc", F.crc32("ids")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").select("doc_id", "n_tokens", "ids").mapInArrow(tidied(encode), BLOCK)
 
 
 def read_blocks(blocks: DataFrame, lengths: np.ndarray, *, with_ids: bool = False) -> DataFrame:
@@ -226,7 +227,7 @@ def read_blocks(blocks: DataFrame, lengths: np.ndarray, *, with_ids: bool = Fals
                     out.append(pa.array([raw[a:b] for a, b in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return blocks.mapInArrow(tidied(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def store_tokens(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> tuple[DataFrame, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import row_chunks, utf8
+from tracemill.llm.textarrays import row_chunks, tidied, utf8
 from tracemill.scratch import ship_package
 
 UNDECIDED = "und"
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             windows = [training_windows([text], np.zeros(1, np.int64))[0].tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.binary())], ["id", "lang", "windows"])
 
-    found = usable.where(F.col("lang").isin(langs)).join(F.broadcast(picked), "id", "left_semi").select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(cut, "id string, lang string, windows binary")
+    found = usable.where(F.col("lang").isin(langs)).join(F.broadcast(picked), "id", "left_semi").select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(tidied(cut), "id string, lang string, windows binary")
     sample = sorted({r.id: r for r in found.collect()}.values(), key=lambda r: r.id)
     windows = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample]
     labels = np.repeat([number[r.lang] for r in sample], [len(w) for w in windows])
@@ -208,11 +208,12 @@ def identify(docs: DataFrame, net: ByteGRU | None, *, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(net)
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = True
+    text_at = kept.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column(text_at))
             for lo, hi in row_chunks(offsets):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 p = net.documents(part, at)
@@ -223,12 +224,11 @@ def identify(docs: DataFrame, net: ByteGRU | None, *, id_col: str = "doc_id", te
                 best = p.argmax(1)
                 names = [net.langs[k] if ok else UNDECIDED for k, ok in zip(best.tolist(), decided.tolist(), strict=True)]
                 score = np.where(decided, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    whole = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*(F.col(f"`{c}`") for c in kept)).dtypes) + ", lang_pred string, score double"
-    return whole.mapInArrow(predict, schema)
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", lang_pred string, score double"
+    return rows.mapInArrow(tidied(predict), schema)
 
 
 def recognised(docs: DataFrame, *, least_score: float = 0.35) -> DataFrame:

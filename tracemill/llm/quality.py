@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import hashed_words, mix, row_chunks, utf8
+from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
 from tracemill.scratch import discard, materialize, ship_package
 
 BITS = 16
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, good: np.ndarray, *, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, raw[used], target[used])], ["bucket", "raw", "target"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = texts.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    total = texts.mapInArrow(tidied(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[total["bucket"].to_numpy()], target[total["bucket"].to_numpy()] = total["raw"].to_numpy(), total["target"].to_numpy()
     if not target.any():
@@ -113,22 +113,23 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_ngrams", "log_ratio")] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    whole = docs.select(*kept, F.col(f"`{text_col}`").cast("string").alias("__text"))
+    names = [c for c in docs.columns if c not in ("n_ngrams", "log_ratio")] if keep else ["doc_id"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names)) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text_at = names.index(text_col) if keep else 1
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.log_ratio
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column(text_at))
             for lo, hi in row_chunks(offsets):
                 bucket, row = ngram_buckets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.bincount(row, minlength=hi - lo).astype(np.int64)
                 mean = np.bincount(row, table[bucket], hi - lo) / np.maximum(n, 1)
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(mean)], [*batch.schema.names[:-1], "n_ngrams", "log_ratio"])
+                rest = [batch.column(i).slice(lo, hi - lo) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(mean)], [*names, "n_ngrams", "log_ratio"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes) + ", n_ngrams long, log_ratio double"
-    return whole.mapInArrow(rate, schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*(F.col(f"`{c}`") for c in names)).dtypes) + ", n_ngrams long, log_ratio double"
+    return rows.mapInArrow(tidied(rate), schema)
 
 
 @dataclass

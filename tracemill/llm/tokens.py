@@ -16,12 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-from tracemill.llm.textarrays import mix, row_chunks, utf8, word_hashes, words
+from tracemill.llm.textarrays import CHUNK_BYTES, mix, row_chunks, utf8, word_hashes, words
 
 SPACES = " \t\n\v\f\r"
 CASED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 MOST_UNITS = 1_000_000
-CHUNK = 4 << 20
 _encoders: dict[int, "UnitEncoder"] = {}
 
 
@@ -69,9 +68,10 @@ def encoder(tokenizer_json: str) -> "UnitEncoder":
 
 
 class UnitEncoder:
-    """Encodes Arrow text columns; keeps at most MOST_UNITS units' ids."""
+    """Encodes Arrow text columns; keeps at most ``most_units`` units' ids."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, most_units: int = MOST_UNITS):
+        self.most_units = most_units
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         model = json.loads(tokenizer_json)
         suffix = model["model"].get("end_of_word_suffix") or ""
@@ -82,8 +82,8 @@ class UnitEncoder:
         self.sizes = sizes
         self._forget()
 
-    def _forget(self, least: int = MOST_UNITS) -> None:
-        self.known = KeySlots(max(21, int(2 * least).bit_length()))
+    def _forget(self, least: int = 0) -> None:
+        self.known = KeySlots(int(1.5 * max(least, self.most_units)).bit_length())
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
@@ -123,7 +123,7 @@ class UnitEncoder:
         self.used += len(flat)
         self.known.add(keys)
 
-    def chunks(self, column, end_id: int, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def chunks(self, column, end_id: int, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids of these rows with end_id after each, offsets)."""
         data, offsets = utf8(column)
         for lo, hi in row_chunks(offsets, most):
@@ -158,10 +158,10 @@ class UnitEncoder:
         if (slot < 0).any():
             missing = np.flatnonzero(slot < 0)
             keys, where = np.unique(hashes[missing], return_index=True)
-            if self.known.size + len(keys) > MOST_UNITS:
+            if self.known.size + len(keys) > self.most_units:
                 missing = np.arange(len(hashes))
                 keys, where = np.unique(hashes, return_index=True)
-                self._forget(max(MOST_UNITS, len(keys)))
+                self._forget(len(keys))
             raw = data.tobytes()
             b, e = begins[missing[where]].tolist(), ends[missing[where]].tolist()
             self._learn(keys, [raw[i:j].decode("utf-8") for i, j in zip(b, e, strict=True)])

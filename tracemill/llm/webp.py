@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import utf8
+from tracemill.llm.textarrays import tidied, utf8
 from tracemill.scratch import materialize, ship_package
 
 # Fixed values of the format.
@@ -420,7 +420,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 n = len(media)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.diff(at)[lo : lo + n]), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(encode), "doc_id long, n_bytes long, media binary")
 
 
 def pixel_arrays(stored: DataFrame) -> DataFrame:
@@ -453,7 +453,7 @@ def media_digests(stored: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(digest, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(digest), schema)
 
 
 def feature(parts: list[np.ndarray]) -> str:
