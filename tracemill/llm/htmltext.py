@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.textarrays import tidied
 from tracemill.scratch import materialize, ship_package
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -50,8 +51,8 @@ FRAME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion reactions related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COPY_SHARE = 0.9
-#: Rows of the small side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of the shared-line bits that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 RANGE_ROWS = 20_000
 
 
@@ -219,7 +220,7 @@ def line_hashes(pages: DataFrame) -> DataFrame:
             hosts, paths, lines = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.int64()))], ["page_key", "host", "path", "lines"])
 
-    return pages.select("page_key", "url", "html").mapInArrow(read, "page_key long, host string, path string, lines array<long>").dropDuplicates(["page_key"])
+    return pages.select("page_key", "url", "html").mapInArrow(tidied(read), "page_key long, host string, path string, lines array<long>").dropDuplicates(["page_key"])
 
 
 def shared_lines(hashed: DataFrame) -> DataFrame:
@@ -259,7 +260,8 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
     shared = materialize(shared_lines(materialize(line_hashes(rows), "lines")), "shared")
-    small = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    held = shared.agg(F.coalesce(F.sum(F.octet_length("shared") + 24), F.lit(0)).alias("bytes")).first().bytes
+    small = F.broadcast(shared) if held <= BROADCAST_BYTES else shared
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,4 +273,4 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
-    return rows.join(small, "page_key", "left").select("page_id", "url", "html", "shared").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.join(small, "page_key", "left").select("page_id", "url", "html", "shared").mapInArrow(tidied(extract), f"page_id {kind}, url string, text string, n_chars long")

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import hashed_words, mix, row_chunks, utf8
+from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
 from tracemill.operators.components import components
 from tracemill.scratch import materialize, ship_package
 
 SHINGLE = 5
 BINS = 128
 #: Ids that a broadcast may hold; beyond it the join shuffles.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 #: Members of a star that are compared pair by pair where they are left apart.
 SMALL_STAR = 8
 #: Meetings of the second search that one class may cause on average before its groups become stars first.
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     rows.append(band_keys(signature(values[a:b]), n_bands, n_rows).view(np.int64) if b > a else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -177,7 +177,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], ["a", "b"])
 
     joined = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long")
+    return joined.mapInArrow(tidied(check), "a long, b long")
 
 
 def rare_prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def rare_prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["rep", "shingles"])
 
-    sets = _held(texts, reps.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(read, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    sets = _held(texts, reps.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(tidied(read), "rep long, shingles array<long>").dropDuplicates(["rep"])
     each = materialize(sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
     frequency = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(frequency, "shingle")
