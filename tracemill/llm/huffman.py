@@ -131,7 +131,7 @@ def token_ids(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", t
                 blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), blob], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(encode), "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(encode, encodes=True), "doc_id long, n_tokens long, ids binary")
 
 
 def _unpack(column, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

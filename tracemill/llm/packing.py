@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import mix, tidied
-from tracemill.llm.tokens import UnitEncoder
+from tracemill.llm.tokens import encoder
 from tracemill.scratch import discard, materialize, ship_package
 
-#: Units whose ids a task keeps, and bytes of text that it encodes at once: small, as a pipeline's other stages hold memory too.
-KEPT_UNITS, CHUNK = 600_000, 1 << 20
+#: Units whose ids a worker keeps, and bytes of text that it encodes at once: small, as a pipeline's other stages hold memory too.
+KEPT_UNITS, CHUNK = 1_400_000, 1 << 20
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long"
 
 
@@ -77,7 +77,7 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = UnitEncoder(shared.value, KEPT_UNITS), 0
+        encode, row = encoder(shared.value, KEPT_UNITS), 0
         for batch in batches:
             for lo, hi, ids, at in encode.chunks(batch.column(1), end_id, CHUNK):
                 sizes = np.diff(at)
@@ -97,7 +97,7 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id",
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(cut), PIECE + (", ids binary" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(cut, encodes=True), PIECE + (", ids binary" if with_ids else ""))
 
 
 def pack_pieces(pieces: DataFrame, *, capacity: int = 4096, group_size: int = 8192) -> DataFrame:

@@ -7,6 +7,7 @@ text is handled by a fixed number of numpy calls.
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,10 +108,17 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return word_hashes(data, starts, ends), first
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving memory back when its task ends: idle workers stay beside the executor's heap."""
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back when its task ends: idle workers stay beside the executor's heap.
+
+    Unless the task ``encodes`` tokens, it first drops the encoder that an
+    earlier task left in its worker.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("tracemill.llm.tokens")
+        if tokens and not encodes:
+            tokens._encoders.clear()
         try:
             yield from run(batches)
         finally:

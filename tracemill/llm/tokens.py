@@ -21,7 +21,7 @@ from tracemill.llm.textarrays import CHUNK_BYTES, mix, row_chunks, utf8, word_ha
 SPACES = " \t\n\v\f\r"
 CASED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 MOST_UNITS = 1_000_000
-_encoders: dict[int, "UnitEncoder"] = {}
+_encoders: dict[tuple[int, int], "UnitEncoder"] = {}
 
 
 class KeySlots:
@@ -58,12 +58,12 @@ class KeySlots:
             rest, at = rest[lost], (at[lost] + 1) & int(self.mask)
 
 
-def encoder(tokenizer_json: str) -> "UnitEncoder":
-    """This worker's encoder, which later tasks in the same process go on using."""
-    key = hash(tokenizer_json)
+def encoder(tokenizer_json: str, most_units: int = MOST_UNITS) -> "UnitEncoder":
+    """This worker's encoder, which later tasks in the same process go on using until a task of another kind runs there."""
+    key = hash(tokenizer_json), most_units
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = UnitEncoder(tokenizer_json)
+        _encoders[key] = UnitEncoder(tokenizer_json, most_units)
     return _encoders[key]
 
 
@@ -83,7 +83,7 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self, least: int = 0) -> None:
-        self.known = KeySlots(int(1.5 * max(least, self.most_units)).bit_length())
+        self.known = KeySlots(int(1.45 * max(least, self.most_units)).bit_length())
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
