@@ -27,7 +27,7 @@ from tracemill.llm.tokens import encoder
 from tracemill.scratch import discard, materialize, ship_package
 
 #: Units whose ids a worker keeps, and bytes of text that it encodes at once: small, as a pipeline's other stages hold memory too.
-KEPT_UNITS, CHUNK = 1_400_000, 1 << 20
+KEPT_UNITS, CHUNK = 500_000, 1 << 20
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long"
 
 
