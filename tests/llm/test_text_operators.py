@@ -355,3 +355,25 @@ def test_copies_keep_their_text(spark):
     same = "<body><p>one long story</p><p>and its end</p></body>"
     pages = spark.createDataFrame([(1, "https://h.net/1", same), (2, "https://h.net/2", same)], "page_id long, url string, html string")
     assert {r.text for r in htmltext.main_texts(pages).collect()} == {"one long story\n\nand its end"}
+
+
+def test_pages_that_are_nearly_all_frame_lose_it(spark):
+    frame = lambda body: "<body>" + "".join(f"<div>Menu {k}</div>" for k in range(20)) + body + "<div>All rights kept</div></body>"
+    pages = [(i, f"https://h.net/{i}", frame(f"<p>story {i}</p>")) for i in range(5)] + [(9, "https://h.net/9", frame(""))]
+    got = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i}" for i in range(5)} | {9: ""}
+
+
+def test_copies_next_to_each_other_lose_their_frame(spark, monkeypatch):
+    story = "".join(f"<p>part {k}</p>" for k in range(30))
+    page = lambda body: f"<body><div>Welcome</div>{body}<div>All rights kept</div></body>"
+    same = [(i, f"https://h.net/b/{i:02}", page(story)) for i in range(12)]
+    edited = [(20 + i, f"https://h.net/c/{i}", page(story.replace("part 7<", f"part 7 of {i}<"))) for i in range(2)]
+    other = [(30 + i, f"https://h.net/{x}", page(f"<p>story {x}</p>")) for i, x in enumerate("adef")]
+    for rows in (2, 1000):
+        monkeypatch.setattr(htmltext, "RANGE_ROWS", rows)
+        got = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(same + edited + other, "page_id long, url string, html string")).collect()}
+        parts = [f"part {k}" for k in range(30)]
+        assert {got[i] for i in range(12)} == {"\n\n".join(parts)}
+        assert [got[20 + i] for i in range(2)] == ["\n\n".join([*parts[:7], f"part 7 of {i}", *parts[8:]]) for i in range(2)]
+        assert [got[30 + i] for i in range(4)] == [f"story {x}" for x in "adef"]

@@ -1,22 +1,26 @@
 """Main text of web pages by structure and by nearest-URL page differencing.
 
-A page is read into lines, the text blocks in page order. Pages are sorted by
-host, URL path and id, and each is paired with the pages next to it on its
-host. The two line lists are aligned by a longest common subsequence, and
-lines that both share are deleted: what a host repeats from page to page is
-its frame. Lines in elements that frame by their nature (menus, headers,
-footers, asides, forms, scripts; adverts, notices and comments by class or id)
-are deleted as well.
+A page is read into lines, the text blocks in page order. Lines in elements
+that frame by their nature (menus, headers, footers, asides, forms, scripts;
+adverts, notices and comments by class or id) are deleted; the others are
+compared. Pages of a host with equal lists of these are one page. Pages are
+sorted by host, URL path and id, and each is paired on both sides with the
+nearest page of its host that is no copy. The two line lists are aligned by a
+longest common subsequence, and lines that both share are deleted: what a host
+repeats from page to page is its frame.
 
 Where a page marks its article, lines in it stay even if a neighbour has them
 too: articles quote and repeat each other, and a shared passage there is text.
-A neighbour that shares nine tenths of the shorter page is a copy and tells
-nothing about the frame.
+A page that shares nine tenths of the shorter one's lines is a copy and tells
+nothing about the frame. Lines that most of the REACH pages on both sides have
+do not count for that: a page may be nearly all frame. More than half of these
+pages being versions of one text look like a frame, and what they share goes;
+a host of two unequal pages has no third one to tell, so copies stay whole.
 
-Sorting deals rows by range, so a host with a third of all pages spreads over
-as many tasks as its pages fill; only line hashes are sorted. The rows at a
-range's ends reach the neighbouring range, so results do not depend on where
-ranges are cut.
+Rows are numbered in order and dealt in blocks of equal size, so a host with a
+third of all pages spreads over as many tasks as its pages fill; only line
+hashes are sorted. A block also gets the REACH rows before and after it, so
+results do not depend on where blocks are cut.
 
 Nulls: a null html is empty and gives an empty text; a null url is an own
 empty host and path. Repeated rows come back as often as they occur. Empty
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -37,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import tidied
+from tracemill.operators.batches import numbered
 from tracemill.scratch import materialize, ship_package
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -51,9 +57,11 @@ FRAME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion reactions related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COPY_SHARE = 0.9
+#: Pages on each side that are looked at.
+REACH = 8
 #: Bytes of the shared-line bits that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1000
 
 
 class Page:
@@ -155,6 +163,13 @@ class Page:
             self._flush()
         self._pop(name)
 
+    @property
+    def compared(self) -> np.ndarray:
+        """Which lines are text unless the host repeats them: marked lines outside frames, or, without a mark, all outside frames."""
+        outside = ~np.array(self.framed, bool)
+        marked = outside & np.array(self.marked, bool)
+        return marked if marked.any() else outside
+
     def text(self, shared: np.ndarray) -> str:
         """The article: marked lines outside frames, or, without a mark, lines outside frames that no neighbour shares."""
         if any(m and not f for m, f in zip(self.marked, self.framed, strict=True)):
@@ -209,49 +224,84 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page_key, host, path, lines (64-bit hashes) of each page."""
+    """page_key, host, path, alike (a digest of host and lines), lines (64-bit hashes of the compared lines) of each page."""
     ship_package(pages.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows.append((*host_and_path(url), [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in Page(source or "").lines]))
-            hosts, paths, lines = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.int64()))], ["page_key", "host", "path", "lines"])
-
-    return pages.select("page_key", "url", "html").mapInArrow(tidied(read), "page_key long, host string, path string, lines array<long>").dropDuplicates(["page_key"])
+                page = Page(source or "")
+                host, path = host_and_path(url)
+                lines = np.array([xxhash.xxh3_64_intdigest(page.lines[k]) - (1 << 63) for k in np.flatnonzero(page.compared)], np.int64)
+                rows.append((host, path, xxhash.xxh3_128_digest(host.encode("utf-8", "replace") + b"\0" + lines.tobytes()), lines))
+            hosts, paths, alike, lines = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(alike, pa.binary()), pa.array(lines, pa.list_(pa.int64()))], ["page_key", "host", "path", "alike", "lines"])
+
+    return pages.select("page_key", "url", "html").mapInArrow(tidied(read), "page_key long, host string, path string, alike binary, lines array<long>")
+
+
+def frame_lines(lines: list[np.ndarray], own: list[bool]) -> list[np.ndarray]:
+    """For each own page of a host, in order, which lines the nearest pages that are no copies have too."""
+    held = [set(x.tolist()) for x in lines]
+    pairs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    shared = [np.zeros(len(x), bool) for x in lines]
+    near, lo, hi = Counter(), 0, 0
+    for i in range(len(lines)):
+        while hi < min(len(lines), i + REACH + 1):
+            near.update(held[hi])
+            hi += 1
+        while lo < i - REACH:
+            near.subtract(held[lo])
+            lo += 1
+        if not own[i]:
+            continue
+        n = hi - lo
+        usual = lambda v: near[v] == n >= 3 or near[v] >= max(4, n // 2 + 1)  # noqa: E731, B023
+        mine = {v for v in held[i] if not usual(v)}
+
+        def copy(j: int) -> bool:
+            both = len(mine & held[j])  # noqa: B023
+            return both > 0 and both >= COPY_SHARE * min(len(mine), sum(not usual(v) for v in held[j]))  # noqa: B023
+
+        for side in (range(i - 1, lo - 1, -1), range(i + 1, hi)):
+            j = next((j for j in side if not copy(j)), None)
+            if j is not None:
+                a, b = sorted((i, j))
+                if (a, b) not in pairs:
+                    pairs[a, b] = common_lines(lines[a], lines[b])
+                shared[i] |= pairs[a, b][i == b]
+        pairs = {k: v for k, v in pairs.items() if k[1] > i}
+    return shared
 
 
 def shared_lines(hashed: DataFrame) -> DataFrame:
-    """page_key, shared (a bit for each line, packed): lines that the pages next to it in URL order on its host have too."""
+    """page_key, shared (a bit for each compared line, packed) of the pages of which lines are frame."""
     spark = hashed.sparkSession
     ship_package(spark)
-    order = ("host", "path", "page_key")
-    ranges = max(1, -(-hashed.count() // RANGE_ROWS))
-    dealt = materialize(hashed.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    row = F.struct(*order, "lines")
-    ends = dealt.groupBy("part").agg(F.min_by(row, F.struct(*order)).alias("first"), F.max_by(row, F.struct(*order)).alias("last"))
-    parts = sorted(r.part for r in ends.select("part").collect())  # one number for each range
-    nearby = lambda step: F.create_map(*(F.lit(x) for a, b in zip(parts[:-1], parts[1:], strict=True) for x in ((a, b) if step > 0 else (b, a)))) if len(parts) > 1 else F.create_map(F.lit(-1), F.lit(-1))
-    guests = ends.select(nearby(1)[F.col("part")].alias("part"), F.col("last").alias("r")).unionByName(ends.select(nearby(-1)[F.col("part")].alias("part"), F.col("first").alias("r")))
-    guests = guests.where("part is not null").select("part", "r.*", F.lit(True).alias("guest"))
+    one = hashed.where(F.size("lines") > 0).groupBy("alike").agg(F.first("host").alias("host"), F.min(F.struct("host", "path", "page_key")).alias("place"), F.first("lines").alias("lines"))
+    rows = numbered(one, "place").drop("place")
+    blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("row_no") - REACH) / RANGE_ROWS), F.floor((F.col("row_no") + REACH) / RANGE_ROWS))
+    size = RANGE_ROWS
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        hosts, keys, guest = (table.column(c).to_pylist() for c in ("host", "page_key", "guest"))
-        lines = [np.array(x or [], np.int64) for x in table.column("lines").to_pylist()]
-        shared = [np.zeros(len(x), bool) for x in lines]
-        for i in range(1, len(lines)):
-            if hosts[i] == hosts[i - 1] and len(lines[i]) and len(lines[i - 1]):
-                a, b = common_lines(lines[i - 1], lines[i])
-                if a.sum() < COPY_SHARE * min(len(a), len(b)):
-                    shared[i - 1] |= a
-                    shared[i] |= b
-        own = [k for k in range(len(keys)) if not guest[k]]
-        return pa.table({"page_key": pa.array([keys[k] for k in own], pa.int64()), "shared": pa.array([np.packbits(shared[k]).tobytes() for k in own], pa.binary())})
-
-    return dealt.select("part", *order, "lines", F.lit(False).alias("guest")).unionByName(guests).groupBy("part").applyInArrow(compare, "page_key long, shared binary")
+        table = table.sort_by("row_no")
+        block = key[0].as_py()
+        hosts, alike = (table.column(c).to_pylist() for c in ("host", "alike"))
+        own = [k // size == block for k in table.column("row_no").to_pylist()]
+        lines = [np.array(x, np.int64) for x in table.column("lines").to_pylist()]
+        ends = [0, *(k for k in range(1, len(hosts)) if hosts[k] != hosts[k - 1]), len(hosts)]
+        shared = [x for a, b in zip(ends[:-1], ends[1:], strict=True) for x in frame_lines(lines[a:b], own[a:b])]
+        some = [k for k in range(len(hosts)) if own[k] and shared[k].any()]
+        return pa.table({"alike": pa.array([alike[k] for k in some], pa.binary()), "shared": pa.array([np.packbits(shared[k]).tobytes() for k in some], pa.binary())})
+
+    found = rows.withColumn("block", F.explode(blocks)).groupBy("block").applyInArrow(compare, "alike binary, shared binary")
+    return hashed.select("page_key", "alike").dropDuplicates(["page_key"]).join(_small(materialize(found, "frames")), "alike").select("page_key", "shared")
+
+
+def _small(bits: DataFrame) -> DataFrame:
+    held = bits.agg(F.coalesce(F.sum(F.octet_length("shared") + 24), F.lit(0)).alias("bytes")).first().bytes
+    return F.broadcast(bits) if held <= BROADCAST_BYTES else bits
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -259,17 +309,18 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     ship_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    shared = materialize(shared_lines(materialize(line_hashes(rows), "lines")), "shared")
-    held = shared.agg(F.coalesce(F.sum(F.octet_length("shared") + 24), F.lit(0)).alias("bytes")).first().bytes
-    small = F.broadcast(shared) if held <= BROADCAST_BYTES else shared
+    small = _small(materialize(shared_lines(materialize(line_hashes(rows), "lines")), "shared"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for source, bits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 page = Page(source or "")
-                flags = np.unpackbits(np.frombuffer(bits or b"", np.uint8)).astype(bool)[: len(page.lines)]
-                texts.append(page.text(np.concatenate([flags, np.zeros(len(page.lines) - len(flags), bool)])))
+                shared = np.zeros(len(page.lines), bool)
+                if bits:
+                    at = np.flatnonzero(page.compared)
+                    shared[at] = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(at)]
+                texts.append(page.text(shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
