@@ -377,3 +377,13 @@ def test_copies_next_to_each_other_lose_their_frame(spark, monkeypatch):
         assert {got[i] for i in range(12)} == {"\n\n".join(parts)}
         assert [got[20 + i] for i in range(2)] == ["\n\n".join([*parts[:7], f"part 7 of {i}", *parts[8:]]) for i in range(2)]
         assert [got[30 + i] for i in range(4)] == [f"story {x}" for x in "adef"]
+
+
+def test_marked_articles_lose_what_a_host_repeats_in_them(spark):
+    long = lambda x: f"A paragraph of some length that only {x} holds, and that no other one does."
+    page = lambda body: f"<body><main><div>Share this</div>{body}<p>{long('the notice of this house')}</p><ul><li>Read on</ul></main></body>"
+    pages = [(i, f"https://h.net/{i:02}", page(f"<p>{long(i)}</p><p>{long(-i)}</p>" + ("<p>quoted</p>" if i % 2 else ""))) for i in range(20)]
+    story = [long(f"part {k}") for k in range(30)]
+    versions = [(50 + i, f"https://v.net/{i:02}", "<article>" + "".join(f"<p>{x}</p>" for x in [*story, long(f"version {i}")]) + "</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(pages + versions, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join([long(i), long(-i)] + ["quoted"] * (i % 2)) for i in range(20)} | {50 + i: "\n\n".join([*story, long(f"version {i}")]) for i in range(20)}

@@ -9,8 +9,11 @@ nearest page of its host that is no copy. The two line lists are aligned by a
 longest common subsequence, and lines that both share are deleted: what a host
 repeats from page to page is its frame.
 
-Where a page marks its article, lines in it stay even if a neighbour has them
-too: articles quote and repeat each other, and a shared passage there is text.
+Where a page marks its article, only lines in it are compared. Articles quote
+and repeat each other, so a line there that a neighbour has too is deleted only
+if at least USUAL_SHARE of the REACH pages on both sides have it, and two of
+them. Versions of the page, which share nine tenths of its LONG_LINEs, are no
+evidence for that, so an article in many versions stays.
 A page that shares nine tenths of the shorter one's lines is a copy and tells
 nothing about the frame. Lines that most of the REACH pages on both sides have
 do not count for that: a page may be nearly all frame. More than half of these
@@ -59,6 +62,10 @@ FRAME_WORDS = frozenset(
 COPY_SHARE = 0.9
 #: Pages on each side that are looked at.
 REACH = 8
+#: The share of these that makes a line in a marked article frame.
+USUAL_SHARE = 0.75
+#: Characters of a line that tells versions of an article apart from a host's short lines.
+LONG_LINE = 60
 #: Bytes of the shared-line bits that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 RANGE_ROWS = 1000
@@ -171,12 +178,8 @@ class Page:
         return marked if marked.any() else outside
 
     def text(self, shared: np.ndarray) -> str:
-        """The article: marked lines outside frames, or, without a mark, lines outside frames that no neighbour shares."""
-        if any(m and not f for m, f in zip(self.marked, self.framed, strict=True)):
-            kept = [x for x, f, m in zip(self.lines, self.framed, self.marked, strict=True) if m and not f]
-        else:
-            kept = [x for x, f, s in zip(self.lines, self.framed, shared.tolist(), strict=True) if not f and not s]
-        return "\n\n".join(kept)
+        """The article: the compared lines that no neighbour shares."""
+        return "\n\n".join(self.lines[k] for k in np.flatnonzero(self.compared & ~shared))
 
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +227,7 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page_key, host, path, alike (a digest of host and lines), lines (64-bit hashes of the compared lines) of each page."""
+    """page_key, host, path, alike (a digest of the rest), marked (whether an article is), lines of each page: hashes of the compared lines, the lowest bit set for long ones."""
     ship_package(pages.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,17 +236,20 @@ def line_hashes(pages: DataFrame) -> DataFrame:
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 page = Page(source or "")
                 host, path = host_and_path(url)
-                lines = np.array([xxhash.xxh3_64_intdigest(page.lines[k]) - (1 << 63) for k in np.flatnonzero(page.compared)], np.int64)
-                rows.append((host, path, xxhash.xxh3_128_digest(host.encode("utf-8", "replace") + b"\0" + lines.tobytes()), lines))
-            hosts, paths, alike, lines = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(alike, pa.binary()), pa.array(lines, pa.list_(pa.int64()))], ["page_key", "host", "path", "alike", "lines"])
+                at = np.flatnonzero(page.compared)
+                marked = bool(len(at)) and page.marked[at[0]]
+                lines = np.array([((xxhash.xxh3_64_intdigest(page.lines[k]) - (1 << 63)) & ~1) | (len(page.lines[k]) >= LONG_LINE) for k in at], np.int64)
+                rows.append((host, path, xxhash.xxh3_128_digest(host.encode("utf-8", "replace") + (b"\1" if marked else b"\0") + lines.tobytes()), marked, lines))
+            hosts, paths, alike, marked, lines = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(alike, pa.binary()), pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.int64()))], ["page_key", "host", "path", "alike", "marked", "lines"])
 
-    return pages.select("page_key", "url", "html").mapInArrow(tidied(read), "page_key long, host string, path string, alike binary, lines array<long>")
+    return pages.select("page_key", "url", "html").mapInArrow(tidied(read), "page_key long, host string, path string, alike binary, marked boolean, lines array<long>")
 
 
-def frame_lines(lines: list[np.ndarray], own: list[bool]) -> list[np.ndarray]:
+def frame_lines(lines: list[np.ndarray], marked: list[bool], own: list[bool]) -> list[np.ndarray]:
     """For each own page of a host, in order, which lines the nearest pages that are no copies have too."""
     held = [set(x.tolist()) for x in lines]
+    long = [{v for v in x if v & 1} for x in held]
     pairs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     shared = [np.zeros(len(x), bool) for x in lines]
     near, lo, hi = Counter(), 0, 0
@@ -256,14 +262,25 @@ def frame_lines(lines: list[np.ndarray], own: list[bool]) -> list[np.ndarray]:
             lo += 1
         if not own[i]:
             continue
-        n = hi - lo
+        n, frame = hi - lo, None
         usual = lambda v: near[v] == n >= 3 or near[v] >= max(4, n // 2 + 1)  # noqa: E731, B023
         mine = {v for v in held[i] if not usual(v)}
 
         def copy(j: int) -> bool:
+            if marked[i]:  # noqa: B023
+                both = len(long[i] & long[j])  # noqa: B023
+                return both > 0 and both >= COPY_SHARE * min(len(long[i]), len(long[j]))  # noqa: B023
             both = len(mine & held[j])  # noqa: B023
             return both > 0 and both >= COPY_SHARE * min(len(mine), sum(not usual(v) for v in held[j]))  # noqa: B023
 
+        if marked[i]:
+            if all(near[v] < 3 for v in held[i]):
+                continue
+            others = [j for j in range(lo, hi) if j != i and not copy(j)]
+            has = Counter(v for j in others for v in held[i] & held[j])
+            frame = [v for v, c in has.items() if c >= max(2, USUAL_SHARE * len(others))]
+            if not frame:
+                continue
         for side in (range(i - 1, lo - 1, -1), range(i + 1, hi)):
             j = next((j for j in side if not copy(j)), None)
             if j is not None:
@@ -271,6 +288,8 @@ def frame_lines(lines: list[np.ndarray], own: list[bool]) -> list[np.ndarray]:
                 if (a, b) not in pairs:
                     pairs[a, b] = common_lines(lines[a], lines[b])
                 shared[i] |= pairs[a, b][i == b]
+        if frame:
+            shared[i] &= np.isin(lines[i], frame)
         pairs = {k: v for k, v in pairs.items() if k[1] > i}
     return shared
 
@@ -279,7 +298,7 @@ def shared_lines(hashed: DataFrame) -> DataFrame:
     """page_key, shared (a bit for each compared line, packed) of the pages of which lines are frame."""
     spark = hashed.sparkSession
     ship_package(spark)
-    one = hashed.where(F.size("lines") > 0).groupBy("alike").agg(F.first("host").alias("host"), F.min(F.struct("host", "path", "page_key")).alias("place"), F.first("lines").alias("lines"))
+    one = hashed.where(F.size("lines") > 0).groupBy("alike").agg(F.first("host").alias("host"), F.min(F.struct("host", "path", "page_key")).alias("place"), F.first("marked").alias("marked"), F.first("lines").alias("lines"))
     rows = numbered(one, "place").drop("place")
     blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("row_no") - REACH) / RANGE_ROWS), F.floor((F.col("row_no") + REACH) / RANGE_ROWS))
     size = RANGE_ROWS
@@ -287,11 +306,11 @@ def shared_lines(hashed: DataFrame) -> DataFrame:
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("row_no")
         block = key[0].as_py()
-        hosts, alike = (table.column(c).to_pylist() for c in ("host", "alike"))
+        hosts, alike, marked = (table.column(c).to_pylist() for c in ("host", "alike", "marked"))
         own = [k // size == block for k in table.column("row_no").to_pylist()]
         lines = [np.array(x, np.int64) for x in table.column("lines").to_pylist()]
         ends = [0, *(k for k in range(1, len(hosts)) if hosts[k] != hosts[k - 1]), len(hosts)]
-        shared = [x for a, b in zip(ends[:-1], ends[1:], strict=True) for x in frame_lines(lines[a:b], own[a:b])]
+        shared = [x for a, b in zip(ends[:-1], ends[1:], strict=True) for x in frame_lines(lines[a:b], marked[a:b], own[a:b])]
         some = [k for k in range(len(hosts)) if own[k] and shared[k].any()]
         return pa.table({"alike": pa.array([alike[k] for k in some], pa.binary()), "shared": pa.array([np.packbits(shared[k]).tobytes() for k in some], pa.binary())})
 
