@@ -264,6 +264,18 @@ def test_languages_held_out(spark, odd, none):
     assert langid.recognised(docs).columns == docs.columns
 
 
+def test_all_of_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "UPDATES", 40)
+    rnd = random.Random(6)
+    kinds = {f"l{k:02}": ["".join(chr(192 + 3 * k + rnd.randrange(3)) for _ in range(rnd.randint(3, 7))) for _ in range(6)] for k in range(66)}
+    rows = [(n, " ".join(rnd.choice(w) for _ in range(30)) + " a", k) for n, (k, w) in enumerate(x for x in kinds.items() for _ in range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs.where("doc_id % 4 <> 2"))
+    assert net.langs == sorted(kinds)
+    got = langid.identify(docs.where("doc_id % 4 = 2"), net).collect()
+    assert {r.lang for r in got if r.lang == r.lang_pred and r.score >= 0.35} == set(kinds)
+
+
 # chat
 
 

@@ -6,6 +6,10 @@ document's language. Prediction reads every byte of a text: it is cut into
 windows, each position gets its label probabilities from both directions, and
 a document's probabilities are the mean over all its positions.
 
+Every language that a row names is learned, however rare. The state and the
+updates grow with the number of languages; up to FEW_LANGS they are HIDDEN and
+UPDATES.
+
 Nulls: a null text, or one without a letter, is UNDECIDED with score 0; null
 langs teach nothing. With no labelled rows at all everything is UNDECIDED.
 Ties go to the language first in order. Repeated rows are predicted one by
@@ -29,6 +33,11 @@ UNDECIDED = "und"
 WINDOW = 64
 HIDDEN = 8
 LANES = 4096
+UPDATES = 240
+#: Languages up to which the network and its training have their least size.
+FEW_LANGS = 8
+#: Languages whose drawn ids may be broadcast; beyond it the join shuffles.
+BROADCAST_LANGS = 5000
 
 
 @dataclass
@@ -113,8 +122,9 @@ class ByteGRU:
         total = np.zeros((len(sizes), len(self.langs)))
         padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
         span = np.arange(WINDOW)
-        for lo in range(0, len(doc), LANES):
-            d, b = doc[lo : lo + LANES], begin[lo : lo + LANES]
+        lanes = max(64, LANES * FEW_LANGS // max(FEW_LANGS, len(self.langs)))
+        for lo in range(0, len(doc), lanes):
+            d, b = doc[lo : lo + lanes], begin[lo : lo + lanes]
             left = sizes[d] - b
             inside = span < left[:, None]
             windows = padded[(offsets[d] + b)[:, None] + span] * inside
@@ -124,10 +134,18 @@ class ByteGRU:
         return total / np.maximum(sizes, 1)[:, None]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, updates: int = 240, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteGRU:
+def network_size(n_langs: int) -> tuple[int, int]:
+    """(hidden units of each direction, updates) for so many languages."""
+    more = max(1.0, n_langs / FEW_LANGS)
+    return round(HIDDEN * more**0.5), round(UPDATES * more**0.5)
+
+
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, updates: int | None = None, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteGRU:
     """Adam on the mean cross-entropy of all positions; the same windows always give the same network."""
     rng = np.random.default_rng(seed)
-    H, K = HIDDEN, len(langs)
+    K = len(langs)
+    H, needed = network_size(K)
+    updates = needed if updates is None else updates
     small = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     net = ByteGRU(langs, Direction(small(3 * H, 256), small(3 * H, H)), Direction(small(3 * H, 256), small(3 * H, H)), small(K, 2 * H), np.zeros((K, 1), np.float32))
     weights = [net.forward.by_byte, net.forward.by_state, net.backward.by_byte, net.backward.by_state, net.to_label, net.bias]
@@ -169,20 +187,19 @@ def training_windows(texts: list[str], labels: np.ndarray, each: int = 8) -> tup
     return np.array(out, np.uint8).reshape(-1, WINDOW), np.array(of, np.int64)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 192, most_langs: int = 64) -> ByteGRU | None:
-    """Learn from at most ``per_lang`` documents of each of the ``most_langs`` most frequent languages, picked by hash.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 192) -> ByteGRU | None:
+    """Learn from at most ``per_lang`` documents of each language, picked by hash.
 
     The pick is one document for each hash slot of a language, so it is the
     same however rows are dealt; only windows of picked texts reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    langs = sorted(r.lang for r in counted)
+    langs = sorted(r.lang for r in usable.select("lang").distinct().collect())
     if not langs:
         return None
     draw = F.xxhash64("id", F.lit(11))
-    picked = usable.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod(draw, F.lit(per_lang)).alias("slot")).agg(F.min_by("id", F.struct(draw, "id")).alias("id")).select("id").distinct()
+    picked = usable.groupBy("lang", F.pmod(draw, F.lit(per_lang)).alias("slot")).agg(F.min_by("id", F.struct(draw, "id")).alias("id")).select("id").distinct()
     number = {lang: k for k, lang in enumerate(langs)}
     ship_package(docs.sparkSession)
 
@@ -191,7 +208,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             windows = [training_windows([text], np.zeros(1, np.int64))[0].tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.binary())], ["id", "lang", "windows"])
 
-    found = usable.where(F.col("lang").isin(langs)).join(F.broadcast(picked), "id", "left_semi").select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(tidied(cut), "id string, lang string, windows binary")
+    found = usable.join(F.broadcast(picked) if len(langs) <= BROADCAST_LANGS else picked, "id", "left_semi").select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(tidied(cut), "id string, lang string, windows binary")
     sample = sorted({r.id: r for r in found.collect()}.values(), key=lambda r: r.id)
     windows = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample]
     labels = np.repeat([number[r.lang] for r in sample], [len(w) for w in windows])
