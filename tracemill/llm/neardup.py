@@ -9,15 +9,19 @@ candidates are found between class representatives only.
 Candidate edges are stars: in every bucket each representative meets the least
 one, its hub. Edges are confirmed on full sets, and components drawn. A link
 between two members that are both unlike the hub would be lost, so a second,
-exact search goes on inside the stars whose members are still in several
-components. In a small star the members left apart are compared. The members
-of all larger ones order their shingles from rare to frequent, by counts over
-these members; two sets alike share a shingle in the first few places (prefix
-filter), where a copy has its own edits and not what its whole group shares, so
-members meet that share rare shingles only. Where a shingle still brings many
-together, that group becomes a star in its turn before its pairs are made. The
-layout of bands follows the threshold s: a pair at it shares no bucket with
-probability (1 - s ** rows) ** bands, below one in a million.
+exact search goes on among the members of all stars whose members are still in
+several components. They order their shingles from rare to frequent, by counts
+over these members; two sets alike share a shingle in the first few places
+(prefix filter), where a copy has its own edits and not what its whole group
+shares, so members meet that share rare shingles only. A shingle whose holders
+are in one component has nothing more to say and is dropped for good, as
+components only merge. Where a shingle still brings many together, that group
+becomes a star in its turn before its pairs are made. The layout of bands
+follows the threshold s: a pair at it shares no bucket with probability
+(1 - s ** rows) ** bands, below one in a million for independent bins.
+
+A row is a document. Rows that share a doc_id but not their text are numbered,
+in the order of their ids, and searched under these numbers.
 
 Nulls: a null, empty or blank text has an empty set and is linked with
 nothing; a null doc_id is its own row with a null component. Repeated rows
@@ -36,15 +40,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
+from tracemill.operators.batches import numbered
 from tracemill.operators.components import components
-from tracemill.scratch import materialize, ship_package
+from tracemill.scratch import discard, materialize, ship_package
 
 SHINGLE = 5
 BINS = 128
 #: Ids that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Members of a star that are compared pair by pair where they are left apart.
-SMALL_STAR = 8
 #: Meetings of the second search that one class may cause on average before its groups become stars first.
 PAIRS_EACH = 2
 
@@ -121,13 +124,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set; null for an empty one), bands."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key (128 bits of the set; null for an empty one), bands."""
     ship_package(docs.sparkSession)
     n_bands, n_rows = layout(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for lo, hi in row_chunks(offsets):
                 values, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 keys: list[bytes | None] = []
@@ -135,9 +138,11 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     keys.append(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None)
                     rows.append(band_keys(signature(values[a:b]), n_bands, n_rows).view(np.int64) if b > a else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                left = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*left, pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(tidied(sign), "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -202,100 +207,131 @@ def rare_prefixes(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("rep", "n", "shingle", "place")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-
-
 class _Search:
     """Links found so far, their components and the pairs compared."""
 
     def __init__(self, texts: DataFrame, percent: int):
         self.texts, self.percent = texts, percent
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
+        self.links: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> bool:
         """Compare the pairs (a, b) that weren't yet, join components; whether there was a link."""
-        fresh = pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        found = materialize(confirm(fresh, self.texts, self.percent), "links")
-        self.tried = fresh if self.tried is None else materialize(self.tried.unionByName(fresh), "pairs")
+        for before in self.tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        self.tried.append(materialize(pairs, "pairs"))
+        found = materialize(confirm(self.tried[-1], self.texts, self.percent), "links")
         some = not found.isEmpty()
-        if self.links is None or some:
-            self.links = found if self.links is None else materialize(self.links.unionByName(found), "links")
-            self.roots = materialize(components(self.links), "roots")
+        if self.roots is None or some:
+            self.links.append(found)
+            discard(*([] if self.roots is None else [self.roots]))
+            every = self.links[0]
+            for more in self.links[1:]:
+                every = every.unionByName(more)
+            self.roots = materialize(components(every), "roots")
         return some
 
-    def apart(self, left: DataFrame, right: DataFrame, on: list[str], when: Column | None = None) -> DataFrame:
-        """Pairs (a, b) of left and right rows (rep, n, root, place and the key) in different components that can be alike."""
-        other = right.select(*on, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"), *([F.col("place").alias("place2")] if when is not None else []))
-        test = (F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), self.percent)
-        met = left.join(other, on).where(test if when is None else test & when)
-        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    def rooted(self, members: DataFrame) -> DataFrame:
+        """Adds root, the component of each row's ``rep``."""
+        return members.join(self.roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
-    def inside(self, stars: DataFrame, most: int) -> None:
-        """The second search over stars (a, rep, n), each member of a star once."""
-        members = materialize(_rooted(stars, self.roots), "members")
-        open_ = members.groupBy("a").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a", "crowd")
-        members = materialize(members.join(open_, "a"), "members")
-        small = members.where(F.col("crowd") <= SMALL_STAR)
-        large = members.where(F.col("crowd") > SMALL_STAR).select("rep").distinct()
-        self.add(self.apart(small, small, ["a"]))
-        if large.isEmpty():
-            return
-        prefixes = materialize(rare_prefixes(large, self.texts, self.percent), "prefixes")
+    def apart(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs (a, b) of rows (shingle, rep, n, root, place) in different components that can be alike."""
+        other = right.select("shingle", *(F.col(c).alias(c + "2") for c in ("rep", "n", "root", "place")))
         # an overlap that the threshold asks of two sets leaves so many places before the first common shingle
         need = F.ceil(F.lit(self.percent) * (F.col("n") + F.col("n2")) / F.lit(100 + self.percent))
         early = (F.col("place") <= F.col("n") - need) & (F.col("place2") <= F.col("n2") - need)
+        met = left.join(other, "shingle").where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), self.percent) & early)
+        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+    def inside(self, stars: DataFrame, most: int) -> None:
+        """The second search over stars (a, rep), each member of a star once."""
+        members = self.rooted(stars)
+        open_ = members.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
+        reps = materialize(members.join(open_, "a").select("rep").distinct(), "members")
+        if reps.isEmpty():
+            return
+        held = materialize(rare_prefixes(reps, self.texts, self.percent), "prefixes")
         help_ = True
         while True:
-            now = _rooted(prefixes, self.roots)
+            # one row a member is rooted, and its shingles take the root from it
+            now = held.join(self.rooted(reps), "rep")
             counted = now.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
             groups = counted.groupBy("shingle").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("in_main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
             groups = materialize(groups.select("shingle", "main", "all", (F.col("all") - F.col("in_main")).alias("outside")), "groups")
             due = groups.agg(F.coalesce(F.sum(F.col("outside") * F.col("all")), F.lit(0)).alias("pairs")).first().pairs
             met = materialize(now.join(groups.select("shingle", "main"), "shingle"), "met")
+            discard(held)
             outside = met.where("root <> main")
             closing = due <= most or not help_
             if not closing:
                 hubs = outside.groupBy("shingle").agg(F.min("rep").alias("hub"))
                 outside = outside.join(hubs, "shingle").where("rep = hub")
-            help_ = self.add(self.apart(outside, met, ["shingle"], early))
+            help_ = self.add(self.apart(outside, met))
+            discard(groups)
             if closing:
+                discard(met)
                 return
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent`` per cent), kept."""
-    signed = materialize(signatures(docs, id_col=id_col, text_col=text_col, percent=percent), "signatures")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+            held = met.select("rep", "n", "shingle", "place")
+            held._scratch_path = met._scratch_path
+
+
+def _one_id_a_text(signed: DataFrame) -> DataFrame | None:
+    """doc_id, text_key, row_no: a number for every text of an id, in the order of ids; None where no id has two texts."""
+    texts = signed.where("set_key is not null and doc_id is not null").select("doc_id", "text_key").distinct()
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return numbered(texts.withColumn("place", F.struct("doc_id", "text_key")), "place").drop("place")
+
+
+def _searched(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, is_root (whether the row's text and id are those that name the component; null for an empty set or id)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = materialize(signatures(rows, percent=percent), "signatures")
+    texts, ids, named = rows, signed, _one_id_a_text(signed)
+    if named is not None:
+        named = materialize(named, "numbered")
+        texts = rows.withColumn("text_key", F.xxhash64("text")).join(named, ["doc_id", "text_key"]).dropDuplicates(["row_no"]).select(F.col("row_no").alias("doc_id"), "text")
+        ids = signed.join(named, ["doc_id", "text_key"]).drop("doc_id").withColumnRenamed("row_no", "doc_id")
+    classes = ids.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("hub")).where("size > 1")
     stars = materialize(members.join(hubs, "bucket").where(F.col("rep") != F.col("hub.rep")).select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), "rep", "n").distinct(), "stars")
     search = _Search(texts, percent)
     search.add(stars.where(_alike(F.col("n"), F.col("n_a"), percent)).select("a", F.col("rep").alias("b")))
-    search.inside(stars.select("a", "rep", "n"), PAIRS_EACH * max(1000, classes.count()))
-    roots = search.roots
+    search.inside(stars.select("a", "rep"), PAIRS_EACH * max(1000, classes.count()))
+    discard(stars)
 
-    rooted = classes.select("set_key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(rooted, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rooted = search.rooted(classes.select("set_key", "rep")).select("set_key", "root")
+    if named is not None:
+        rooted = rooted.join(named.select(F.col("row_no").alias("root"), F.col("doc_id").alias("root_id"), F.col("text_key").alias("root_key")), "root").drop("root")
+    else:
+        rooted = rooted.withColumnRenamed("root", "root_id").withColumn("root_key", F.lit(None).cast("long"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(rooted, "set_key", "left")
+    own = (F.col("doc_id") == F.col("root_id")) & F.coalesce(F.col("text_key") == F.col("root_key"), F.lit(True))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("root_id", "doc_id").alias("component_id"), own.alias("is_root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent`` per cent), kept."""
+    found = _searched(docs, id_col, text_col, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component, and of rows that share an id, one.
+    """The rows of ``docs`` that stay, with their columns: of each component the one with the least id (and, of texts of that id, the least hash).
 
-    Rows with a null id all stay.
+    Of repeated rows, equal in id and text, one stays; rows with a null id all
+    stay, as do documents with an empty set, which are linked with nothing.
     """
-    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "components")
-    ids = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d"), F.count_if(~F.col("kept")).alias("gone")).first()
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(F.broadcast(gone) if ids.gone <= BROADCAST_IDS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if ids.n == ids.d:
+    found = materialize(_searched(docs, id_col, text_col, percent), "components")
+    numbers = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id", F.coalesce("text_key", F.lit(0))).alias("d"), F.count_if(~F.col("is_root")).alias("gone")).first()
+    key, hashed = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    gone = found.where(~F.col("is_root")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    left = docs.join(F.broadcast(gone) if numbers.gone <= BROADCAST_IDS else gone, (key == F.col("__gone_id")) & (hashed == F.col("__gone_key")), "left_anti")
+    if numbers.n == numbers.d:
         return left
-    whole = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    whole = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
     return whole.unionByName(left.where(F.col(id_col).isNull()))
