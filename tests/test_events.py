@@ -134,7 +134,14 @@ def test_privacy(spark):
     shown, rejected = privacy.public_events(rows)
     assert [r.seq for r in shown.orderBy("seq").collect()] == [0, 4]
     assert [(r.seq, r.reason) for r in rejected.orderBy("seq").collect()] == [(1, "private-level"), (2, "unknown-level"), (3, "unknown-level")]
-    assert shown.orderBy("seq").first().provenance == '{"source":"s","privacy":{"level":"public","pathMode":"plain","publicIndexAllowed":true,"reason":"public-level"}}'
+    import json
+
+    assert json.loads(shown.orderBy("seq").first().provenance) == {"source": "s", "privacy": {"level": "public", "pathMode": "plain", "publicIndexAllowed": True, "reason": "public-level"}}
+    held = raw(spark, [{"payload": '{"k":1}', "provenance": q} for q in ('{"privacy":{"old":1},"n":{"deep":[1,"}"]}}', "[1]", "not json")])
+    merged = [json.loads(r.provenance) for r in privacy.public_events(held)[0].orderBy("seq").collect()]
+    assert merged[0]["n"] == {"deep": [1, "}"]} and merged[0]["privacy"]["reason"] == "public-level" and set(merged[1]) == set(merged[2]) == {"privacy"}
+    with pytest.raises(ValueError, match="salt"):
+        privacy.hashed_path_events(rows, privacy.PublicIndexPolicy())
     hashed = privacy.hashed_path_events(rows, privacy.PublicIndexPolicy(salt="test-salt")).orderBy("seq").collect()
     assert len(hashed) == 5 and hashed[0].actor_path[0] == "hash-sha256:" + identity.sha256_hex(b"test-salt\0a")
     assert '"pathMode":"hashed"' in hashed[1].provenance and "secret" in hashed[1].provenance

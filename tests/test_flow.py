@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tests.corpus import corpus
+from tests.corpus import core, document, tool_run
 from tracemill import cli
 from tracemill.functions import identity
 from tracemill.operators import mining, reasoning, snapshots
@@ -14,70 +14,73 @@ from tracemill.plans.recorder import Recorder
 
 @pytest.fixture(scope="module")
 def done(spark):
-    f = flow.Flow(spark, corpus())
+    f = flow.Flow(spark, document())
     return f, f.run()
 
 
 def test_all_checks_hold(done):
     f, out = done
-    assert all(out["checks"].values()), out["checks"]
-    assert out["events"]["count"] == 9 and out["derivedArtifacts"]["claimCount"] == 2
-    assert out["snapshot"]["eventCount"] == 8 and out["snapshot"]["rawPayloadsScanned"] is False
+    assert out["ok"] and all(out["checks"].values()), out["checks"]
+    assert out["events"] == 7 and out["artifacts"] == {"run": 4, "claim": 2, "claim-occurrence": 3, "claim-cluster": 1, "feature": 1, "feature-occurrence": 1, "pattern": 3, "pattern-occurrence": 4, "reasoning-input": 1, "reasoning-output": 2, "belief-revision-history": 1}
+    assert f.results["hour"]["events"] == 6
 
 
 def test_support_vectors(done):
-    _, out = done
-    seq, item, motif = (out["patterns"][k]["supportVector"] for k in ("sequence", "itemset", "graphMotif"))
+    f, _ = done
+    seq, item, motif = (f.results[k]["vector"] for k in ("cool", "twice", "reply"))
     assert (seq["rootTraceSupport"], seq["occurrenceSupport"], seq["eventSupport"], seq["sourceSupport"], seq["extractorRunSupport"]) == (1, 1, 3, 1, 0)
-    assert item["itemsetSupport"] == item["occurrenceSupport"] == 5 and item["rootTraceSupport"] == 5
-    assert motif["edgeSupport"] == 1
+    assert item["itemsetSupport"] == item["occurrenceSupport"] == 2 and item["rootTraceSupport"] == 2 and item["actorSupport"] == 1
+    assert motif["edgeSupport"] == 1 and f.results["nothing"] == {"id": None, "occurrences": [], "vector": {}}
 
 
 def test_identities_are_content_hashes(done):
-    f, out = done
-    run = next(a for a in f.rec._artifacts.values() if a[2] == out["derivedArtifacts"]["runId"])
+    f, _ = done
+    run = next(a for a in f.recorder._artifacts.values() if a[2] == f.results["read"]["id"])
     assert run[2] == "run:" + identity.sha256_hex(run[4].encode()) and run[3] == identity.cid(run[4].encode())
     pointer = json.loads(run[5])
-    assert pointer["extractorKey"] == "extractor-1" and pointer["minerKey"] == pointer["reasonerKey"] == ""
+    assert pointer["extractorKey"] == "reader-7" and pointer["minerKey"] == pointer["reasonerKey"] == ""
+    assert pointer["kind"] == "run-pointer" and pointer["schema"] == "run-pointer-v0.1"
 
 
 def test_reverse_indexes(done):
-    f, out = done
-    posts = px.derived_postings(f.rec.artifacts())
-    run = out["derivedArtifacts"]["runId"]
-    found = [r.id for r in px.lookup(posts, "outputs_by_run", run).collect()]
-    assert found == [*out["derivedArtifacts"]["claimOccurrenceIds"], out["derivedArtifacts"]["featureOccurrenceId"]]
-    assert [r.id for r in px.lookup(posts, "runs_by_extractor", "extractor-1").collect()] == [run]
-    assert px.lookup(posts, "runs_by_miner", "").count() == 0
-    assert [r.id for r in px.lookup(posts, "patterns_by_input_snapshot", out["snapshot"]["cid"]).collect()] == [p["patternId"] for p in out["patterns"].values()]
+    f, _ = done
+    posts = px.derived_postings(f.recorder.artifacts())
+    ids = lambda index, key: [r.id for r in px.lookup(posts, index, key).collect()]
+    read, r = f.results["read"]["id"], f.results
+    assert ids("outputs_by_run", read) == [r[k]["id"] for k in ("thirsty", "thirsty_too", "airless", "heat")]
+    assert ids("runs_by_extractor", "reader-7") == [read] and ids("runs_by_miner", "") == []
+    assert ids("patterns_by_input_snapshot", r["hour"]["cid"]) == [r[k]["id"] for k in ("cool", "twice", "reply")]
+    assert ids("patterns_by_type", "itemset") == [r["twice"]["id"]] and ids("runs_by_reasoner", "thinker-2") == [r["think"]["id"], r["rethink"]["id"]]
+    assert ids("outputs_by_input", r["given"]["id"]) == ids("outputs_by_claim", r["thirsty"]["claim"]["id"]) == [r["first"]["id"], r["second"]["id"]]
+    assert ids("clusters_by_claim", r["airless"]["claim"]["id"]) == [r["needs"]["id"]]
 
 
 def test_snapshot_tokens_carry_claims_and_features(done):
     f, _ = done
-    tokens = {r.token for r in f.snapshot.tokens.collect()}
-    assert {"artifact.kind:claim-occurrence", "feature.type:topic", f"claim:{f.claim['id']}"} <= tokens
-    assert f.snapshot.events.agg(F.max("local_id")).first()[0] == 8
+    snap = f.results["hour"]["frames"]
+    tokens = {r.token for r in snap.tokens.collect()}
+    assert {"artifact.kind:claim-occurrence", "feature.type:heat", f"claim:{f.results['thirsty']['claim']['id']}"} <= tokens
+    assert snap.events.agg(F.max("local_id")).first()[0] == 6
 
 
 def test_empty_and_unknown_candidates(done):
-    f, _ = done
-    assert mining.support_for_tokens(f.snapshot, []).count() == 0
-    assert mining.support_for_tokens(f.snapshot, ["nothing"]).count() == 0
-    assert mining.mine_sequence(f.snapshot, []).occurrences.count() == 0
-    assert mining.mine_sequence(f.snapshot, ["message"], min_support=99).support.count() == 0
-    late = mining.mine_sequence(f.snapshot, ["message", "memory-query"], max_window_seconds=1)
-    assert late.occurrences.count() == 1
-    assert mining.mine_sequence(f.snapshot, ["message", "memory-query"], max_window_seconds=1, enforce_window=True).occurrences.count() == 0
+    snap = done[0].results["hour"]["frames"]
+    assert mining.support_for_tokens(snap, []).count() == 0
+    assert mining.support_for_tokens(snap, ["nothing"]).count() == 0
+    assert mining.mine_sequence(snap, []).occurrences.count() == 0
+    assert mining.mine_sequence(snap, ["message"], min_support=99).support.count() == 0
+    assert mining.mine_sequence(snap, ["reading", "vent"], max_window_seconds=1).occurrences.count() == 1
+    assert mining.mine_sequence(snap, ["reading", "vent"], max_window_seconds=1, enforce_window=True).occurrences.count() == 0
 
 
 def test_reasoning_rules(spark, done):
-    f, out = done
+    f, _ = done
     rows = spark.createDataFrame([("denied",), ("Denied",), ("negative",), ("asserted",), (None,)], "p string")
     assert [r[0] for r in rows.select(reasoning.is_negative(F.col("p"))).collect()] == [True, False, True, False, False]
-    other = f.outputs[0] | {"state": f.outputs[0]["state"] | {"claimId": "claim:other"}}
+    first, claim = f.results["first"], f.results["thirsty"]["claim"]["id"]
     with pytest.raises(ValueError, match="belongs to claim claim:other"):
-        f.rec.belief_history(f.claim["id"], [f.outputs[0], other], "p")
-    assert f.outputs[0]["state"]["beliefStateId"] != f.outputs[1]["state"]["beliefStateId"]
+        f.recorder.belief_history(claim, [first, first | {"state": first["state"] | {"claimId": "claim:other"}}], "p")
+    assert first["state"]["beliefStateId"] != f.results["second"]["state"]["beliefStateId"]
     outputs = spark.createDataFrame([("c1", "o1"), ("c2", "o2")], "claim_id string, output_id string")
     with pytest.raises(Exception, match="o2 belongs to claim c2"):
         reasoning.require_one_claim(outputs, "c1").collect()
@@ -85,34 +88,39 @@ def test_reasoning_rules(spark, done):
 
 def test_workers_chain_events(spark):
     rec = Recorder(spark)
-    root = rec.irc_message(corpus()["ircMessages"]["single"])
-    q, r = rec.memory_query("q", [{"id": 1}], "2026-06-27T14:00:01Z", "2026-06-27T14:00:02Z", [root["event_id"]])
-    s, t, out, err = rec.shell_action({"command": ["ls"], "cwd": "/", "allowlistPolicy": "p"}, 0, "text", b"", "2026-06-27T14:00:03Z", "2026-06-27T14:00:04Z", [r["event_id"]])
-    run, claims, features, event = rec.extraction({k: v for k, v in corpus()["extractionRun"].items()}, [{"core": corpus()["claimCores"][0]["body"], "event_id": root["event_id"]}], [{"core": corpus()["featureCore"], "event_id": "event:unknown"}], [root["event_id"]], [root["event_id"]])
+    root = rec.irc_message({k: document()["steps"][0][k] for k in ("server", "room", "nick", "message", "raw", "observedAt")})
+    at = lambda m: f"2031-03-04T10:{m:02}:00Z"
+    q, r = rec.memory_query("q", [{"id": 1}], at(1), at(2), [root["event_id"]], agent=["agent", "house", "memory", "m-1"], channel=["system", "memory"])
+    s, t, out, err = rec.shell_action({"command": ["ls"], "cwd": "/", "allowlistPolicy": "p"}, 0, "text", b"", at(3), at(4), [r["event_id"]], agent=["agent", "house", "shell", "s-1"], channel=["system", "shell"])
+    run, claims, features, event = rec.extraction(tool_run("claim-extraction", "reader-7", "20"), [{"core": core("water"), "event_id": root["event_id"]}], [{"core": {"kind": "feature", "schema": "feature-core-v0.1", "featureType": "heat", "value": 1}, "event_id": "event:unknown"}], [root["event_id"]], [root["event_id"]], agent=["agent", "house", "reader", "reader-7"], channel=["system", "reading"])
     events = rec.events()
     posts = px.event_postings(events)
     assert [x.id for x in px.lookup(posts, "root", root["event_id"]).collect()] == [e["event_id"] for e in (root, q, r, s, t, event)]
     row = events.where(F.col("event_id") == t["event_id"]).first()
-    assert list(row.output_artifact_ids) == [out, err] and out == identity.cid(b"text")
+    assert list(row.output_artifact_ids) == [out, err] and out == identity.cid(b"text") and list(row.actor_path)[-1] == "s-1"
     with pytest.raises(KeyError):
-        rec.claim_occurrence(corpus()["claimCores"][0]["body"], "event:unknown", run["id"], {})
-    assert rec.claim(corpus()["claimCores"][0]["body"])["duplicate"]
+        rec.claim_occurrence(core("water"), "event:unknown", run["id"], {})
+    assert rec.claim(core("water"))["duplicate"]
     cluster = rec.claim_cluster("same", [claims[0]["id"], claims[0]["id"]], {"name": "m"}, 0.5)
     assert [x.id for x in px.lookup(px.derived_postings(rec.artifacts()), "clusters_by_claim", claims[0]["id"]).collect()] == [cluster["id"]]
 
 
-def test_corpus_is_checked(spark):
-    with pytest.raises(ValueError):
-        flow.Flow(spark, corpus() | {"schema": "other"})
-    with pytest.raises(ValueError):
-        flow.check_corpus(corpus(), ["x"])
+def test_documents_are_checked(spark):
+    with pytest.raises(ValueError, match="schema"):
+        flow.check_document(document(), schema="other")
+    with pytest.raises(ValueError, match="covers"):
+        flow.check_document(document(), covers=["x"])
+    with pytest.raises(ValueError, match="unknown steps: dance"):
+        flow.Flow(spark, {"steps": [{"step": "dance"}]})
+    with pytest.raises(ValueError, match="one name"):
+        flow.check_document({"steps": [{"step": "message", "as": "a"}] * 2})
 
 
 def test_command_line(tmp_path, capsys, spark):
     path = tmp_path / "c.json"
-    path.write_text(json.dumps(corpus()))
+    path.write_text(json.dumps(document()))
     assert cli.main(["summary", str(path)]) == 0
-    assert json.loads(capsys.readouterr().out)["kind"] == flow.CORPUS_KIND
+    assert json.loads(capsys.readouterr().out)["kind"] == "greenhouse-flow"
     assert cli.main(["run", str(path), "--section", "checks"]) == 0
     assert all(json.loads(capsys.readouterr().out).values())
     assert cli.main(["summary", str(tmp_path / "none")]) == 1
@@ -120,7 +128,7 @@ def test_command_line(tmp_path, capsys, spark):
 
 def test_snapshot_of_a_day_prefix(done):
     f, _ = done
-    snap = snapshots.build(f.rec.events(), f.rec.artifacts(), "/2026/06/27")
-    assert snap.events.count() == 9
+    snap = snapshots.build(f.recorder.events(), f.recorder.artifacts(), "/2031/03")
+    assert snap.events.count() == 7
     with pytest.raises(ValueError):
-        snapshots.components(snapshots.build(f.rec.events()))
+        snapshots.components(snapshots.build(f.recorder.events()))

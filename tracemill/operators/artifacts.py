@@ -27,14 +27,11 @@ def make(family: str, fields: dict[str, Any], core: dict[str, Any] | None = None
     """One artifact row without seq. ``fields`` hold body and pointer values; ``core`` is a body that comes whole."""
     spec = FAMILIES[family]
     if core is None:
-        kind = "pattern" if family == "pattern" else family
-        core = {"kind": kind, "schema": spec.schema} | {f: fields[f] for f in spec.body.split()}
+        core = {"kind": family, "schema": spec.schema} | {f: fields[f] for f in spec.body.split()}
     body = identity.canonical_json(core)
     digest = identity.sha256_hex(body.encode())
     id_, cid = f"{spec.prefix}:{digest}", identity.CID_PREFIX + digest
-    pointer_kind = f"{family}-pointer"
-    schema = "pointer-v0.1".join([f"{family}-", ""])
-    pointer = {"kind": pointer_kind, "schema": schema, f"{spec.label}Id": id_, f"{spec.label}Cid": cid} | {f: fields[f] for f in spec.pointer.split()}
+    pointer = {"kind": f"{family}-pointer", "schema": spec.pointer_schema, f"{spec.label}Id": id_, f"{spec.label}Cid": cid} | {f: fields[f] for f in spec.pointer.split()}
     return {"family": family, "id": id_, "cid": cid, "body": body, "pointer": identity.canonical_json(pointer)}
 
 

@@ -14,7 +14,8 @@ from tracemill.functions.paths import hashed_path
 class PublicIndexPolicy:
     public_levels: tuple[str, ...] = ("public",)
     private_levels: tuple[str, ...] = ("private", "confidential", "secret")
-    salt: str = "event-trace-memory-public-index-v0"
+    #: Mixed into hashed path segments; whoever publishes the index chooses it.
+    salt: str = ""
 
 
 def privacy_level(payload: Column) -> Column:
@@ -31,10 +32,12 @@ def classify(level: Column, policy: PublicIndexPolicy = PublicIndexPolicy()) ->
 
 
 def _with_decision(rows: DataFrame, mode: str) -> DataFrame:
-    said = F.to_json(F.struct(F.struct(F.col("d.level").alias("level"), F.lit(mode).alias("pathMode"), F.col("d.allowed").alias("publicIndexAllowed"), F.col("d.reason").alias("reason")).alias("privacy")))
-    old = F.coalesce("provenance", F.lit("{}"))
-    merged = F.when(F.trim(old) == "{}", said).otherwise(F.concat(F.regexp_replace(old, r"\}\s*$", ","), F.substr(said, F.lit(2))))
-    return rows.withColumn("provenance", merged).drop("d")
+    """``rows`` with the decision under ``privacy`` of their provenance, in place of one that is there; a provenance that is no object is replaced."""
+    said = F.to_json(F.struct(F.col("d.level").alias("level"), F.lit(mode).alias("pathMode"), F.col("d.allowed").alias("publicIndexAllowed"), F.col("d.reason").alias("reason")))
+    held = F.coalesce(F.try_variant_get(F.try_parse_json("provenance"), F.lit("$"), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    others = F.map_filter(held, lambda k, _: k != "privacy")
+    merged = F.map_concat(others, F.create_map(F.lit("privacy"), F.parse_json(said)))
+    return rows.withColumn("provenance", F.to_json(merged)).drop("d")
 
 
 def public_events(raw: DataFrame, policy: PublicIndexPolicy = PublicIndexPolicy()) -> tuple[DataFrame, DataFrame]:
@@ -43,8 +46,10 @@ def public_events(raw: DataFrame, policy: PublicIndexPolicy = PublicIndexPolicy(
     return _with_decision(judged.where("d.allowed"), "plain"), judged.where("not d.allowed").select(*raw.columns, F.col("d.reason").alias("reason"))
 
 
-def hashed_path_events(raw: DataFrame, policy: PublicIndexPolicy = PublicIndexPolicy()) -> DataFrame:
+def hashed_path_events(raw: DataFrame, policy: PublicIndexPolicy) -> DataFrame:
     """All rows with hashed actor and channel paths and the decision in their provenance; private ones are kept."""
+    if not policy.salt:
+        raise ValueError("hashed paths need a salt")
     judged = raw.withColumn("d", classify(privacy_level(F.col("payload")), policy))
     hashed = judged.withColumn("actor_path", hashed_path(F.col("actor_path"), policy.salt)).withColumn("channel_path", hashed_path(F.col("channel_path"), policy.salt))
     return _with_decision(hashed, "hashed")

@@ -1,8 +1,21 @@
-"""The end-to-end flow over a small corpus document: ingest, extract, snapshot, mine, reason, revise, check."""
+"""Flows: a document lists steps in order, and each is recorded, mined or reasoned over in turn.
+
+A document holds ``kind`` and ``schema`` (any texts), optional ``covers``, the
+``steps``, and ``checks``. A step is an object with ``step``, the name of an
+action, an optional ``as``, the name of its result, and the action's arguments.
+A text ``$name.field.0`` in an argument stands for that part of an earlier
+result; ``$$`` stands for a dollar sign. A check lists two values that must be
+equal; ``{"lookup": [index, key]}`` as a value is the list that an index holds.
+
+Actions read frames from the recorder only where an operator needs them, so a
+flow is for documents that a driver can hold; bulk data go through the
+operators themselves.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,148 +25,180 @@ from tracemill.functions import identity
 from tracemill.operators import mining, reasoning, snapshots
 from tracemill.operators import postings as px
 from tracemill.plans.recorder import Recorder
+from tracemill.schemas import VECTOR_FIELDS
 
-# Fixed values of the corpus format.
-CORPUS_KIND, CORPUS_SCHEMA = "event-trace-memory-fixture-corpus", "fixture-corpus-v0.1"
-VECTOR_NAMES = {
-    "event_support": "eventSupport", "actor_support": "actorSupport", "channel_support": "channelSupport", "day_support": "daySupport", "source_support": "sourceSupport", "extractor_run_support": "extractorRunSupport",
-    "root_trace_support": "rootTraceSupport", "occurrence_support": "occurrenceSupport", "itemset_support": "itemsetSupport", "edge_support": "edgeSupport",
-}
-WHOLE = {"kind": "whole-event"}
+ACTIONS: dict[str, Callable[..., Any]] = {}
 
 
-def load_corpus(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def action(f: Callable[..., Any]) -> Callable[..., Any]:
+    ACTIONS[f.__name__] = f
+    return f
 
 
-def check_corpus(corpus: dict, covers: list[str] | None = None) -> None:
-    if corpus.get("kind") != CORPUS_KIND or corpus.get("schema") != CORPUS_SCHEMA:
-        raise ValueError(f"not a corpus of kind {CORPUS_KIND} and schema {CORPUS_SCHEMA}")
-    if covers is not None and corpus.get("covers") != covers:
-        raise ValueError("the corpus covers other cases than expected")
+def load_document(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
-def _ids(postings: DataFrame, index: str, key: str) -> list[str]:
-    return [r.id for r in px.lookup(postings, index, key).collect()]
+def check_document(document: dict, *, kind: str | None = None, schema: str | None = None, covers: list[str] | None = None) -> None:
+    """Raise ValueError for a document of another kind, schema or coverage, or with unknown actions or repeated names."""
+    for name, wanted in (("kind", kind), ("schema", schema), ("covers", covers)):
+        if wanted is not None and document.get(name) != wanted:
+            raise ValueError(f"the document's {name} is {document.get(name)!r}, not {wanted!r}")
+    steps = document.get("steps")
+    if not isinstance(steps, list):
+        raise ValueError("the document lists no steps")
+    names = [s["as"] for s in steps if "as" in s]
+    unknown = sorted({str(s.get("step")) for s in steps} - set(ACTIONS))
+    if unknown or len(names) != len(set(names)):
+        raise ValueError(f"unknown steps: {', '.join(unknown)}" if unknown else "two steps have one name")
 
 
-def _vector(support: DataFrame) -> dict[str, int]:
-    row = support.drop("shard_path").first()
-    return {} if row is None else {VECTOR_NAMES[k]: v for k, v in row.asDict().items()}
+def vector_of(support: DataFrame) -> dict[str, int]:
+    """The one row of support counts under the names that documents use; empty for no row."""
+    row = support.first()
+    return {} if row is None else {VECTOR_FIELDS[k]: v for k, v in row.asDict().items() if k in VECTOR_FIELDS}
 
 
 class Flow:
-    """Runs a corpus step by step; frames are drawn from the recorder when an operator needs them."""
-
-    def __init__(self, spark: SparkSession, corpus: dict):
-        check_corpus(corpus)
-        self.rec, self.corpus = Recorder(spark), corpus
-
-    def ingest(self) -> None:
-        rec, c = self.rec, self.corpus
-        irc = c["ircMessages"]
-        self.root, self.duplicate = rec.irc_message(irc["single"]), rec.irc_message(irc["duplicate"])
-        alt = c["samePayloadDifferentSchemaVersion"]
-        self.readings = [rec.event(alt["rawPayload"], i["observedAt"], i["actorPath"], i["channelPath"], i["valueKind"], provenance=i["provenance"]) for i in (alt["firstInterpretation"], alt["secondInterpretation"])]
-        under = lambda x: rec.child(x["rawPayload"], x["observedAt"], x["actorPath"], x["channelPath"], x["valueKind"], [self.root["event_id"]])
-        self.query, self.shell = under(c["childEvents"]["memoryQuery"]), under(c["childEvents"]["shellAction"])
-        self.alice, self.bob = rec.irc_message(irc["sameClaimAlice"]), rec.irc_message(irc["sameClaimBob"])
-
-    def extract(self) -> None:
-        rec, c = self.rec, self.corpus
-        inputs = [e["event_id"] for e in (self.root, self.query, self.shell)]
-        self.extraction_run = run = rec.run(c["extractionRun"], input_event_ids=inputs)
-        first, second = (x["body"] for x in c["claimCores"][:2])
-        quote = lambda e: {"kind": "text-span", "quote": e["preview"]}
-        self.claims = [
-            rec.claim_occurrence(first, self.alice["event_id"], run["id"], quote(self.alice), confidence=0.82),
-            rec.claim_occurrence(first, self.bob["event_id"], run["id"], quote(self.bob), confidence=0.79),
-            rec.claim_occurrence(second, self.root["event_id"], run["id"], WHOLE, confidence=0.84),
-        ]
-        self.claim = rec.claim(first)
-        self.feature = rec.feature_occurrence(c["featureCore"], self.root["event_id"], run["id"], 0.91, WHOLE)
-        at = "2026-06-27T14:35:05Z"
-        payload = {"kind": "extraction-run", "runId": run["id"], "runCid": run["cid"], "observedAt": at}
-        self.extraction_event = rec.child(payload, at, ["agent", "omega-claw", "extractor", "claim-extractor-v0.1"], ["system", "extraction", "claims"], "extraction-run", [self.root["event_id"]], input_event_ids=inputs, output_artifact_ids=[x["id"] for x in (*self.claims, self.feature)])
-
-    def mine(self) -> None:
-        rec, c = self.rec, self.corpus
-        self.snapshot = snap = snapshots.build(rec.events(), rec.artifacts(), c["snapshot"]["shardPath"])
-        self.parts = snapshots.components(snap)
-        self.manifest = snapshots.manifest(snap.shard, self.parts)
-        for document in (*self.parts.values(), self.manifest):
-            rec.put_json(document)
-        self.snapshot_cid = identity.cid(identity.canonical_json(self.manifest).encode())
-        self.mining_run = rec.run(c["patternMiningRun"], input_snapshot_cids=[self.snapshot_cid])
-        p, more = c["pattern"], c["advancedPatterns"]
-        item, motif = more["itemset"], more["parentChildMotif"]
-        self.patterns = [
-            self._record(mining.mine_sequence(snap, p["sequence"], min_support=p["minSupport"], max_window_seconds=p["maxWindowSeconds"]), p["minerKey"]),
-            self._record(mining.mine_itemset(snap, item["tokens"], min_support=item["minSupport"]), item["minerKey"]),
-            self._record(mining.mine_parent_child_motif(snap, motif["parentKind"], motif["childKind"], min_support=motif["minSupport"]), motif["minerKey"]),
-        ]
-        pattern, occurrences, vector = self.patterns[0]
-        at = "2026-06-27T15:00:08Z"
-        outputs = [pattern["id"], *(o["id"] for o in occurrences)]
-        payload = {"kind": "pattern-discovery", "runId": self.mining_run["id"], "runCid": self.mining_run["cid"], "patternId": pattern["id"], "patternCid": pattern["cid"], "occurrenceIds": outputs[1:], "supportVector": vector, "observedAt": at}
-        above = [self.root["event_id"]]
-        self.discovery = rec.child(payload, at, ["agent", "omega-claw", "pattern-miner", "sequence-v0"], ["system", "pattern-mining", "sequence"], "pattern-discovery", above, input_event_ids=above, output_artifact_ids=outputs)
-
-    def _record(self, mined: mining.Mined, miner_key: str) -> tuple[dict, list[dict], dict[str, int]]:
-        vector = _vector(mined.support)
-        if not vector:
-            raise ValueError(f"the corpus has no {mined.core['patternType']} pattern with that support")
-        pattern = self.rec.pattern(mined.core, [self.snapshot_cid], self.mining_run["id"], miner_key, vector)
-        local = self.snapshot.events.select(F.col("event_id").alias("first_id"), "local_id")
-        rows = mining.attached_claims(self.snapshot, mined.occurrences).withColumn("first_id", F.col("event_ids")[0]).join(local, "first_id").orderBy("local_id").collect()
-        return pattern, [self.rec.pattern_occurrence(pattern["id"], r.root_event_id, list(r.event_ids), list(r.claim_occurrence_ids), self.mining_run["id"]) for r in rows], vector
-
-    def reason(self) -> None:
-        rec, c = self.rec, self.corpus["reasoning"]
-        evidence = reasoning.claim_evidence(rec.artifacts()).where(F.col("claim_id") == self.claim["id"])
-        lists = reasoning.evidence_lists(evidence).first()
-        support = reasoning.support_vectors(evidence, rec.events()).drop("claim_id")
-        self.positive, self.negative, vector = list(lists.positive), list(lists.negative), _vector(support)
-        patterns = [p["id"] for p, _, _ in self.patterns]
-        self.input = rec.reasoning_input(self.claim, c["statementText"], self.positive, self.negative, vector, patterns)
-        self.outputs = []
-        for run, truth in ((c["run"], c["truthValue"]), (c["revisionRun"], c["revisedTruthValue"])):
-            done = rec.run(run, input_event_ids=[self.root["event_id"]])
-            self.outputs.append(rec.reasoning_output(self.input, self.claim["id"], self.positive + self.negative, done["id"], truth, c["revisionPolicy"]))
-        self.history = rec.belief_history(self.claim["id"], self.outputs, c["revisionPolicy"])
+    def __init__(self, spark: SparkSession, document: dict):
+        check_document(document)
+        self.recorder, self.document, self.results = Recorder(spark), document, {}
+
+    def resolved(self, value: Any) -> Any:
+        """``value`` with references replaced by what they stand for."""
+        if isinstance(value, dict):
+            return {k: self.resolved(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self.resolved(v) for v in value]
+        if not isinstance(value, str) or not value.startswith("$"):
+            return value
+        if value.startswith("$$"):
+            return value[1:]
+        name, *parts = value[1:].split(".")
+        found = self.results[name]
+        for part in parts:
+            found = found[int(part)] if isinstance(found, list) else found[part]
+        return found
 
     def run(self) -> dict[str, Any]:
-        for step in (self.ingest, self.extract, self.mine, self.reason):
-            step()
+        for step in self.document["steps"]:
+            arguments = {k: self.resolved(v) for k, v in step.items() if k not in ("step", "as")}
+            result = ACTIONS[step["step"]](self, **arguments)
+            if "as" in step:
+                self.results[step["as"]] = result
         return self.summary()
 
+    def _side(self, value: Any, postings: DataFrame) -> Any:
+        if isinstance(value, dict) and set(value) == {"lookup"}:
+            index, key = self.resolved(value["lookup"])
+            return [r.id for r in px.lookup(postings, index, key).collect()]
+        return self.resolved(value)
+
     def summary(self) -> dict[str, Any]:
-        events, artifacts = self.rec.events(), self.rec.artifacts()
-        by_event, by_artifact = px.event_postings(events), px.derived_postings(artifacts)
-        named = ("sequence", "itemset", "graphMotif")
-        same = [x["id"] for x in self.claims[:2]]
-        children = [e["event_id"] for e in (self.query, self.shell, self.extraction_event, self.discovery)]
-        revised = self.outputs[1]["id"]
-        checks = {
-            "duplicateRejected": not self.duplicate["accepted"],
-            "samePayloadDifferentEvents": len({r["payload_cid"] for r in self.readings}) == 1 and len({r["event_id"] for r in self.readings}) == 2,
-            "rootTraceHasExpectedChildren": _ids(by_event, "parent", self.root["event_id"]) == children,
-            "sameClaimHasTwoOccurrences": _ids(by_artifact, "occurrences_by_claim", self.claim["id"]) == same,
-            "snapshotHasPostings": bool(self.parts["postings"]),
-            "patternDiscovered": bool(self.patterns[0][1]),
-            "itemsetDiscovered": bool(self.patterns[1][1]),
-            "graphMotifDiscovered": bool(self.patterns[2][1]),
-            "reasoningInputHasEvidence": self.positive == same,
-            "revisionHistoryIndexed": _ids(by_artifact, "histories_by_output", revised) == [self.history["id"]],
-        }
-        return {
-            "ok": True,
-            "corpus": {k: self.corpus.get(k) for k in ("kind", "schema", "covers")},
-            "events": {"count": events.count(), "rootEventId": self.root["event_id"], "memoryQueryEventId": self.query["event_id"], "shellActionEventId": self.shell["event_id"], "extractionEventId": self.extraction_event["event_id"], "patternDiscoveryEventId": self.discovery["event_id"], "duplicateAccepted": self.duplicate["accepted"]},
-            "derivedArtifacts": {"runId": self.extraction_run["id"], "claimCount": artifacts.where("family = 'claim'").count(), "claimOccurrenceIds": [x["id"] for x in self.claims], "featureOccurrenceId": self.feature["id"], "outputsByExtractionRun": _ids(by_artifact, "outputs_by_run", self.extraction_run["id"])},
-            "snapshot": {"cid": self.snapshot_cid, "shardPath": self.snapshot.shard, "eventCount": len(self.parts["eventColumns"]["eventIds"]), "postingKeyCount": len(self.parts["postings"]), "rawPayloadsScanned": self.manifest["rawPayloadsScanned"]},
-            "patterns": {n: {"patternId": p["id"], "occurrenceIds": [o["id"] for o in occ], "supportVector": v} for n, (p, occ, v) in zip(named, self.patterns, strict=True)},
-            "reasoning": {"inputId": self.input["id"], "outputIds": [o["id"] for o in self.outputs], "historyId": self.history["id"], "positiveOccurrences": self.positive, "derivedFromPatterns": [p["id"] for p, _, _ in self.patterns], "historiesByClaim": _ids(by_artifact, "histories_by_claim", self.claim["id"])},
-            "checks": checks,
-        }
+        events, artifacts = self.recorder.events(), self.recorder.artifacts()
+        postings = px.event_postings(events).unionByName(px.derived_postings(artifacts))
+        checks = {name: self._side(left, postings) == self._side(right, postings) for name, (left, right) in self.document.get("checks", {}).items()}
+        families = {r.family: r["count"] for r in artifacts.groupBy("family").count().collect()}
+        plain = lambda x: {k: v for k, v in x.items() if not isinstance(v, snapshots.Snapshot)} if isinstance(x, dict) else x
+        return {"document": {k: self.document.get(k) for k in ("kind", "schema", "covers")}, "events": events.count(), "artifacts": families, "results": {k: plain(v) for k, v in self.results.items()}, "checks": checks, "ok": all(checks.values())}
+
+
+# events
+
+@action
+def message(flow: Flow, **fields: str) -> dict:
+    return flow.recorder.irc_message(fields)
+
+
+@action
+def event(flow: Flow, payload: dict, observedAt: str, actorPath: list[str], channelPath: list[str], valueKind: str, provenance: dict | None = None, parents: list[str] | None = None, inputs: list[str] | None = None, outputs: list[str] | None = None) -> dict:
+    rest: dict[str, Any] = {"input_event_ids": inputs, "output_artifact_ids": outputs} if inputs or outputs else {}
+    if provenance is not None:
+        rest["provenance"] = provenance
+    if parents is None:
+        return flow.recorder.event(payload, observedAt, actorPath, channelPath, valueKind, **rest)
+    return flow.recorder.child(payload, observedAt, actorPath, channelPath, valueKind, parents, **rest)
+
+
+# artifacts
+
+@action
+def run(flow: Flow, run: dict, inputs: list[str] | None = None, snapshots: list[str] | None = None, outputs: list[str] | None = None) -> dict:
+    return flow.recorder.run(run, input_event_ids=inputs, input_snapshot_cids=snapshots, output_artifact_ids=outputs)
+
+
+@action
+def claim(flow: Flow, core: dict, source: str, run: str, evidence: dict, polarity: str = "asserted", confidence: float = 1.0, provenance: dict | None = None) -> dict:
+    made = flow.recorder.claim_occurrence(core, source, run, evidence, polarity=polarity, confidence=confidence, provenance=provenance)
+    return made | {"claim": flow.recorder.claim(core)}
+
+
+@action
+def feature(flow: Flow, core: dict, source: str, run: str, evidence: dict, confidence: float = 1.0) -> dict:
+    return flow.recorder.feature_occurrence(core, source, run, confidence, evidence)
+
+
+@action
+def cluster(flow: Flow, relation: str, members: list[str], method: dict, confidence: float = 1.0) -> dict:
+    return flow.recorder.claim_cluster(relation, members, method, confidence)
+
+
+# snapshots and patterns
+
+@action
+def snapshot(flow: Flow, shard: str) -> dict:
+    built = snapshots.build(flow.recorder.events(), flow.recorder.artifacts(), shard)
+    parts = snapshots.components(built)
+    manifest = snapshots.manifest(shard, parts)
+    for document in (*parts.values(), manifest):
+        flow.recorder.put_json(document)
+    cid = identity.cid(identity.canonical_json(manifest).encode())
+    return {"cid": cid, "shard": shard, "events": len(parts["eventColumns"]["eventIds"]), "keys": len(parts["postings"]), "frames": built}
+
+
+def _recorded(flow: Flow, mined: mining.Mined, of: dict, run: str, miner: str) -> dict:
+    vector = vector_of(mined.support)
+    if not vector:
+        return {"id": None, "occurrences": [], "vector": {}}
+    pattern = flow.recorder.pattern(mined.core, [of["cid"]], run, miner, vector)
+    local = of["frames"].events.select(F.col("event_id").alias("first_id"), "local_id")
+    rows = mining.attached_claims(of["frames"], mined.occurrences).withColumn("first_id", F.col("event_ids")[0]).join(local, "first_id").orderBy("local_id").collect()
+    found = [flow.recorder.pattern_occurrence(pattern["id"], r.root_event_id, list(r.event_ids), list(r.claim_occurrence_ids), run) for r in rows]
+    return {"id": pattern["id"], "cid": pattern["cid"], "occurrences": [o["id"] for o in found], "vector": vector}
+
+
+@action
+def sequence(flow: Flow, snapshot: dict, kinds: list[str], run: str, miner: str, least: int = 1, seconds: int = 30) -> dict:
+    return _recorded(flow, mining.mine_sequence(snapshot["frames"], kinds, min_support=least, max_window_seconds=seconds), snapshot, run, miner)
+
+
+@action
+def itemset(flow: Flow, snapshot: dict, tokens: list[str], run: str, miner: str, least: int = 1) -> dict:
+    return _recorded(flow, mining.mine_itemset(snapshot["frames"], tokens, min_support=least), snapshot, run, miner)
+
+
+@action
+def motif(flow: Flow, snapshot: dict, parent: str, child: str, run: str, miner: str, least: int = 1) -> dict:
+    return _recorded(flow, mining.mine_parent_child_motif(snapshot["frames"], parent, child, min_support=least), snapshot, run, miner)
+
+
+# reasoning
+
+@action
+def reasoning_input(flow: Flow, claim: dict, statement: str, patterns: list[str]) -> dict:
+    evidence = reasoning.claim_evidence(flow.recorder.artifacts()).where(F.col("claim_id") == claim["id"])
+    lists = reasoning.evidence_lists(evidence).first()
+    positive, negative = (list(lists.positive), list(lists.negative)) if lists else ([], [])
+    made = flow.recorder.reasoning_input(claim, statement, positive, negative, vector_of(reasoning.support_vectors(evidence, flow.recorder.events())), patterns)
+    return made | {"claim": claim["id"], "positive": positive, "negative": negative}
+
+
+@action
+def belief(flow: Flow, given: dict, run: str, truth: dict, policy: str) -> dict:
+    return flow.recorder.reasoning_output(given, given["claim"], given["positive"] + given["negative"], run, truth, policy)
+
+
+@action
+def history(flow: Flow, claim: str, outputs: list[dict], policy: str) -> dict:
+    return flow.recorder.belief_history(claim, outputs, policy)

@@ -26,24 +26,36 @@ class Family:
     schema: str
     body: str
     pointer: str
-
-    @property
-    def pointer_kind(self) -> str:
-        return self.schema.rpartition("-v")[0].removesuffix("-core") + "-pointer" if self.prefix != "reasoning-input" else "reasoning-input-pointer"
+    pointer_schema: str
 
 
 FAMILIES = {
-    "run": Family("run", "run", "run-v0.1", "runType inputEventIds inputSnapshotCids tool config startedAt completedAt status outputArtifactIds", "runType inputEventIds inputSnapshotCids outputArtifactIds extractorKey minerKey reasonerKey tool config status"),
-    "claim": Family("claim", "claim", "claim-core-v0.1", "", "subjectKey predicateKey objectKey"),
-    "claim-occurrence": Family("claim-occ", "occurrence", "claim-occurrence-v0.1", "claimId claimCid sourceEventId sourceEventCid sourcePayloadCid extractionRunId evidence polarity confidence provenance", "claimId claimCid sourceEventId sourceEventCid sourcePayloadCid extractionRunId polarity confidence"),
-    "claim-cluster": Family("claim-cluster", "cluster", "claim-cluster-v0.1", "relation members method confidence", "relation members method confidence"),
-    "feature": Family("feature", "feature", "feature-core-v0.1", "", "featureType"),
-    "feature-occurrence": Family("feature-occ", "occurrence", "feature-occurrence-v0.1", "featureId featureCid sourceEventId extractionRunId confidence evidence", "featureId featureCid sourceEventId extractionRunId confidence"),
-    "pattern": Family("pattern", "pattern", "pattern-core-v0.1", "patternType body constraints", "patternType inputSnapshotCids minedBy minerKey supportVector"),
-    "pattern-occurrence": Family("pattern-occ", "occurrence", "pattern-occurrence-v0.1", "patternId rootEventId participatingEventIds participatingRunIds participatingClaimOccurrenceIds minedBy", "patternId rootEventId participatingEventIds participatingRunIds participatingClaimOccurrenceIds minedBy"),
-    "reasoning-input": Family("reasoning-input", "input", "nal-plr-input-v0.1", "claimId claimCid statement evidence derivedFromPatterns", "claimId claimCid evidenceOccurrenceIds supportVector derivedFromPatterns"),
-    "reasoning-output": Family("reasoning-output", "output", "reasoning-output-v0.1", "inputId inputCid claimId reasoningRunId beliefStateId truthValue revisionPolicy evidenceOccurrenceIds", "inputId inputCid claimId reasoningRunId beliefStateId evidenceOccurrenceIds"),
-    "belief-revision-history": Family("belief-revision-history", "history", "belief-revision-history-v0.1", "claimId revisionPolicy states", "claimId outputIds"),
+    "run": Family("run", "run", "run-v0.1", "runType inputEventIds inputSnapshotCids tool config startedAt completedAt status outputArtifactIds", "runType inputEventIds inputSnapshotCids outputArtifactIds extractorKey minerKey reasonerKey tool config status", "run-pointer-v0.1"),
+    "claim": Family("claim", "claim", "claim-core-v0.1", "", "subjectKey predicateKey objectKey", "claim-pointer-v0.1"),
+    "claim-occurrence": Family("claim-occ", "occurrence", "claim-occurrence-v0.1", "claimId claimCid sourceEventId sourceEventCid sourcePayloadCid extractionRunId evidence polarity confidence provenance", "claimId claimCid sourceEventId sourceEventCid sourcePayloadCid extractionRunId polarity confidence", "claim-occurrence-pointer-v0.1"),
+    "claim-cluster": Family("claim-cluster", "cluster", "claim-cluster-v0.1", "relation members method confidence", "relation members method confidence", "claim-cluster-pointer-v0.1"),
+    "feature": Family("feature", "feature", "feature-core-v0.1", "", "featureType", "feature-pointer-v0.1"),
+    "feature-occurrence": Family("feature-occ", "occurrence", "feature-occurrence-v0.1", "featureId featureCid sourceEventId extractionRunId confidence evidence", "featureId featureCid sourceEventId extractionRunId confidence", "feature-occurrence-pointer-v0.1"),
+    "pattern": Family("pattern", "pattern", "pattern-core-v0.1", "patternType body constraints", "patternType inputSnapshotCids minedBy minerKey supportVector", "pattern-pointer-v0.1"),
+    "pattern-occurrence": Family("pattern-occ", "occurrence", "pattern-occurrence-v0.1", "patternId rootEventId participatingEventIds participatingRunIds participatingClaimOccurrenceIds minedBy", "patternId rootEventId participatingEventIds participatingRunIds participatingClaimOccurrenceIds minedBy", "pattern-occurrence-pointer-v0.1"),
+    "reasoning-input": Family("reasoning-input", "input", "nal-plr-input-v0.1", "claimId claimCid statement evidence derivedFromPatterns", "claimId claimCid evidenceOccurrenceIds supportVector derivedFromPatterns", "reasoning-input-pointer-v0.1"),
+    "reasoning-output": Family("reasoning-output", "output", "reasoning-output-v0.1", "inputId inputCid claimId reasoningRunId beliefStateId truthValue revisionPolicy evidenceOccurrenceIds", "inputId inputCid claimId reasoningRunId beliefStateId evidenceOccurrenceIds", "reasoning-output-pointer-v0.1"),
+    "belief-revision-history": Family("belief-revision-history", "history", "belief-revision-history-v0.1", "claimId revisionPolicy states", "claimId outputIds", "belief-revision-history-pointer-v0.1"),
+}
+
+
+# The names of support counts in documents.
+VECTOR_FIELDS = {
+    "event_support": "eventSupport",
+    "actor_support": "actorSupport",
+    "channel_support": "channelSupport",
+    "day_support": "daySupport",
+    "source_support": "sourceSupport",
+    "extractor_run_support": "extractorRunSupport",
+    "root_trace_support": "rootTraceSupport",
+    "occurrence_support": "occurrenceSupport",
+    "itemset_support": "itemsetSupport",
+    "edge_support": "edgeSupport",
 }
 
 
