@@ -215,17 +215,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return train(np.concatenate(windows), labels, langs)
 
 
-def identify(docs: DataFrame, net: ByteGRU | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (a clashing column of that name is replaced)."""
+def identify(docs: DataFrame, net: ByteGRU | None, *, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` named c0, c1, ..., then lang_pred and score of the text in ``text_col``."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     if net is None:
-        return docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.withColumn("lang_pred", F.lit(UNDECIDED)).withColumn("score", F.lit(0.0))
     ship_package(spark)
     shared = spark.sparkContext.broadcast(net)
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = True
-    text_at = kept.index(text_col)
+    text_at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -243,12 +243,10 @@ def identify(docs: DataFrame, net: ByteGRU | None, *, id_col: str = "doc_id", te
                 score = np.where(decided, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", lang_pred string, score double"
-    return rows.mapInArrow(tidied(predict), schema)
+    return rows.mapInArrow(tidied(predict), ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, *, least_score: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` whose language is decided with at least this score, with their columns. Learns from ``docs``' own langs."""
+    """The rows of ``docs`` whose language is decided with at least this score, with their columns as they are. Learns from ``docs``' own langs."""
     found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least_score)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least_score)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -2,24 +2,28 @@
 
 Two generative models over hashed unigrams and bigrams of lower-cased words:
 ``raw`` from all documents, ``target`` from documents labelled good. A
-document's log ratio is the mean over its n-grams of log(target / raw). Its
-importance weight is 1 above a calibrated level and falls off below it, and a
-sample without replacement in proportion to the weights is drawn by Gumbel
-top-k: the k largest values of log weight + Gumbel noise are kept, k being the
-number of documents whose weight isn't negligible.
+document's log ratio is the sum over its n-grams of log(target / raw). Its log
+importance weight is that sum over the square root of the number of n-grams:
+n-grams of one text are not independent, and the plain sum would let length
+decide; the root keeps weights of all lengths at one spread. Weights are
+neither clipped nor calibrated. A sample without replacement in proportion to
+the weights is drawn by Gumbel top-k: the k documents with the largest log
+weight + Gumbel noise are kept. k is the share of labelled documents that are
+good, and SLACK more, of all documents with words.
 
 Raw counts, scores, k and the threshold cover all documents. The target model
-learns from one half of at most MOST_LABELS good labelled documents, and the
-level is calibrated on the other half, which the model has not seen.
+learns from at most MOST_LABELS good labelled documents, picked by hash.
 
-Nulls: a null text is empty; a document without n-grams has weight 0 and is
+Nulls: a null text is empty; a document without n-grams has no weight and is
 rejected. Null labels teach nothing; without any label every document with
-words weighs 1. Noise is a function of doc_id alone, so equal doc_ids share
-it, and rows that tie with the k-th are kept too. Empty tables give no rows.
+words is kept. Noise is a function of doc_id alone, so equal doc_ids share it,
+and rows that tie with the k-th are kept too. Labels of one id that differ
+count as good if any is. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,10 +40,8 @@ BUCKETS = 1 << BITS
 MOST_LABELS = 100_000
 #: Pseudo-counts that draw the target model to the raw one.
 PRIOR = 65_536.0
-#: The level is this quantile of unseen good documents' log ratios, less a margin.
-LEVEL_QUANTILE, MARGIN = 0.002, 0.02
-#: Log weight lost per unit of log ratio below the level; the least log weight that counts; the least kept.
-SLOPE, NEGLIGIBLE, FLOOR = 400.0, -8.0, -60.0
+#: The share of documents kept beyond the labelled share of good ones.
+SLACK = 0.015
 
 
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +71,15 @@ def good_labels(labels: DataFrame, most: int = MOST_LABELS) -> np.ndarray:
     return np.sort(np.array([r.doc_id for r in rows], np.int64))
 
 
-def fold(ids: np.ndarray) -> np.ndarray:
-    """Half of all ids, by hash."""
-    return (mix(ids.astype(np.uint64) + np.uint64(77)) & np.uint64(1)).astype(bool)
-
-
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def fit(docs: DataFrame, good: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count all documents' n-grams, and again those of the first half of the good ones; only bucket totals reach the driver."""
+    """Count all documents' n-grams, and again those of the good ones; only bucket totals reach the driver."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(good[fold(good)])
+    shared = spark.sparkContext.broadcast(good)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -108,14 +105,12 @@ def fit(docs: DataFrame, good: np.ndarray, *, id_col: str = "doc_id", text_col:
     return Model(np.where(raw > 0, ratio, 0.0))
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_ngrams, log_ratio; with ``keep`` all columns of ``docs`` before the last two (clashing ones are replaced)."""
+def score(docs: DataFrame, model: Model, *, text_at: int) -> DataFrame:
+    """The columns of ``docs`` named c0, c1, ..., then n_ngrams and log_ratio of the text in column ``text_at``."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("n_ngrams", "log_ratio")] if keep else ["doc_id"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names)) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    text_at = names.index(text_col) if keep else 1
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.log_ratio
@@ -124,26 +119,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for lo, hi in row_chunks(offsets):
                 bucket, row = ngram_buckets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.bincount(row, minlength=hi - lo).astype(np.int64)
-                mean = np.bincount(row, table[bucket], hi - lo) / np.maximum(n, 1)
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(mean)], [*names, "n_ngrams", "log_ratio"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*(F.col(f"`{c}`") for c in names)).dtypes) + ", n_ngrams long, log_ratio double"
-    return rows.mapInArrow(tidied(rate), schema)
-
+                ratio = np.bincount(row, table[bucket], hi - lo).astype(float)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(n), pa.array(ratio)], [*batch.schema.names, "n_ngrams", "log_ratio"])
 
-@dataclass
-class Cut:
-    """The calibrated level of log ratios, and the k-th largest noisy log weight (None: none is kept)."""
-
-    level: float
-    k: int
-    least_key: float | None
+    return rows.mapInArrow(tidied(rate), ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", n_ngrams long, log_ratio double")
 
 
-def log_weight(log_ratio: Column, n_ngrams: Column, level: float) -> Column:
-    falling = F.greatest(F.lit(FLOOR), F.least(F.lit(0.0), (log_ratio - F.lit(level)) * SLOPE))
-    return F.when(n_ngrams > 0, falling).otherwise(F.lit(2 * FLOOR))
+def log_weight(log_ratio: Column, n_ngrams: Column) -> Column:
+    """Null for a document without n-grams."""
+    return F.when(n_ngrams > 0, log_ratio / F.sqrt(n_ngrams))
 
 
 def gumbel(doc_id: Column, seed: int = 17) -> Column:
@@ -170,43 +154,45 @@ def kth_largest(df: DataFrame, value: Column, k: int) -> int | None:
     return lo
 
 
-def calibrate(scored: DataFrame, good: np.ndarray, *, k: int | None = None) -> Cut:
-    """The level from good documents that the model hasn't seen, k and the k-th key from all."""
-    spark = scored.sparkSession
-    unseen = good[~fold(good)]
-    level = -np.inf
-    if len(unseen):
-        ids = spark.createDataFrame(pa.table({"doc_id": unseen}))  # at most MOST_LABELS ids
-        found = scored.where("n_ngrams > 0").join(F.broadcast(ids), "doc_id", "left_semi").select(F.percentile("log_ratio", F.lit(LEVEL_QUANTILE)).alias("q")).first()
-        level = -np.inf if found.q is None else float(found.q) - MARGIN
-    level = max(level, -1e6)
-    weight = log_weight(F.col("log_ratio"), F.col("n_ngrams"), level)
-    if k is None:
-        k = scored.where(weight > NEGLIGIBLE).count()
-    key = kth_largest(scored.where("n_ngrams > 0"), F.floor((weight + gumbel(F.col("doc_id"))) * 1e9), k)
-    return Cut(level, k, None if key is None else key / 1e9)
-
-
-def with_decision(scored: DataFrame, cut: Cut, id_col: str = "doc_id") -> DataFrame:
-    """Adds log_weight, sample_key and kept."""
-    out = scored.withColumn("log_weight", log_weight(F.col("log_ratio"), F.col("n_ngrams"), cut.level))
-    out = out.withColumn("sample_key", F.col("log_weight") + gumbel(F.col(id_col).cast("long")))
-    least = F.lit(float("inf") if cut.least_key is None else cut.least_key)
-    return out.withColumn("kept", (F.col("n_ngrams") > 0) & (F.coalesce(F.col("sample_key"), F.lit(float("-inf"))) >= least))
-
-
-def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None) -> DataFrame:
-    """doc_id, n_ngrams, log_ratio, log_weight, sample_key, kept of every document."""
-    good = good_labels(labels)
-    scored = materialize(score(docs, fit(docs, good)), "quality")
-    return with_decision(scored, calibrate(scored, good, k=k))
-
-
-def kept_documents(docs: DataFrame, labels: DataFrame, *, k: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that the sample keeps, with their columns. Texts are scored again rather than shuffled."""
-    good = good_labels(labels)
-    model = fit(docs, good)
-    scored = materialize(score(docs, model), "quality")
-    cut = calibrate(scored, good, k=k)
+def target_size(scored: DataFrame, labels: DataFrame) -> int:
+    """How many documents to keep: the share of labelled ones with words that are good, and SLACK more, of all with words."""
+    label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
+    worded = scored.where("n_ngrams > 0").select("doc_id")
+    n = worded.count()
+    found = worded.join(label, "doc_id").agg(F.avg("good").alias("share")).first()
+    return n if found.share is None else min(n, math.ceil((found.share + SLACK) * n))
+
+
+def sample_key(doc_id: Column) -> Column:
+    """Log weight + Gumbel noise, of rows with n_ngrams and log_ratio."""
+    return log_weight(F.col("log_ratio"), F.col("n_ngrams")) + gumbel(doc_id)
+
+
+def least_key(scored: DataFrame, k: int) -> float:
+    """The k-th largest key over all rows; infinity where none is kept."""
+    key = kth_largest(scored.where("n_ngrams > 0"), F.floor(sample_key(F.col("doc_id")) * 1e9), k)
+    return float("inf") if key is None else key / 1e9
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, k: int | None) -> tuple[Model, DataFrame, float]:
+    """(model, doc_id with n_ngrams and log_ratio of every document, the least key that is kept)."""
+    model = fit(docs, good_labels(labels), id_col=id_col, text_col=text_col)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    scored = materialize(score(rows, model, text_at=1).select(F.col("c0").alias("doc_id"), "n_ngrams", "log_ratio"), "quality")
+    return model, scored, least_key(scored, target_size(scored, labels) if k is None else k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """doc_id, n_ngrams, log_ratio, log_weight, sample_key, kept of every document; ``k`` overrides the size of the sample."""
+    _, scored, least = _drawn(docs, labels, id_col, text_col, k)
+    out = scored.withColumn("log_weight", log_weight(F.col("log_ratio"), F.col("n_ngrams"))).withColumn("sample_key", sample_key(F.col("doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(least), F.lit(False)))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that the sample keeps, with their columns as they are. Texts are scored again rather than shuffled."""
+    model, scored, least = _drawn(docs, labels, id_col, text_col, k)
     discard(scored)
-    return with_decision(score(docs, model, keep=True), cut).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rated = score(docs, model, text_at=docs.columns.index(text_col))
+    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    return rated.where(sample_key(own) >= F.lit(least)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -63,9 +63,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.langid import fit, identify
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null id is in training
     net = fit(docs.where(~held_out))
-    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+    return identify(docs.select("doc_id", held_out, "text"), net).drop("c2").withColumnsRenamed({"c0": "doc_id", "c1": "held_out"})
 
 
 def op8_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
