@@ -226,20 +226,58 @@ def test_scores_of_no_rows(none):
 # quality
 
 
-def test_resampling_drops_junk(spark, odd, none):
-    rnd = random.Random(2)
-    good = lambda: " ".join(rnd.choice(["rain", "sun", "wind", "sea", "hill"]) for _ in range(60))
-    junk = lambda: " ".join(rnd.choice(["BUY", "!!!", "$$$", "click"]) for _ in range(60))
-    docs = [(i, good() if i % 4 else junk()) for i in range(400)] + [(900, None), (901, "")]
-    labels = spark.createDataFrame([(i, int(bool(i % 4)), 0) for i in range(0, 400, 3)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = {r.doc_id: r for r in quality.resample(frame, labels).collect()}
-    assert {i for i, r in rows.items() if r.kept} == {i for i in range(400) if i % 4}
-    few = quality.resample(frame, labels, k=50).where("kept").collect()
-    assert len(few) == 50 and all(r.doc_id % 4 for r in few)
-    assert quality.resample(none, labels).count() == 0
+def mixed_documents(seed):
+    """Good, junk and half-and-half documents of all lengths, and labels of a third."""
+    rnd = random.Random(seed)
+    words = {"good": ["rain", "sun", "wind", "sea", "hill", "Fog"], "junk": ["BUY", "!!!", "$$$", "click"]}
+    text = lambda share, n: " ".join(rnd.choice(words["good" if rnd.random() < share else "junk"]) for _ in range(n))
+    docs = [(i, text((0.1, 1.0, 0.9, 0.75)[i % 4], rnd.choice([2, 8, 40, 120]))) for i in range(400)] + [(900, None), (901, ""), (5, "rain sun")]
+    return docs, [(i, int(i % 4 > 0), 0) for i in range(0, 400, 3)] + [(None, 1, 0), (7, None, None), (9, 0, 0), (2, 1, 1)]
+
+
+def brute_resample(docs, labels, noise, slack):
+    """Counts over true n-grams in dictionaries, the sample by sorting."""
+    grams = lambda t: (w := spaced(t)) and [*((x,) for x in w), *zip(w, w[1:])]
+    good = {i for i, q, t in labels if q == 1 and not t and i is not None}
+    raw, target = Counter(g for _, t in docs for g in grams(t)), Counter(g for i, t in docs if i in good for g in grams(t))
+    n_raw, n_target, prior = sum(raw.values()), sum(target.values()), quality.PRIOR
+    ratio = {g: math.log((target[g] + prior * c / n_raw) / (n_target + prior) / (c / n_raw)) for g, c in raw.items()}
+    sums = [(i, len(grams(t)), sum(ratio[g] for g in grams(t))) for i, t in docs]
+    best = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            best[i] = max(best.get(i, 0), q)
+    judged = [best[i] for i, n, _ in sums if n and i in best]
+    with_words = sorted((s / n**0.5 + noise[i] for i, n, s in sums if n), reverse=True)
+    k = min(len(with_words), math.ceil((sum(judged) / len(judged) + slack) * len(with_words)))
+    plain = sorted((s / n**0.5 for i, n, s in sums if n), reverse=True)[k - 1]
+    return [(i, n, s, bool(n) and s / n**0.5 + noise[i] >= with_words[k - 1], bool(n) and s / n**0.5 >= plain) for i, n, s in sums]
+
+
+def test_resampling_matches_brute_force(spark):
+    docs, labels = mixed_documents(3)
+    frame = spark.createDataFrame([(i, t, "mine", 9.5) for i, t in docs], "doc_id long, text string, kept string, n_ngrams double")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    noise = {r.doc_id: r.g for r in frame.select("doc_id", quality.gumbel(F.col("doc_id")).alias("g")).collect()}
+    want = brute_resample(docs, labels, noise, quality.SLACK)
+    got = quality.resample(frame, marks).collect()
+    key = lambda r: (r[0], r[1], r[2])
+    for g, w in zip(sorted(((r.doc_id, r.n_ngrams, r.log_ratio, r.kept) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert (g[0], g[1], g[3]) == (w[0], w[1], w[3]) and g[2] == pytest.approx(w[2], abs=1e-9)
+    settled = sum(w[3] != w[4] for w in want)
+    assert settled >= 10  # the draw decides, not the order of weights
+    few = quality.resample(frame, marks, k=50).where("kept")
+    assert few.count() == 50
+    kept = quality.kept_documents(frame, marks).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(w[0] for w in want if w[3])
+    assert all(r.kept == "mine" and r.n_ngrams == 9.5 for r in kept)
+
+
+def test_resampling_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.resample(none, labels).count() == 0 and quality.kept_documents(none, labels).count() == 0
     kept = quality.kept_documents(odd, labels.where("false"))
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, t in TEXTS if spaced(t)}
+    assert kept.columns == odd.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i if i is not None else -1 for i, t in TEXTS if spaced(t))
 
 
 def test_kth_largest(spark):
@@ -280,13 +318,15 @@ def test_languages_held_out(spark, odd, none):
     rows = [(i, " ".join(rnd.choice(kinds[k]) for _ in range(rnd.randint(8, 60))), k) for i in range(150) for k in [rnd.choice(sorted(kinds))]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     net = langid.fit(docs.where("doc_id % 4 <> 2"))
-    got = langid.identify(docs.where("doc_id % 4 = 2"), net).collect()
+    got = langid.identify(docs.where("doc_id % 4 = 2"), net).withColumnsRenamed({"c0": "doc_id", "c2": "lang"}).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
-    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, net).collect()}
+    said = {r.c0: (r.lang_pred, r.score) for r in langid.identify(odd, net).collect()}
     assert said[0] == said[1] == said[2] == said[11] == ("und", 0.0) and said[9][0] in kinds
     assert langid.identify(none, net).count() == 0
     assert langid.fit(none) is None and langid.identify(odd, None).where("lang_pred = 'und'").count() == len(TEXTS)
-    assert langid.recognised(docs).columns == docs.columns
+    own = docs.withColumn("score", F.lit(9.5)).withColumn("lang_pred", F.lit("mine"))
+    left = langid.recognised(own)
+    assert left.columns == own.columns and left.where("score = 9.5 and lang_pred = 'mine'").count() == left.count() > 140
 
 
 def test_all_of_many_languages_are_learned(spark, monkeypatch):
@@ -297,7 +337,7 @@ def test_all_of_many_languages_are_learned(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     net = langid.fit(docs.where("doc_id % 4 <> 2"))
     assert net.langs == sorted(kinds)
-    got = langid.identify(docs.where("doc_id % 4 = 2"), net).collect()
+    got = langid.identify(docs.where("doc_id % 4 = 2"), net).withColumnsRenamed({"c2": "lang"}).collect()
     assert {r.lang for r in got if r.lang == r.lang_pred and r.score >= 0.35} == set(kinds)
 
 
@@ -311,6 +351,11 @@ def test_layouts_by_fingerprint(spark):
         ('{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}', [turn("user", "hi"), turn("assistant", "yo")]),
         ('{"output":"o","instruction":"i"}', [turn("user", "i"), turn("assistant", "o")]),
         ('{"prompt":"p","completion":"5"}', [turn("user", "p"), turn("assistant", "5")]),
+        ('{"prompt":null,"response":"r"}', [turn("assistant", "r")]),
+        ('{"conversations":[{"from":"bot","value":"b"},{"value":"h","from":"human"}],"system":"s"}', [turn("system", "s"), turn("assistant", "b"), turn("user", "h")]),
+        ('{"dialog":{"turns":[{"by":{"role":"user"},"say":{"text":"q"}}],"system":"be kind"}}', [turn("system", "be kind"), turn("user", "q")]),
+        ('{"dialog":{"turns":[{"by":{"role":"user"},"say":{"words":"q"}}],"system":"be kind"}}', None),
+        ('{"messages":[]}', None),
         ('{"unknown":1}', None),
         ("bad", None),
         (None, None),
@@ -318,8 +363,24 @@ def test_layouts_by_fingerprint(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, j string")
     rows = df.select("i", chat.turns_of_json(F.col("j")).alias("t")).orderBy("i").collect()
     assert [None if r.t is None else [x.asDict() for x in r.t] for r in rows] == [c[1] for c in cases]
-    with pytest.raises(ValueError, match="no mapping"):
-        chat.turns_of_struct(spark.range(1).select(F.struct(F.lit(1).alias("x")).alias("r")), "r")
+    prints = df.select(chat.fingerprint(chat.parsed(F.col("j"))).alias("p")).where("p is not null").distinct().count()
+    assert prints == len(cases) - 2
+
+
+def test_rows_come_in_many_layouts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 1, "user", "u\u0000\n"), (3, 0, "user", "a"), (3, 0, "user", "a"), (3, None, "assistant", "first"), (4, 0, "tool", "t"), (4, 1, None, "none"), (5, 0, None, None), (6, 0, "system", "alone"), (None, 0, "user", "long " * 60_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string, formatted string")
+    records = chat.records_of_rows(df)
+    names = {m.sample: m.name for m in chat.MAPPINGS}
+    prints = records.select("conv_id", chat.fingerprint(chat.parsed(F.col("record"))).alias("p"))
+    known = spark.createDataFrame([(s, n) for s, n in names.items()], "j string, name string").select(chat.fingerprint(chat.parsed(F.col("j"))).alias("p"), "name")
+    assert {r.conv_id: r.name for r in prints.join(known, "p").collect()} == {1: "prompt_response", 2: "dialog", 3: "conversations", 4: "messages", 5: "messages", 6: "messages", None: "conversations"}
+    back = chat.format_conversations(df).select("conv_id", chat.parse_turns(F.col("formatted")).alias("t")).collect()
+    want = {}
+    for c, n, r, t in sorted(rows, key=lambda x: (x[0] or -1, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        want.setdefault(c, []).append((r or "", t or ""))
+    assert {r.conv_id: [(t.role, t.text) for t in r.t] for r in back} == want
+    assert chat.format_conversations(df.where("false")).count() == 0
 
 
 def test_formatting_is_reversible(spark):

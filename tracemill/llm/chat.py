@@ -1,9 +1,10 @@
 r"""Chat formatting: records of unknown layout to canonical turns, to a marked text with a loss mask, and back.
 
-A record's layout is known by its fingerprint, the hash of its nested field
-paths. Declarative mappings, one for each fingerprint, say where turns are;
-the fingerprint of each row picks its mapping. Everything is Spark SQL
-expressions: no Python runs on executors.
+A record is a JSON text. Its layout is known by its fingerprint, the hash of
+its nested field paths at every depth, without the types of the leaves.
+Declarative mappings, one for each fingerprint, say where turns are; the
+fingerprint of each row picks its mapping, so rows of many layouts may lie in
+one column. Everything is Spark SQL expressions: no Python runs on executors.
 
 The template is ``<|im_start|>role\ntext<|im_end|>\n`` for each turn. In texts
 and roles every ``<`` followed by back-slashes and a ``|`` gets one back-slash
@@ -12,7 +13,8 @@ text back. A role's line feeds and back-slashes are escaped besides.
 
 Nulls: a null text or role is empty; a null turn number sorts first. Equal
 turn numbers sort by role, then text; repeated rows stay. A record that no
-mapping fits has null turns. Empty tables give no rows; other columns are
+mapping fits, or that is no JSON, has null turns; one larger than Spark's limit
+for a variant raises an error. Empty tables give no rows; other columns are
 ignored.
 """
 
@@ -22,68 +24,56 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: JSON texts shorter than this always fit into a variant.
+VARIANT_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Turns of one layout. ``list_path`` names a list of messages with its role and text fields, or ``fields`` lists (role, field) in order."""
+    """Turns of one layout, known by a ``sample`` record of it. ``fields`` lists (role, path of a text) that come first, in order;
+    ``items`` is the path of a list of messages, with the paths of an item's role and text. ``roles`` renames roles."""
 
     name: str
-    paths: tuple[str, ...]
-    list_path: str | None = None
-    role_field: str = "role"
-    text_field: str = "content"
-    roles: tuple[tuple[str, str], ...] = ()
+    sample: str
     fields: tuple[tuple[str, str], ...] = ()
+    items: str | None = None
+    role: str = "role"
+    text: str = "content"
+    roles: tuple[tuple[str, str], ...] = ()
 
 
-#: Layouts known from public instruction and chat data sets.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
+
+#: Layouts known from public instruction and chat data sets, and a nested one.
 MAPPINGS = (
-    Mapping("messages", ("messages[].content", "messages[].role"), "messages"),
-    Mapping("messages_text", ("messages[].role", "messages[].text"), "messages", text_field="text"),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))),
-    Mapping("prompt_response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
-    Mapping("prompt_completion", ("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction_input", ("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("question_answer", ("answer", "question"), fields=(("user", "question"), ("assistant", "answer"))),
-    Mapping("system_question_response", ("question", "response", "system_prompt"), fields=(("system", "system_prompt"), ("user", "question"), ("assistant", "response"))),
+    Mapping("messages", '{"messages":[{"role":"","content":""}]}', items="messages"),
+    Mapping("messages_text", '{"messages":[{"role":"","text":""}]}', items="messages", text="text"),
+    Mapping("conversations", '{"conversations":[{"from":"","value":""}]}', items="conversations", role="from", text="value", roles=SPEAKERS),
+    Mapping("system_conversations", '{"system":"","conversations":[{"from":"","value":""}]}', (("system", "system"),), "conversations", "from", "value", SPEAKERS),
+    Mapping("dialog", '{"dialog":{"system":"","turns":[{"by":{"role":""},"say":{"text":""}}]}}', (("system", "dialog.system"),), "dialog.turns", "by.role", "say.text"),
+    Mapping("prompt_response", '{"prompt":"","response":""}', (("user", "prompt"), ("assistant", "response"))),
+    Mapping("prompt_completion", '{"prompt":"","completion":""}', (("user", "prompt"), ("assistant", "completion"))),
+    Mapping("instruction", '{"instruction":"","output":""}', (("user", "instruction"), ("assistant", "output"))),
+    Mapping("instruction_input", '{"instruction":"","input":"","output":""}', (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("question_answer", '{"question":"","answer":""}', (("user", "question"), ("assistant", "answer"))),
+    Mapping("system_question_response", '{"system_prompt":"","question":"","response":""}', (("system", "system_prompt"), ("user", "question"), ("assistant", "response"))),
 )
 
-
-def field_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """The paths of all leaves: names joined by points, ``[]`` for a list's items."""
-    if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(kind, T.ArrayType):
-        return field_paths(kind.elementType, at + "[]")
-    return [at]
-
-
-def fingerprint(paths: Column) -> Column:
-    """The hash of a set of field paths, whatever their order."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
-
-
-def _literal_print(paths: tuple[str, ...]) -> Column:
-    return fingerprint(F.array(*map(F.lit, paths)))
+#: A leaf's type in the text of a variant's schema.
+LEAF_TYPE = r"(?<=: |<|^)(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?(?=[,>]|$)"
 
 
-def json_field_paths(json: Column) -> Column:
-    """Field paths of a JSON object of up to two levels: its fields, and those of objects in its lists."""
-    top = F.json_object_keys(json)
+def layout_of(record: Column) -> Column:
+    """The nested field paths of a variant as one text: names in order, nesting by brackets, no types of leaves."""
+    return F.regexp_replace(F.schema_of_variant(record), LEAF_TYPE, "")
 
-    def below(key: Column) -> Column:
-        value = F.try_variant_get(F.try_parse_json(json), F.lit("$"), "map<string,variant>")[key]
-        items = F.try_variant_get(value, "$", "array<map<string,variant>>")
-        inner = F.array_distinct(F.flatten(F.transform(items, lambda m: F.map_keys(m))))
-        return F.when(F.size(F.coalesce(inner, F.array().cast("array<string>"))) > 0, F.transform(inner, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(key))
 
-    return F.flatten(F.transform(F.coalesce(top, F.array().cast("array<string>")), below))
+def fingerprint(record: Column) -> Column:
+    """The hash of a variant's nested field paths; the order of fields in the JSON text does not count."""
+    return F.sha2(layout_of(record), 256)
 
 
 def _mapped_role(role: Column, m: Mapping) -> Column:
@@ -99,39 +89,49 @@ def _turn(role: Column, text: Column) -> Column:
 
 def _turns_by(m: Mapping, record: Column) -> Column:
     """The turns that one mapping reads from a variant record."""
-    if m.list_path:
-        items = F.try_variant_get(record, f"$.{m.list_path}", "array<map<string,string>>")
-        return F.transform(items, lambda x: _turn(_mapped_role(x[m.role_field], m), x[m.text_field]))
-    read = [(role, F.try_variant_get(record, f"$.{f}", "string")) for role, f in m.fields]
-    return F.filter(F.array(*(F.when(text.isNotNull(), _turn(F.lit(role), text)) for role, text in read)), lambda t: t.isNotNull())
+    read = [(role, F.try_variant_get(record, f"$.{path}", "string")) for role, path in m.fields]
+    turns = F.array_compact(F.array(*(F.when(text.isNotNull(), _turn(F.lit(role), text)) for role, text in read))) if read else F.array().cast(TURNS)
+    if m.items:
+        items = F.try_variant_get(record, f"$.{m.items}", "array<variant>")
+        turns = F.concat(turns, F.transform(items, lambda x: _turn(_mapped_role(F.try_variant_get(x, f"$.{m.role}", "string"), m), F.try_variant_get(x, f"$.{m.text}", "string"))))
+    return turns
+
+
+def parsed(json: Column) -> Column:
+    """JSON as a variant, null for what is no JSON; a text that only its size keeps from being one raises an error."""
+    return F.when(F.octet_length(json) < VARIANT_BYTES, F.try_parse_json(json)).otherwise(F.parse_json(json))
 
 
 def turns_of_json(json: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Canonical turns of JSON records: each row's fingerprint selects its mapping; null where none fits."""
-    prints, out, record = fingerprint(json_field_paths(json)), F.lit(None).cast(TURNS), F.try_parse_json(json)
+    record, out = parsed(json), F.lit(None).cast(TURNS)
+    prints = fingerprint(record)
     for m in mappings:
-        out = F.when(prints == _literal_print(m.paths), _turns_by(m, record)).otherwise(out)
+        out = F.when(prints == fingerprint(F.parse_json(F.lit(m.sample))), _turns_by(m, record)).otherwise(out)
     return out
 
 
-def turns_of_struct(df: DataFrame, column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Canonical turns of a struct column: the fingerprint of its type selects the mapping."""
-    kind = df.schema[column].dataType
-    prints = tuple(sorted(set(field_paths(kind))))
-    m = next((m for m in mappings if tuple(sorted(set(m.paths))) == prints), None)
-    if m is None:
-        raise ValueError(f"no mapping for the layout {', '.join(prints)}")
-    record = F.col(column)
-    if m.list_path:
-        return F.transform(record[m.list_path], lambda x: _turn(_mapped_role(x[m.role_field], m), x[m.text_field]))
-    return F.array(*(_turn(F.lit(role), record[f].cast("string")) for role, f in m.fields))
+def records_of_rows(rows: DataFrame) -> DataFrame:
+    """conv_id, record: a row a turn (conv_id, turn, role, text) gathered into JSON, in the layout that data of its shape come in.
 
-
-def conversations_of_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, record: a row a turn (conv_id, turn, role, text) gathered into the ``messages`` layout."""
-    one = F.struct(F.col("turn"), F.col("role"), F.col("text").alias("content"))
+    A user's turn with an assistant's is a prompt and its response; a system
+    text before users and assistants is a nested dialog; users and assistants
+    alone are named by speakers; any other conversation is a list of messages.
+    """
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    return gathered.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
+    m = F.col("m")
+    said = lambda at: F.try_element_at(m, F.lit(at))["text"]
+    roles = F.transform(m, lambda x: x["role"])
+    rest = F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(1)))
+    two = lambda turns: F.forall(turns, lambda x: x["role"].isin("user", "assistant"))
+    pair = F.struct(said(1).alias("prompt"), said(2).alias("response"))
+    turns = F.transform(rest, lambda x: F.struct(F.struct(x["role"].alias("role")).alias("by"), F.struct(x["text"].alias("text")).alias("say")))
+    dialog = F.struct(F.struct(said(1).alias("system"), turns.alias("turns")).alias("dialog"))
+    spoken = F.struct(F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["text"].alias("value"))).alias("conversations"))
+    plain = F.struct(F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+    json = F.when(roles == F.array(F.lit("user"), F.lit("assistant")), F.to_json(pair)).when((F.size(m) > 1) & (roles[0] == "system") & two(rest), F.to_json(dialog)).when(two(m), F.to_json(spoken)).otherwise(F.to_json(plain))
+    return gathered.select("conv_id", json.alias("record"))
 
 
 def escape_text(text: Column) -> Column:
@@ -182,11 +182,15 @@ def loss_spans(formatted: Column, trained_role: str = "assistant") -> Column:
     return step
 
 
+def format_records(records: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss_spans of JSON records (conv_id, record) of any known layouts."""
+    marked = records.select("conv_id", format_turns(turns_of_json(F.col("record"))).alias("formatted"))
+    return marked.withColumn("loss_spans", loss_spans(F.col("formatted")))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans of a row-a-turn table."""
-    records = conversations_of_rows(rows)
-    marked = records.select("conv_id", format_turns(turns_of_struct(records, "record")).alias("formatted"))
-    return marked.withColumn("loss_spans", loss_spans(F.col("formatted")))
+    return format_records(records_of_rows(rows))
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
