@@ -56,7 +56,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.decontam import contamination
 
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("doc_key", "n_near_items")
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +128,16 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(1, len(ws) - n + 2))) AS s FROM d, (SELECT DISTINCT n FROM windows))
         ), hits AS (SELECT doc_id, item_id, s, spans.n FROM spans JOIN windows ON spans.n = windows.n AND spans.w = windows.w
         ), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
+        ), counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w
+        ), iw AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM i WHERE len(ws) > 0
+        ), ip AS (SELECT item_id, s, ws[s:s + n - 1] AS win, p, ws[p] AS w FROM (SELECT *, unnest(range(s, s + n)) AS p FROM iw)
+        ), rare AS (SELECT item_id, win, ip.w FROM ip LEFT JOIN counts ON counts.w = ip.w QUALIFY row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(n, 0), p) = 1
+        ), dp AS (SELECT doc_id, ws[p] AS w, ws[greatest(1, p - 9):p + 9] AS around FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)
+        ), near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM dp JOIN rare USING (w) WHERE list_has_all(around, win) GROUP BY doc_id
         ), items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op9_minhash_neardup": r"""
         WITH RECURSIVE words AS (
