@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
-from tracemill.llm import webp
+from tracemill.llm import webp, webpbatch
 
 
 class Writer(webp.BitWriter):
@@ -192,23 +192,86 @@ def test_near_distances():
     assert len(webp.NEAR) == 120 and webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and webp.NEAR[-1] == (8, 7)
 
 
-def test_uniform_streams_agree_with_the_loop():
-    samples = np.frombuffer(b"some text, padded to a multiple of 64 bytes, so that rows are whole".ljust(128, b"\0"), np.uint8)
-    stream = webp.encode_flat(samples, 16, 2)
-    fast = webp.decode_vp8l(stream)
-    r = webp.BitReader(stream)
-    r.at = 40 + 1 + 1 + 1
-    codes = [webp.read_code(r, a) for a in (280, 256, 256, 256, 40)]
-    slow = [[c.read(r) for c in codes[:4]] for _ in range(32)]
-    assert fast.reshape(-1, 4).tolist() == [[red, g, b, a] for g, red, b, a in slow]
-    assert fast.tobytes() == samples.tobytes()
+def padded(data):
+    return np.frombuffer(data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0"), np.uint8)
+
+
+def payloads(seed):
+    """Texts, repeats, noise, few values, one value, runs over several images."""
+    rng = np.random.default_rng(seed)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)]
+    text = lambda n: b" ".join(words[k] for k in rng.integers(0, 300, n))
+    raw = [b"", b"a", text(5), text(700), text(4000), text(40) * 90, bytes(rng.integers(0, 256, 5000).astype(np.uint8)), b"ab" * 3000, b"abcdefghijklmnop" * 40, b"\0" * 9000, bytes(range(256)) * 3]
+    fib = [1, 1]
+    while sum(fib) < 3900:
+        fib.append(fib[-1] + fib[-2])
+    skewed = np.repeat(np.arange(len(fib)), fib).astype(np.uint8)  # a Huffman tree of one symbol a level
+    rng.shuffle(skewed)
+    return [padded(x) for x in (*raw, skewed.tobytes(), *(text(int(n)) for n in rng.integers(0, 200, 20)))]
+
+
+def test_lockstep_agrees_with_the_loop():
+    held = payloads(1)
+    media = webpbatch.encode_payloads(held)
+    uses = set()
+    for payload, value in zip(held, media, strict=True):
+        streams = list(webp.images(value))
+        decoded = webpbatch.decode_streams(streams)
+        assert webp.samples([d.pixels for d in decoded]) == payload.tobytes()
+        for stream, d in zip(streams, decoded, strict=True):
+            r = webp.BitReader(stream)
+            width, height = webp.read_size(r)
+            steps, inner = webp.read_steps(r, width, height)
+            tally = webp.Uses()
+            argb = webp.read_body(r, webp.read_head(r, inner, height, True), inner, height, tally).reshape(height, inner)
+            assert (webp.finished(argb, steps) == d.pixels).all() and tally.references == d.references
+            uses |= {k for k, on in (("codes", d.uneven_codes), ("references", d.references), ("palette", webp.PALETTE in d.transforms)) if on}
+    assert uses == {"codes", "references", "palette"}
+    every = webpbatch.decode_streams([x for value in media for x in webp.images(value)])
+    assert webp.samples([d.pixels for d in every]) == b"".join(p.tobytes() for p in held)
+    assert sum(map(len, media)) < 0.7 * sum(map(len, held))
+
+
+def test_streams_of_all_kinds_decode_together():
+    """Streams for the lockstep and for the general loop, mixed, come back in order."""
+    rng = np.random.default_rng(2)
+    plain = next(webp.images(webpbatch.encode_payloads([padded(b"some text " * 30)])[0]))
+    argb = image(rng, 4, 5)
+    w = Writer()
+    header(w, 5, 4)
+    w.put(0, 1)
+    w.pixels(literals(argb))
+    got = webpbatch.decode_streams([plain, w.bytes(), plain])
+    assert (got[1].pixels == rgba(argb)).all() and (got[0].pixels == got[2].pixels).all()
+    assert webpbatch.decode_streams([]) == []
+
+
+def test_code_lengths_of_few_counts():
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = [rng.choice([1, 2, 3, 50, 10**6]) ** rng.choice([1, 2]) for _ in range(rng.randint(2, 40))]
+        for limit in (6, 7, 15):
+            if len(counts) <= 1 << limit:
+                lengths = webpbatch.lengths_of(counts, limit)
+                assert sum(2.0**-x for x in lengths) == 1 and max(lengths) <= limit
+
+
+def test_extended_containers():
+    stream = next(webp.images(webpbatch.encode_payloads([padded(b"x" * 100)])[0]))
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    body = b"WEBP" + chunk(b"VP8X", bytes(10)) + chunk(b"ICCP", b"abc") + chunk(b"VP8L", stream) + chunk(b"EXIF", b"e")
+    assert list(webp.images(chunk(b"RIFF", body))) == [stream]
+    frames = b"WEBP" + chunk(b"VP8X", bytes(10)) + chunk(b"ANIM", bytes(6)) + chunk(b"ANMF", bytes(16) + chunk(b"VP8L", stream)) * 2
+    assert list(webp.images(chunk(b"RIFF", frames))) == [stream, stream]
 
 
 def test_damaged_streams_raise():
-    stream = webp.encode_flat(np.arange(64, dtype=np.uint8), 16, 1)
+    stream = next(webp.images(webpbatch.encode_payloads([padded(bytes(range(200)) * 3)])[0]))
     for bad in (b"", stream[:5], stream[:-8], b"\x00" + stream[1:]):
         with pytest.raises(ValueError):
             webp.decode_vp8l(bad)
+        with pytest.raises(ValueError):
+            webpbatch.decode_streams([stream, bad])
     with pytest.raises(ValueError):
         list(webp.images(b"RIFFxxxxWEBPVP8 "))
 
@@ -224,10 +287,11 @@ def test_text_column(spark, odd, none):
     assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id in (4, 5)}) == 1
     assert webp.text_media(none).count() == 0
     pixels = webp.pixel_arrays(webp.store_texts(odd.where("doc_id = 4"))).first()
-    assert bytes(pixels.pixels).rstrip(b"\0").decode() == ODD[4] and pixels.width == 16
+    assert bytes(pixels.pixels)[1::4].rstrip(b"\0").decode() == ODD[4] and pixels.width == 64
 
 
 def test_texts_over_one_image():
-    payload = np.arange(webp.IMAGE_BYTES + 640, dtype=np.int64).astype(np.uint8)
-    parts = webp.media_to_pixels(webp.text_to_media(payload))
-    assert [p.shape for p in parts] == [(16384, 16, 4), (10, 16, 4)] and b"".join(p.tobytes() for p in parts) == payload.tobytes()
+    payload = np.random.default_rng(4).integers(0, 99, webpbatch.IMAGE_SAMPLES * 2 + 640).astype(np.uint8)
+    media = webpbatch.encode_payloads([payload])[0]
+    parts = webp.media_to_pixels(media)
+    assert [p.shape for p in parts] == [(webpbatch.ROWS, 64, 4)] * 2 + [(10, 64, 4)] and webp.samples(parts) == payload.tobytes()

@@ -1,16 +1,15 @@
-"""Lossless WebP (VP8L): a decoder for whole streams, an encoder, and a media column that stores texts as images.
+"""Lossless WebP (VP8L): a decoder for whole streams, and a media column that stores texts as images.
 
 The decoder reads prefix codes, back-references, the colour cache and
 meta-prefix groups, and inverts the predictor, cross-colour, subtract-green and
-palette transforms. A stream whose codes all have one width and which holds
-literals alone is unpacked by numpy at once; every other stream runs through
-the table-driven loop. Pixels are uint8 arrays (height, width, 4) in R, G, B, A
-order.
+palette transforms, in plain and in extended containers. Pixels are uint8
+arrays (height, width, 4) in R, G, B, A order. ``webpbatch`` holds the encoder
+and runs the decoder over many images at once.
 
 Column operators: a null text is stored as an empty one (64 zero bytes); equal
-texts give equal rows' values; a text of more than one mebibyte becomes several
-images in a row in one value. Repeated rows are handled one by one, an empty
-table gives no rows, columns other than the two named are ignored.
+texts give equal rows' values; a text of more than one image's samples becomes
+several images in a row in one value. Repeated rows are handled one by one, an
+empty table gives no rows, columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +17,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import tidied, utf8
+from tracemill.llm.textarrays import row_chunks, tidied, utf8
 from tracemill.scratch import materialize, ship_package
 
 # Fixed values of the format.
@@ -32,8 +33,6 @@ LENGTH_CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 HASH_MULTIPLIER = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-IMAGE_WIDTH, IMAGE_HEIGHT = 16, 16384
-IMAGE_BYTES = IMAGE_WIDTH * IMAGE_HEIGHT * 4
 
 
 class BitReader:
@@ -43,6 +42,7 @@ class BitReader:
         self.data, self.at, self.base, self.window = data, 0, 0, int.from_bytes(data[:512], "little")
 
     def peek(self, n: int) -> int:
+        """The next n bits, at most 4080; zeros beyond the end."""
         shift = self.at - self.base
         if shift + n > 4096 or shift < 0:
             self.base = self.at & ~7
@@ -51,7 +51,7 @@ class BitReader:
         return (self.window >> shift) & ((1 << n) - 1)
 
     def bits(self, n: int) -> int:
-        value = self.peek(n)
+        value = self.peek(n) if n < 4080 else 0
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the stream ends early")
@@ -66,7 +66,6 @@ class PrefixCode:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else (0 if not len(used) else None)
         self.width = int(lengths.max(initial=0))
-        self.uniform = self.width if len(used) == 1 << self.width and (lengths[used] == self.width).all() else 0
         self.symbols = used
         self._table: list[tuple[int, int]] | None = None
 
@@ -104,40 +103,52 @@ def canonical(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
         code, before = code + 1, length
 
 
+@lru_cache(4096)
+def _short_code(lengths: bytes) -> PrefixCode:
+    """A code of few symbols, which many streams share; not to be changed."""
+    return PrefixCode(np.frombuffer(lengths, np.uint8))
+
+
 def read_code(r: BitReader, alphabet: int) -> PrefixCode:
-    lengths = np.zeros(alphabet, np.uint8)
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
+        lengths = bytearray(alphabet)
         lengths[r.bits(8 if wide else 1)] = 1
         if two:
             lengths[r.bits(8)] = 1
-        return PrefixCode(lengths)
-    small = np.zeros(19, np.uint8)
-    for k in range(4 + r.bits(4)):
-        small[LENGTH_CODE_ORDER[k]] = r.bits(3)
+        return _short_code(bytes(lengths))
+    small = bytearray(19)
+    n = 4 + r.bits(4)
+    shown = r.bits(3 * n)
+    for k in range(n):
+        small[LENGTH_CODE_ORDER[k]] = shown >> 3 * k & 7
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    code = PrefixCode(small)
-    if code.uniform == 1 and code.symbols[1] < 16 and left <= alphabet:  # each length is one of two, one bit each
-        flags = r.peek(left)
-        r.bits(left)
-        bits = np.unpackbits(np.frombuffer(flags.to_bytes((left + 7) // 8, "little"), np.uint8), bitorder="little")[:left]
-        lengths[:left] = code.symbols[bits]
-        return PrefixCode(lengths)
-    at, before = 0, 8
+    code = _short_code(bytes(small))
+    table, mask = ([(code.single, 0)], 0) if code.single is not None else (code.table, (1 << code.width) - 1)
+    lengths, at, before = bytearray(alphabet), 0, 8
+    window, used = r.peek(4080), 0
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(r)
+        if used > 4000:
+            r.bits(used)
+            window, used = r.peek(4080), 0
+        symbol, length = table[window >> used & mask]
+        used += length
         if symbol < 16:
             lengths[at] = symbol
             at += 1
             before = symbol or before
             continue
-        value, times = (before, 3 + r.bits(2)) if symbol == 16 else (0, 3 + r.bits(3)) if symbol == 17 else (0, 11 + r.bits(7))
+        bits = (2, 3, 7)[symbol - 16]
+        times = (window >> used & ((1 << bits) - 1)) + (11 if symbol == 18 else 3)
+        used += bits
         if at + times > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + times] = value
+        if symbol == 16:
+            lengths[at : at + times] = bytes([before]) * times
         at += times
-    return PrefixCode(lengths)
+    r.bits(used)
+    return PrefixCode(np.frombuffer(lengths, np.uint8))
 
 
 def _prefixed(r: BitReader, symbol: int) -> int:
@@ -147,23 +158,44 @@ def _prefixed(r: BitReader, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + r.bits(extra) + 1
 
 
-def read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
-    """One entropy-coded image as ARGB integers, row by row."""
+@dataclass
+class Head:
+    """What comes before an image's pixels: the cache's bits, the size and the groups of tiles, and each group's five codes."""
+
+    cache_bits: int
+    group_bits: int
+    groups_of: list[int] | None
+    groups: list[list[PrefixCode]]
+
+
+@dataclass
+class Uses:
+    """How often a stream's pixels came as literals, references and cached colours."""
+
+    literals: int = 0
+    references: int = 0
+    cached: int = 0
+
+
+def read_head(r: BitReader, width: int, height: int, top: bool) -> Head:
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache of more than 11 bits")
     group_bits, groups_of = 0, None
     if top and r.bits(1):
         group_bits = r.bits(3) + 2
-        columns = -(-width >> group_bits)
-        meta = read_pixels(r, columns, -(-height >> group_bits), False)
+        columns, tiles = -(-width >> group_bits), -(-height >> group_bits)
+        meta = read_body(r, read_head(r, columns, tiles, False), columns, tiles)
         groups_of = ((meta >> np.uint32(8)) & np.uint32(0xFFFF)).astype(int).tolist()
     n_groups = 1 + max(groups_of) if groups_of else 1
     groups = [[read_code(r, a) for a in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(n_groups)]
+    return Head(cache_bits, group_bits, groups_of, groups)
+
+
+def read_body(r: BitReader, head: Head, width: int, height: int, uses: Uses | None = None) -> np.ndarray:
+    """One entropy-coded image as ARGB integers, row by row."""
+    cache_bits, group_bits, uses = head.cache_bits, head.group_bits, uses or Uses()
     total = width * height
-    green, red, blue, alpha, _ = groups[0]
-    if n_groups == 1 and not cache_bits and green.uniform and green.symbols[-1] < 256 and green.uniform == red.uniform == blue.uniform == alpha.uniform:
-        return _unpack_uniform(r, total, groups[0])
     out, cache, cached, columns = [0] * total, [0] * (1 << cache_bits), 0, -(-width >> group_bits)
     at = 0
 
@@ -173,17 +205,17 @@ def read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
             cache[((HASH_MULTIPLIER * out[cached]) & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
             cached += 1
 
+    green, red, blue, alpha, distance = head.groups[0]
     while at < total:
-        if groups_of:
+        if head.groups_of:
             y, x = divmod(at, width)
-            green, red, blue, alpha, distance = groups[groups_of[(y >> group_bits) * columns + (x >> group_bits)]]
-        else:
-            green, red, blue, alpha, distance = groups[0]
+            green, red, blue, alpha, distance = head.groups[head.groups_of[(y >> group_bits) * columns + (x >> group_bits)]]
         symbol = green.read(r)
         if symbol < 256:
             # read in this order: green, red, blue, alpha
             r_, b_, a_ = red.read(r), blue.read(r), alpha.read(r)
             out[at] = a_ << 24 | r_ << 16 | symbol << 8 | b_
+            uses.literals += 1
             at += 1
         elif symbol < 280:
             length = _prefixed(r, symbol - 256)
@@ -191,30 +223,18 @@ def read_pixels(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
             back = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
             if back > at or at + length > total:
                 raise ValueError("back-reference outside the image")
+            uses.references += 1
             for _ in range(length):
                 out[at] = out[at - back]
                 at += 1
         else:
             remember()
+            uses.cached += 1
             out[at] = cache[symbol - 280]
             at += 1
     return np.array(out, np.uint32)
 
 
-def _unpack_uniform(r: BitReader, total: int, codes: list[PrefixCode]) -> np.ndarray:
-    """Literals of one code width: all samples are cut out of the stream together."""
-    width = codes[0].uniform
-    first, n = r.at >> 3, total * 4 * width
-    raw = np.frombuffer(r.data, np.uint8)[first : (r.at + n + 7) >> 3]
-    bits = np.unpackbits(raw, bitorder="little")[r.at & 7 :][:n]
-    if len(bits) < n:
-        raise ValueError("the stream ends early")
-    number = (np.packbits(bits.reshape(-1, width), axis=1).reshape(-1, 4) >> (8 - width)).astype(np.uint8)
-    r.at += n
-    g, red, b, a = (codes[k].symbols.astype(np.uint32)[number[:, k]] for k in range(4))
-    return a << np.uint32(24) | red << np.uint32(16) | g << np.uint32(8) | b
-
-
 def _channels(argb: np.ndarray) -> np.ndarray:
     return np.stack([(argb >> np.uint32(s)) & np.uint32(255) for s in (24, 16, 8, 0)], -1).astype(np.int32)
 
@@ -292,16 +312,21 @@ def _cross(image: np.ndarray, elements: np.ndarray, bits: int, forward: bool) ->
     return out
 
 
-def decode_vp8l(data: bytes) -> np.ndarray:
-    """The pixels of one VP8L stream."""
-    r = BitReader(data)
+def read_size(r: BitReader) -> tuple[int, int]:
+    """(width, height) from the start of a stream."""
     if r.bits(8) != 0x2F:
         raise ValueError("not a VP8L stream")
     width, height = r.bits(14) + 1, r.bits(14) + 1
     r.bits(1)
     if r.bits(3):
         raise ValueError("unknown version")
-    steps, full, seen = [], width, set()
+    return width, height
+
+
+def read_steps(r: BitReader, width: int, height: int) -> tuple[list[tuple], int]:
+    """(the transforms with what each holds, the width of the image that they are applied to)."""
+    steps, seen = [], set()
+    inner = lambda w, h: read_body(r, read_head(r, w, h, False), w, h)
     while r.bits(1):
         kind = r.bits(2)
         if kind in seen:
@@ -310,19 +335,20 @@ def decode_vp8l(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits = r.bits(3) + 2
             shape = (-(-height >> bits), -(-width >> bits))
-            steps.append((kind, bits, _channels(read_pixels(r, shape[1], shape[0], False).reshape(shape)), width))
+            steps.append((kind, bits, _channels(inner(shape[1], shape[0]).reshape(shape)), width))
         elif kind == PALETTE:
             n = r.bits(8) + 1
-            table = np.cumsum(_channels(read_pixels(r, n, 1, False)), 0) & 255
+            table = np.cumsum(_channels(inner(n, 1)), 0) & 255
             bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, bits, table, width))
             width = -(-width >> bits)
         else:
             steps.append((kind, 0, None, width))
-    argb = read_pixels(r, width, height, True).reshape(height, width)
-    if not steps:
-        return np.ascontiguousarray(argb.astype("<u4")).view(np.uint8).reshape(height, full, 4)[..., [2, 1, 0, 3]]
-    image = _channels(argb)
+    return steps, width
+
+
+def invert(image: np.ndarray, steps: list[tuple]) -> np.ndarray:
+    """Pixels (R, G, B, A) of channels (A, R, G, B) after the transforms are taken back, last first."""
     for kind, bits, held, before in reversed(steps):
         if kind == PREDICTOR:
             image = _walk_predictor(image, held[..., 2], bits, False)
@@ -339,21 +365,47 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     return image[..., [1, 2, 3, 0]].astype(np.uint8)
 
 
+def finished(argb: np.ndarray, steps: list[tuple]) -> np.ndarray:
+    return invert(_channels(argb), steps)
+
+
+def decode_vp8l(data: bytes) -> np.ndarray:
+    """The pixels of one VP8L stream, by the general loop."""
+    r = BitReader(data)
+    width, height = read_size(r)
+    steps, inner = read_steps(r, width, height)
+    return finished(read_body(r, read_head(r, inner, height, True), inner, height).reshape(height, inner), steps)
+
+
 def riff(stream: bytes) -> bytes:
     padded = stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + padded
 
 
 def images(media: bytes) -> Iterator[bytes]:
-    """The VP8L streams of files in a row."""
+    """The VP8L streams of files in a row, in plain and extended containers; other chunks are passed over, of an animation's frames each is one image."""
     at = 0
     while at < len(media):
-        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 16] != b"WEBPVP8L":
+        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 12] != b"WEBP":
+            raise ValueError("not a WebP file")
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        if end > len(media):
+            raise ValueError("the file ends early")
+        found = list(_streams(media, at + 12, end))
+        if not found:
             raise ValueError("not a lossless WebP file")
-        size = int.from_bytes(media[at + 4 : at + 8], "little")
-        length = int.from_bytes(media[at + 16 : at + 20], "little")
-        yield media[at + 20 : at + 20 + length]
-        at += 8 + size
+        yield from found
+        at = end
+
+
+def _streams(media: bytes, at: int, end: int) -> Iterator[bytes]:
+    while at + 8 <= end:
+        name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+        if name == b"VP8L":
+            yield media[at + 8 : at + 8 + size]
+        elif name == b"ANMF":
+            yield from _streams(media, at + 8 + 16, at + 8 + size)
+        at += 8 + size + (size & 1)
 
 
 class BitWriter:
@@ -365,42 +417,16 @@ class BitWriter:
         self.n += n
 
 
-def encode_flat(samples: np.ndarray, width: int, height: int) -> bytes:
-    """A VP8L stream of literals whose codes all have the width that the distinct samples need. Samples: R, G, B, A in a row."""
-    present = np.bincount(samples, minlength=256) > 0
-    size = max(1, int(present.sum() - 1).bit_length())
-    chosen = present.copy()
-    spare = (1 << size) - int(present.sum())
-    chosen[np.flatnonzero(~present)[:spare]] = True
-    flags = int.from_bytes(np.packbits(chosen, bitorder="little").tobytes(), "little")
-    w = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        w.put(value, n)
-    last = max(LENGTH_CODE_ORDER.index(0), LENGTH_CODE_ORDER.index(size)) + 1
-    for _ in range(4):
-        w.put(0, 1)
-        w.put(max(4, last) - 4, 4)
-        for k in LENGTH_CODE_ORDER[: max(4, last)]:
-            w.put(1 if k in (0, size) else 0, 3)
-        w.put(1, 1)
-        w.put(3, 3)
-        w.put(254, 8)  # 256 lengths follow
-        w.put(flags, 256)
-    w.put(1, 4)  # the distance code: one symbol, 0
-    rank = np.cumsum(chosen) - 1
-    order = rank.astype(np.uint8)[samples.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)]
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    body = np.unpackbits(order[:, None], axis=1)[:, 8 - size :].reshape(-1)
-    return np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
-
-
-def text_to_media(payload: np.ndarray) -> bytes:
-    """Bytes, a multiple of 64 of them, as files in a row, each 16 pixels wide."""
-    return b"".join(riff(encode_flat(part := payload[at : at + IMAGE_BYTES], IMAGE_WIDTH, len(part) // 64)) for at in range(0, len(payload), IMAGE_BYTES))
+def media_to_pixels(media: bytes) -> list[np.ndarray]:
+    """The pixels of every image of a value."""
+    from tracemill.llm.webpbatch import decode_streams
 
+    return [d.pixels for d in decode_streams(list(images(media)))]
 
-def media_to_pixels(media: bytes) -> list[np.ndarray]:
-    return [decode_vp8l(s) for s in images(media)]
+
+def samples(pixels: list[np.ndarray]) -> bytes:
+    """The payload: the green samples of all images in a row."""
+    return b"".join(p[..., 1].tobytes() for p in pixels)
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,17 +434,18 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ship_package(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tracemill.llm.webpbatch import encode_payloads
+
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for lo in range(0, batch.num_rows, 500):
-                media = []
-                for i in range(lo, min(lo + 500, batch.num_rows)):
+            for lo, hi in row_chunks(at):
+                payloads = []
+                for i in range(lo, hi):
                     text = data[at[i] : at[i + 1]]
                     payload = np.zeros(max(1, -(-len(text) // 64)) * 64, np.uint8)
                     payload[: len(text)] = text
-                    media.append(text_to_media(payload))
-                n = len(media)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.diff(at)[lo : lo + n]), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                    payloads.append(payload)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)[lo:hi]), pa.array(encode_payloads(payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(encode), "doc_id long, n_bytes long, media binary")
 
@@ -436,33 +463,42 @@ def pixel_arrays(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "media").mapInArrow(decode, "doc_id long, width int, heights array<int>, pixels binary")
 
 
+#: Bytes of media that are decoded together.
+TOGETHER = 4 << 20
+
+
 def media_digests(stored: DataFrame) -> DataFrame:
-    """What is read back from each row's media: sizes, digests and a feature of the pixels."""
+    """What is read back from each row's media: sizes, digests, a feature of the pixels, and how often each of the format's means was used."""
     ship_package(stored.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_images long, n_uneven_codes long, n_references long, n_cached long, n_transforms long"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tracemill.llm.webpbatch import decode_streams
+
         for batch in batches:
-            rows = []
-            for media in batch.column(2):
-                media = media.as_py()
-                parts = media_to_pixels(media)
-                payload = b"".join(p.tobytes() for p in parts)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parts)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+            data, offsets = utf8(batch.column(2))
+            for lo, hi in row_chunks(offsets, TOGETHER):
+                values = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
+                streams = [list(images(v)) for v in values]
+                decoded = iter(decode_streams([s for own in streams for s in own]))
+                rows = []
+                for media, own in zip(values, streams, strict=True):
+                    found = [next(decoded) for _ in own]
+                    payload = samples([d.pixels for d in found])
+                    used = (sum(d.uneven_codes for d in found), sum(d.references for d in found), sum(d.cached for d in found), sum(len(d.transforms) for d in found))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), len(found), *used))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5)
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(digest), schema)
 
 
-def feature(parts: list[np.ndarray]) -> str:
-    """Size, and for each channel the mean and the mean step between rows, in thousandths."""
-    pixels = np.concatenate([p.reshape(-1, p.shape[1], 4) for p in parts]) if len(parts) > 1 else parts[0]
-    flat = pixels.reshape(-1, 4)
-    mean = flat.sum(0, dtype=np.int64) * 1000 // len(flat)
-    step = np.abs(np.diff(pixels.astype(np.int16), axis=0)).sum((0, 1), dtype=np.int64) * 1000 // len(flat)
-    return f"{pixels.shape[1]}x{pixels.shape[0]};mean=" + ",".join(map(str, mean)) + ";step=" + ",".join(map(str, step))
+def feature(payload: bytes) -> str:
+    """Rows of 64 samples, and for all samples the mean and the mean step between rows, in thousandths."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    step = int(np.abs(np.diff(rows.astype(np.int16), axis=0)).sum(dtype=np.int64))
+    return f"64x{len(rows)};mean={int(rows.sum(dtype=np.int64)) * 1000 // rows.size};step={step * 1000 // rows.size}"
 
 
 def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
