@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENCODING = "sorted-delta-v1"
+# Fixed values of the format.
+ENCODING, SCHEMA = "sorted-delta-v1", "delta-postings-v0.1"
 
 
 def delta_encode(ids: Column) -> Column:
@@ -26,6 +27,12 @@ def compress_postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("shard_path", "token").agg(F.collect_set("local_id").alias("ids")).select("shard_path", "token", F.lit(ENCODING).alias("encoding"), delta_encode(F.col("ids")).alias("gaps"))
 
 
+def compact_snapshot(tokens: DataFrame, snapshot_cids: DataFrame) -> DataFrame:
+    """Compressed postings with schema and source_snapshot_cid, from (shard_path, token, local_id) and (shard_path, snapshot_cid)."""
+    named = snapshot_cids.select("shard_path", F.col("snapshot_cid").alias("source_snapshot_cid"))
+    return compress_postings(tokens).join(named, "shard_path", "left").select("shard_path", "source_snapshot_cid", F.lit(SCHEMA).alias("schema"), "encoding", "token", "gaps")
+
+
 def decompress_postings(compressed: DataFrame) -> DataFrame:
     """shard_path, token, local_id; another encoding raises an error. Sums run by window over long rows, so a long list needs no array."""
     from pyspark.sql import Window

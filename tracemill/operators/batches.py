@@ -14,6 +14,7 @@ from tracemill.functions.identity import CID_PREFIX, ascii_json, sha256_hex
 from tracemill.scratch import materialize, ship_package
 
 NO_SHARD = "/stored-events"
+ANCHOR_INDEXES = ("batch_id", "shard_path", "event_manifest_cid", "postings_manifest_cid", "merkle_root")
 ANCHOR_COLUMNS = "batch long, batch_id string, event_count long, event_manifest_cid string, postings_manifest_cid string, merkle_root string, first_event_id string, last_event_id string"
 
 
@@ -107,7 +108,7 @@ def anchors(batched: DataFrame, run_id: str, source_sha256: str) -> DataFrame:
 
 def anchor_lookup(anchor_rows: DataFrame, by: str, key: str) -> DataFrame:
     """batch_id of anchors by batch_id, shard_path, event_manifest_cid, postings_manifest_cid or merkle_root."""
-    if by not in ("batch_id", "shard_path", "event_manifest_cid", "postings_manifest_cid", "merkle_root"):
+    if by not in ANCHOR_INDEXES:
         raise ValueError(f"anchors have no index {by}")
     return anchor_rows.where(F.col(by) == key).select("batch_id")
 
@@ -129,6 +130,18 @@ def top_counts(rows: DataFrame, value: str, n: int = 20) -> DataFrame:
     return counted.orderBy(F.desc("n"), "first_seq").limit(n)
 
 
+def root_event_count(events: DataFrame) -> DataFrame:
+    """One row: root_event_count."""
+    return events.select("root_event_id").distinct().agg(F.count(F.lit(1)).alias("root_event_count"))
+
+
+def anchors_by(anchor_rows: DataFrame, by: str) -> DataFrame:
+    """key, batch_id of all anchors under one of their indexes: shard_path, event_manifest_cid, postings_manifest_cid or merkle_root."""
+    if by not in ANCHOR_INDEXES:
+        raise ValueError(f"anchors have no index {by}")
+    return anchor_rows.select(F.lit(by).alias("index"), F.col(by).alias("key"), "batch_id")
+
+
 def summary(events: DataFrame) -> DataFrame:
     """what ('kind', 'session', 'hour', 'actor'), value, n, first_seq: the twenty most frequent of each."""
     columns = {"kind": F.col("value_kind"), "session": F.try_element_at("channel_path", F.lit(2)), "hour": F.try_element_at("time_keys", F.lit(-1)), "actor": F.try_element_at("actor_keys", F.lit(-1))}

@@ -15,8 +15,8 @@ from tracemill.schemas import DERIVED_INDEXES, FAMILIES, Index
 EVENT_INDEXES = ("time", "actor", "channel", "kind", "parent", "root", "payload", "event_cid")
 
 
-def event_postings(events: DataFrame) -> DataFrame:
-    """Postings of the eight event indexes; a key repeated in an event counts once."""
+def event_postings(events: DataFrame, indexes: tuple[str, ...] = EVENT_INDEXES) -> DataFrame:
+    """Postings of the event indexes asked for; a key repeated in an event counts once."""
     many = {"time": "time_keys", "actor": "actor_keys", "channel": "channel_keys", "parent": "parent_event_ids"}
     one = {"kind": F.coalesce("value_kind", F.lit("")), "root": F.coalesce("root_event_id", "event_id"), "payload": F.col("payload_cid"), "event_cid": F.col("event_cid")}
 
@@ -26,21 +26,27 @@ def event_postings(events: DataFrame) -> DataFrame:
     def entries_of(name: str, column: str) -> Column:
         return F.transform(F.array_distinct(F.coalesce(F.col(column), F.array().cast("array<string>"))), lambda k: entry(name, k))
 
-    lists = [entries_of(n, c) for n, c in many.items()]
-    entries = F.concat(*lists, F.array(*(entry(n, c) for n, c in one.items())))
+    lists = [entries_of(n, c) for n, c in many.items() if n in indexes]
+    single = [entry(n, c) for n, c in one.items() if n in indexes]
+    entries = F.concat(*lists, *([F.array(*single)] if single else []))
     return events.select("seq", F.col("event_id").alias("id"), F.posexplode(entries).alias("pos", "e")).select("e.index", "e.key", "id", "seq", "pos").where("key is not null")
 
 
-def _field(spec: str) -> Column:
+def _pointer_schema(indexes: tuple[Index, ...]) -> str:
+    """The fields of pointers that indexes read, as a struct: lists of texts, or texts."""
+    named = {x for i in indexes for x in (i.key, i.value) if x != "ID"}
+    return ", ".join(f"{n.removesuffix('[]')} {'array<string>' if n.endswith('[]') else 'string'}" for n in sorted(named))
+
+
+def _values(spec: str) -> Column:
     if spec == "ID":
         return F.array("id")
-    if spec.endswith("[]"):
-        return F.coalesce(F.from_json(F.get_json_object("pointer", f"$.{spec[:-2]}"), "array<string>"), F.array().cast("array<string>"))
-    return F.filter(F.array(F.get_json_object("pointer", f"$.{spec}")), lambda x: x.isNotNull())
+    field = F.col("p")[spec.removesuffix("[]")]
+    return F.coalesce(field, F.array().cast("array<string>")) if spec.endswith("[]") else F.array_compact(F.array(field))
 
 
 def _entries(index: Index) -> Column:
-    keys, values = _field(index.key), _field(index.value)
+    keys, values = _values(index.key), _values(index.value)
     if index.skip_blank:
         keys = F.filter(keys, lambda k: k != "")
     pair = lambda k, v: F.struct(F.lit(index.name).alias("index"), k.alias("key"), v.alias("id"))
@@ -48,15 +54,14 @@ def _entries(index: Index) -> Column:
 
 
 def derived_postings(artifacts: DataFrame, indexes: tuple[Index, ...] = DERIVED_INDEXES) -> DataFrame:
-    """Postings of all artifact indexes, each (index, key, id) once at its first place."""
-    out = None
+    """Postings of all artifact indexes, each (index, key, id) once at its first place: one scan, each pointer parsed once."""
+    entries = F.array().cast("array<struct<index:string,key:string,id:string>>")
     for family in FAMILIES:
         specs = [i for i in indexes if i.family == family]
-        if not specs:
-            continue
-        rows = artifacts.where(F.col("family") == family).select("seq", F.posexplode(F.concat(*map(_entries, specs))).alias("pos", "e")).select("e.index", "e.key", "e.id", "seq", "pos")
-        out = rows if out is None else out.unionByName(rows)
-    return first_of_each(out)
+        if specs:
+            entries = F.when(F.col("family") == family, F.concat(*map(_entries, specs))).otherwise(entries)
+    parsed = artifacts.select("seq", "family", "id", F.from_json("pointer", _pointer_schema(indexes)).alias("p"))
+    return first_of_each(parsed.select("seq", F.posexplode(entries).alias("pos", "e")).select("e.index", "e.key", "e.id", "seq", "pos"))
 
 
 def first_of_each(postings: DataFrame) -> DataFrame:
@@ -82,6 +87,13 @@ def ordered_lists(postings: DataFrame) -> DataFrame:
     return drawn.select("index", "key", F.size("entries").cast("long").alias("n"), F.transform("entries", lambda e: e["id"]).alias("ids"))
 
 
+def get_many_events(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """event_id, found and the columns of events for each distinct id of a table; an unknown one is not found and has nulls."""
+    asked = ids.select("event_id").distinct()
+    held = events.withColumn("__found", F.lit(True))
+    return asked.join(held, "event_id", "left").select("event_id", F.coalesce("__found", F.lit(False)).alias("found"), *(c for c in events.columns if c != "event_id"))
+
+
 def all_of(postings: DataFrame, conditions: list[tuple[str, str]]) -> DataFrame:
     """id, seq of ids that are listed under every one of the (index, key) conditions."""
     distinct = list(dict.fromkeys(conditions))
@@ -100,10 +112,11 @@ def index_stats(postings: DataFrame) -> DataFrame:
 
 def event_state_stats(events: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: the number of events and of distinct keys of each event index."""
-    counted = postings.agg(*(F.count_distinct(F.when(F.col("index") == i, F.col("key"))).alias(i + "_keys") for i in EVENT_INDEXES))
+    keys = postings.groupBy("index", "key").agg(F.lit(1).alias("one"))
+    counted = keys.agg(*(F.count_if(F.col("index") == i).alias(i + "_keys") for i in EVENT_INDEXES))
     return events.agg(F.count(F.lit(1)).alias("events")).crossJoin(counted)  # one row each
 
 
 def derived_state_stats(artifacts: DataFrame) -> DataFrame:
     """One row: distinct artifacts of each family."""
-    return artifacts.agg(*(F.count_distinct(F.when(F.col("family") == f, F.col("id"))).alias(f.replace("-", "_") + "_rows") for f in FAMILIES))
+    return artifacts.select("family", "id").distinct().agg(*(F.count_if(F.col("family") == f).alias(f.replace("-", "_") + "_rows") for f in FAMILIES))

@@ -46,6 +46,13 @@ def public_events(raw: DataFrame, policy: PublicIndexPolicy = PublicIndexPolicy(
     return _with_decision(judged.where("d.allowed"), "plain"), judged.where("not d.allowed").select(*raw.columns, F.col("d.reason").alias("reason"))
 
 
+def require_public(raw: DataFrame, policy: PublicIndexPolicy = PublicIndexPolicy()) -> DataFrame:
+    """``raw``; reading a row that a public index may not show raises an error."""
+    d = classify(privacy_level(F.col("payload")), policy)
+    said = F.concat(F.lit("a public index may not show an event: "), d["reason"], F.lit(" "), d["level"])
+    return raw.withColumn("payload", F.when(d["allowed"], F.col("payload")).otherwise(F.raise_error(said)))
+
+
 def hashed_path_events(raw: DataFrame, policy: PublicIndexPolicy) -> DataFrame:
     """All rows with hashed actor and channel paths and the decision in their provenance; private ones are kept."""
     if not policy.salt:

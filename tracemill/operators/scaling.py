@@ -17,8 +17,9 @@ class Thresholds:
 
 def measure_events(events: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: events, keys of four indexes, and entries of all but the event CID index."""
-    keys = [F.count_distinct(F.when(F.col("index") == i, F.col("key"))).alias(f"{i}_keys") for i in ("time", "actor", "channel", "root")]
-    sizes = postings.where("index <> 'event_cid'").agg(*keys, F.count(F.lit(1)).alias("total_index_entries"))
+    keys = [F.count_if(F.col("index") == i).alias(f"{i}_keys") for i in ("time", "actor", "channel", "root")]
+    lengths = postings.where("index <> 'event_cid'").groupBy("index", "key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = lengths.agg(*keys, F.coalesce(F.sum("n"), F.lit(0)).alias("total_index_entries"))
     return events.agg(F.count(F.lit(1)).alias("events")).crossJoin(sizes)  # one row each
 
 

@@ -1,7 +1,7 @@
 """Hour shards: dense local ids, posting tokens, edges and their manifest.
 
-A snapshot is a set of lazy frames over one shard or, with ``shard=None``, over
-all shards at once, partitioned by shard_path. Mining reads these frames and
+A snapshot is a set of frames over one shard or, with ``shard=None``, over all
+shards at once, partitioned by shard_path; its events are written once. Mining reads these frames and
 never payloads.
 """
 
@@ -17,6 +17,7 @@ from tracemill.functions.paths import leaf_key
 from tracemill.operators import artifacts as art
 from tracemill.operators.events import parent_edges
 from tracemill.schemas import EVENT_COLUMNS
+from tracemill.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,23 @@ def affected_shards(events: DataFrame) -> DataFrame:
     return events.select("shard_path").distinct()
 
 
+def with_local_ids(events: DataFrame) -> DataFrame:
+    """Adds local_id: 1, 2, ... by seq in each shard. Rows are dealt by ranges of (shard, seq) and numbered within them, so a shard
+    of any size spreads over tasks; the counts of shards in ranges, a row each, say where a range goes on. Written once."""
+    dealt = events.repartitionByRange("shard_path", "seq").withColumn("__part", F.spark_partition_id())
+    dealt = materialize(dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part", "shard_path").orderBy("seq"))), "shards")
+    sizes = dealt.groupBy("shard_path", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard_path").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select(F.col("shard_path").alias("__shard"), F.col("__part").alias("__range"), before.alias("__before"))
+    joined = dealt.join(begins, F.col("shard_path").eqNullSafe(F.col("__shard")) & (F.col("__part") == F.col("__range")))
+    return materialize(joined.select(*events.columns, (F.col("__before") + F.col("__place")).cast("long").alias("local_id")), "local_ids")
+
+
 def build(events: DataFrame, artifacts: DataFrame | None = None, shard: str | None = None) -> Snapshot:
     """The snapshot of a shard (any time prefix: its events are those with that time key), or of every hour shard."""
     if shard is not None:
         events = events.where(F.array_contains("time_keys", shard)).withColumn("shard_path", F.lit(shard))
-    local = F.row_number().over(Window.partitionBy("shard_path").orderBy("seq"))
-    ev = events.withColumn("local_id", local.cast("long")).withColumn("actor_key", leaf_key(F.col("actor_keys"))).withColumn("channel_key", leaf_key(F.col("channel_keys")))
+    ev = with_local_ids(events).withColumn("actor_key", leaf_key(F.col("actor_keys"))).withColumn("channel_key", leaf_key(F.col("channel_keys")))
     named = F.array(F.concat(F.lit("event.kind:"), "value_kind"), F.concat(F.lit("actor:"), "actor_key"), F.concat(F.lit("channel:"), "channel_key"), F.concat(F.lit("root:"), "root_event_id"))
     tokens = ev.select("shard_path", F.explode(named).alias("token"), "local_id")
     ids = ev.select("event_id", "shard_path", "local_id")
@@ -74,20 +86,31 @@ def events_by_root(snapshot: Snapshot) -> DataFrame:
     return drawn.select("shard_path", "root_event_id", F.transform("e", lambda x: x["event_id"]).alias("event_ids"))
 
 
+#: Columns of the parts of a stored snapshot.
+LAYOUTS = {
+    "events": f"{EVENT_COLUMNS.removesuffix(', shard_path string')}, local_id long, actor_key string, channel_key string, shard_path string",
+    "tokens": "token string, local_id long, shard_path string",
+    "edges": "parent string, child string, seq long, pos int, shard_path string",
+    "claims": "event_id string, occurrence_id string, claim_id string, seq long, shard_path string",
+    "features": "event_id string, occurrence_id string, feature_id string, seq long, shard_path string",
+}
+
+
 def write(snapshot: Snapshot, path: str) -> None:
-    """Events and tokens as Parquet, partitioned by shard, replacing only the shards present."""
-    for name, frame in (("events", snapshot.events), ("tokens", snapshot.tokens), ("edges", snapshot.edges)):
-        frame.repartition("shard_path").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_path").parquet(f"{path}/{name}")
+    """All parts as Parquet, partitioned by shard, replacing only the shards present. A large shard is written by several tasks."""
+    shards = snapshot.events.select("event_id", "shard_path")
+    parts = {"events": snapshot.events, "tokens": snapshot.tokens, "edges": snapshot.edges, "claims": snapshot.claims.join(shards, "event_id"), "features": snapshot.features.join(shards, "event_id")}
+    second = {"events": "local_id", "tokens": "token", "edges": "seq", "claims": "seq", "features": "seq"}
+    for name, frame in parts.items():
+        named = frame.select(*(c.split()[0] for c in LAYOUTS[name].split(", ")))
+        named.repartitionByRange("shard_path", second[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_path").parquet(f"{path}/{name}")
 
 
 def read(spark, path: str, shard: str | None = None) -> Snapshot:
-    """A written snapshot; a shard reads its own partition alone."""
+    """A written snapshot with its claims and features; a shard reads its own partition alone."""
     pick = lambda df: df if shard is None else df.where(F.col("shard_path") == shard)
-    local = f"{EVENT_COLUMNS.removesuffix(', shard_path string')}, local_id long, actor_key string, channel_key string, shard_path string"
-    layouts = {"events": local, "tokens": "token string, local_id long, shard_path string", "edges": "parent string, child string, seq long, pos int, shard_path string"}
-    events, tokens, edges = (pick(spark.read.schema(kind).parquet(f"{path}/{n}")) for n, kind in layouts.items())
-    none = spark.createDataFrame([], "event_id string, occurrence_id string, claim_id string, seq long")
-    return Snapshot(shard, events, tokens, edges, none, none.withColumnRenamed("claim_id", "feature_id"))
+    parts = {n: pick(spark.read.schema(kind).parquet(f"{path}/{n}")) for n, kind in LAYOUTS.items()}
+    return Snapshot(shard, parts["events"], parts["tokens"], parts["edges"], parts["claims"].drop("shard_path"), parts["features"].drop("shard_path"))
 
 
 def components(snapshot: Snapshot) -> dict:

@@ -202,3 +202,15 @@ def belief(flow: Flow, given: dict, run: str, truth: dict, policy: str) -> dict:
 @action
 def history(flow: Flow, claim: str, outputs: list[dict], policy: str) -> dict:
     return flow.recorder.belief_history(claim, outputs, policy)
+
+
+# reports of results
+
+@action
+def report_pattern(flow: Flow, run: dict, pattern: dict, observedAt: str, parents: list[str], agent: list[str], channel: list[str]) -> dict:
+    return flow.recorder.discovery_event(run, pattern, observedAt, parents, agent=agent, channel=channel)
+
+
+@action
+def report_belief(flow: Flow, run: dict, output: dict, observedAt: str, parents: list[str], agent: list[str], channel: list[str]) -> dict:
+    return flow.recorder.reasoning_event(run, output, observedAt, parents, agent=agent, channel=channel)

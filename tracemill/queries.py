@@ -6,8 +6,6 @@ DuckDB SQL for those that SQL can express. Both sides read whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,51 +14,11 @@ from tracemill.operators import artifacts as art
 from tracemill.operators import batches, mining, privacy, reasoning, scaling, snapshots
 from tracemill.operators import events as ev
 from tracemill.operators import postings as px
-from tracemill.scratch import scratch_path
+from tracemill.registry import LOCAL, MONTH, MONTH_TOKENS, ORACLE_SQL, QUERIES, TOKENS, D, E, P, query
+from tracemill.scratch import materialize, scratch_path
 from tracemill.sources import objects, pointer_log, tables
 from tracemill.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-#: The events table as index rows, in SQL.
-E = """e AS (
-    SELECT event_id AS seq, 'event:' || event_id AS event_id, ts, 'cidv0-local-sha256:' || sha256('event:' || event_id) AS event_cid,
-        'cidv0-local-sha256:' || sha256(props) AS payload_cid, '/app/user/' || user_id AS actor_key, '/app/events/' || event_type AS channel_key,
-        event_type AS kind, strftime(ts, '/%Y/%m/%d/%H') AS shard_path, strftime(ts, '%Y-%m-%d') AS day,
-        'event:' || first_value(event_id) OVER t AS root, 'event:' || lag(event_id) OVER t AS parent
-    FROM events WINDOW t AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id))"""
-LOCAL = E + ", s AS (SELECT *, row_number() OVER (PARTITION BY shard_path ORDER BY seq) AS local_id FROM e)"
-TOKENS = LOCAL + """, k AS (
-    SELECT shard_path, local_id, unnest(['event.kind:' || kind, 'actor:' || actor_key, 'channel:' || channel_key, 'root:' || root]) AS token FROM s)"""
-#: Postings of the eight event indexes, in SQL.
-P = E + """, p AS (
-    SELECT unnest(['time','time','time','time','actor','actor','actor','channel','channel','channel','kind','parent','root','payload','event_cid']) AS index,
-        unnest([shard_path[1:5], shard_path[1:8], shard_path[1:11], shard_path, '/app', '/app/user', actor_key, '/app', '/app/events', channel_key, kind, parent, root, payload_cid, event_cid]) AS key,
-        event_id AS id, seq FROM e), q AS (SELECT * FROM p WHERE key IS NOT NULL)"""
-#: Labelled documents as derived artifacts, in SQL.
-D = """d AS (
-    SELECT doc_id AS seq, 'doc:' || doc_id AS event_id, lang, source, quality, toxic, 'run:' || sha256(lang) AS run_id,
-        '{"source":"' || source || '"}' AS subject, '{"quality":' || quality || '}' AS object, CASE WHEN toxic = 1 THEN 'denied' ELSE 'asserted' END AS polarity
-    FROM documents JOIN labels USING (doc_id)), c AS (
-    SELECT *, 'claim:' || sha256('{"kind":"claim","object":' || object || ',"predicate":{"name":"quality"},"schema":"claim-core-v0.1","subject":' || subject || '}') AS claim_id FROM d), o AS (
-    SELECT *, 'claim-occ:' || sha256(claim_id || '|' || event_id || '|' || run_id || '|' || polarity) AS occurrence_id,
-        'feature:' || sha256('topic|' || lang) AS feature_id FROM c), f AS (
-    SELECT *, 'feature-occ:' || sha256(feature_id || '|' || event_id) AS feature_occurrence_id FROM o)"""
-
-
 def joined(ids: str = "ids") -> F.Column:
     return F.array_join(ids, ",").alias("ids")
 
@@ -69,8 +27,8 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.event_postings(tables.events(spark, sf_dir))
 
 
-def _lists(postings: DataFrame, *indexes: str) -> DataFrame:
-    return px.ordered_lists(postings.where(F.col("index").isin(*indexes))).select("index", "key", "n", joined())
+def _lists(spark: SparkSession, sf_dir: str, *indexes: str) -> DataFrame:
+    return px.ordered_lists(px.event_postings(tables.events(spark, sf_dir), indexes)).select("index", "key", "n", joined())
 
 
 def lists_sql(with_: str, rows: str, *indexes: str) -> str:
@@ -110,27 +68,27 @@ def hashed_paths(spark, sf_dir):
 
 @query(lists_sql(P, "q", "actor", "channel"))
 def path_prefix_postings(spark, sf_dir):
-    return _lists(_postings(spark, sf_dir), "actor", "channel")
+    return _lists(spark, sf_dir, "actor", "channel")
 
 
 @query(lists_sql(P, "q", "time"))
 def time_prefix_postings(spark, sf_dir):
-    return _lists(_postings(spark, sf_dir), "time")
+    return _lists(spark, sf_dir, "time")
 
 
 @query(lists_sql(P, "q", "kind", "payload"))
 def kind_and_payload_index(spark, sf_dir):
-    return _lists(_postings(spark, sf_dir), "kind", "payload")
+    return _lists(spark, sf_dir, "kind", "payload")
 
 
 @query(lists_sql(P, "q", "parent"))
 def parent_children(spark, sf_dir):
-    return _lists(_postings(spark, sf_dir), "parent")
+    return _lists(spark, sf_dir, "parent")
 
 
 @query(lists_sql(P, "q", "root"))
 def root_traces(spark, sf_dir):
-    return _lists(_postings(spark, sf_dir), "root")
+    return _lists(spark, sf_dir, "root")
 
 
 @query(f"WITH {P} SELECT id, seq FROM q WHERE index = 'event_cid' AND key = 'cidv0-local-sha256:' || sha256('event:17')")
@@ -232,7 +190,15 @@ def affected_shards(spark, sf_dir):
 
 # miners
 
-ITEMS = ["event.kind:click", "channel:/app/events/click", "event.kind:click"]
+#: Two tokens that neither implies the other, one of them twice.
+ITEMS = ["event.kind:click", "actor:/app/user/7", "event.kind:click"]
+HITS_SQL = MONTH_TOKENS + """, h AS (SELECT shard_path, local_id FROM k WHERE token IN ('event.kind:click', 'actor:/app/user/7') GROUP BY ALL HAVING count(DISTINCT token) = 2), hit AS (SELECT s.* FROM s JOIN h USING (shard_path, local_id))"""
+
+
+def _month(spark: SparkSession, sf_dir: str) -> snapshots.Snapshot:
+    return snapshots.build(tables.events(spark, sf_dir), shard="/2024/01")
+
+
 VECTOR_SQL = "count(DISTINCT event_id) AS event_support, count(DISTINCT actor_key) AS actor_support, count(DISTINCT channel_key) AS channel_support, count(DISTINCT day) AS day_support, CAST(1 AS BIGINT) AS source_support, CAST(0 AS BIGINT) AS extractor_run_support"
 SEQUENCE_SQL = LOCAL + """, v AS (SELECT shard_path, root, min(local_id) AS a FROM s WHERE kind = 'view' GROUP BY ALL), w AS (
     SELECT v.shard_path, v.root, a, min(local_id) AS b FROM v JOIN s ON s.shard_path = v.shard_path AND s.root = v.root AND kind = 'click' AND local_id > a GROUP BY ALL), m AS (
@@ -240,24 +206,24 @@ SEQUENCE_SQL = LOCAL + """, v AS (SELECT shard_path, root, min(local_id) AS a FR
 EDGES_SQL = LOCAL + """, m AS (SELECT c.shard_path, p.root, p.event_id AS parent, c.event_id AS child FROM s c JOIN s p ON c.parent = p.event_id AND c.shard_path = p.shard_path WHERE p.kind = 'view' AND c.kind = 'click')"""
 
 
-@query(f"WITH {LOCAL} SELECT shard_path, local_id, event_id FROM s WHERE kind = 'click'")
+@query(f"WITH {HITS_SQL} SELECT shard_path, local_id, event_id FROM hit")
 def token_intersection(spark, sf_dir):
-    return mining.support_for_tokens(snapshots.build(tables.events(spark, sf_dir)), ITEMS).select("shard_path", "local_id", "event_id")
+    return mining.support_for_tokens(_month(spark, sf_dir), ITEMS).select("shard_path", "local_id", "event_id")
 
 
-@query(f"WITH {LOCAL} SELECT shard_path, count(*) AS n FROM s WHERE kind = 'click' GROUP BY shard_path")
+@query(f"WITH {HITS_SQL} SELECT shard_path, count(*) AS n FROM hit GROUP BY shard_path")
 def token_intersection_bitmaps(spark, sf_dir):
-    return mining.support_bitmaps(snapshots.build(tables.events(spark, sf_dir)), ITEMS)
+    return mining.support_bitmaps(_month(spark, sf_dir), ITEMS)
 
 
-@query(f"WITH {LOCAL} SELECT shard_path, {VECTOR_SQL}, count(*) AS itemset_support, count(*) AS occurrence_support, count(DISTINCT root) AS root_trace_support FROM s WHERE kind = 'click' GROUP BY shard_path HAVING count(*) >= 3")
+@query(f"WITH {HITS_SQL} SELECT shard_path, {VECTOR_SQL}, count(*) AS itemset_support, count(*) AS occurrence_support, count(DISTINCT root) AS root_trace_support FROM hit GROUP BY shard_path HAVING count(*) >= 3")
 def itemset_support(spark, sf_dir):
-    return mining.mine_itemset(snapshots.build(tables.events(spark, sf_dir)), ITEMS, min_support=3).support
+    return mining.mine_itemset(_month(spark, sf_dir), ITEMS, min_support=3).support
 
 
-@query(f"WITH {LOCAL}, g AS (SELECT shard_path, root AS root_event_id, string_agg(event_id, ',' ORDER BY local_id) AS ids FROM s WHERE kind = 'click' GROUP BY ALL) SELECT * FROM g WHERE shard_path IN (SELECT shard_path FROM s WHERE kind = 'click' GROUP BY shard_path HAVING count(*) >= 3)")
+@query(f"WITH {HITS_SQL} SELECT shard_path, root AS root_event_id, string_agg(event_id, ',' ORDER BY local_id) AS ids FROM hit GROUP BY ALL")
 def itemset_occurrences(spark, sf_dir):
-    return mining.mine_itemset(snapshots.build(tables.events(spark, sf_dir)), ITEMS, min_support=3).occurrences.select("shard_path", "root_event_id", F.array_join("event_ids", ",").alias("ids"))
+    return mining.mine_itemset(_month(spark, sf_dir), ITEMS, min_support=3).occurrences.select("shard_path", "root_event_id", F.array_join("event_ids", ",").alias("ids"))
 
 
 @query(f"WITH {SEQUENCE_SQL} SELECT shard_path, root AS root_event_id, first_id || ',' || second_id AS ids FROM m")
@@ -287,23 +253,23 @@ def pattern_occurrence_ids(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases under a channel prefix, by hour: their support vectors from the postings alone."""
+    """Purchases of one day, by hour: their support vectors from the postings alone."""
     events = tables.events(spark, sf_dir)
-    hits = px.all_of(px.event_postings(events), [("kind", "purchase"), ("channel", "/app/events")]).select(F.col("id").alias("event_id"))
+    hits = px.all_of(px.event_postings(events, ("kind", "time")), [("kind", "purchase"), ("time", "/2024/01/05")]).select(F.col("id").alias("event_id"))
     rows = events.join(hits, "event_id", "left_semi").withColumn("actor_key", paths.leaf_key(F.col("actor_keys"))).withColumn("channel_key", paths.leaf_key(F.col("channel_keys")))
     return rows.groupBy("shard_path").agg(*mining.support_vector())
 
 
-@query(f"WITH {E} SELECT shard_path, {VECTOR_SQL} FROM e WHERE kind = 'purchase' GROUP BY shard_path")
+@query(f"WITH {E} SELECT shard_path, {VECTOR_SQL} FROM e WHERE kind = 'purchase' AND starts_with(shard_path, '/2024/01/05') GROUP BY shard_path")
 def purchases_by_hour(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@query(f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT root FROM e) SELECT 'pattern:motif' AS pattern_id, count(*) AS occurrences, count(DISTINCT m.root) AS roots FROM m WHERE m.root IN (SELECT root FROM a)""")
-def patterns_touching_actor(spark, sf_dir):
+@query(f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT root FROM e WHERE channel_key = '/app/events/purchase') SELECT 'pattern:motif' AS pattern_id, count(*) AS occurrences, count(DISTINCT m.root) AS roots FROM m WHERE m.root IN (SELECT root FROM a) HAVING count(*) > 0""")
+def patterns_touching_channel(spark, sf_dir):
     """Prefix key to events, to their root traces, to pattern occurrences, to patterns."""
     events = tables.events(spark, sf_dir)
-    found = px.lookup(px.event_postings(events), "actor", "/app/user").select(F.col("id").alias("event_id"))
+    found = px.lookup(px.event_postings(events, ("channel",)), "channel", "/app/events/purchase").select(F.col("id").alias("event_id"))
     roots = events.join(found, "event_id", "left_semi").select("root_event_id").distinct()
     occurrences = mining.mine_parent_child_motif(snapshots.build(events), "view", "click").occurrences.withColumn("pattern_id", F.lit("pattern:motif"))
     return occurrences.join(roots, "root_event_id", "left_semi").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("root_event_id").alias("roots"))
@@ -312,13 +278,13 @@ def patterns_touching_actor(spark, sf_dir):
 # derived artifacts
 
 DERIVED_SQL = D + """, a AS (
-    SELECT 'runs_by_input_event' AS index, event_id AS key, run_id AS id FROM f UNION SELECT 'runs_by_extractor', 'extractor/' || lang, run_id FROM f
-    UNION SELECT 'outputs_by_run', run_id, occurrence_id FROM f UNION SELECT 'outputs_by_run', run_id, feature_occurrence_id FROM f
-    UNION SELECT 'runs_by_output_artifact', occurrence_id, run_id FROM f UNION SELECT 'runs_by_output_artifact', feature_occurrence_id, run_id FROM f
-    UNION SELECT 'claims_by_subject', 'subject:' || sha256(subject), claim_id FROM f UNION SELECT 'claims_by_predicate', 'predicate:' || sha256('{"name":"quality"}'), claim_id FROM f
-    UNION SELECT 'claims_by_object', 'object:' || sha256(object), claim_id FROM f UNION SELECT 'occurrences_by_claim', claim_id, occurrence_id FROM f
-    UNION SELECT 'claim_occurrences_by_event', event_id, occurrence_id FROM f UNION SELECT 'features_by_type', 'topic', feature_id FROM f
-    UNION SELECT 'occurrences_by_feature', feature_id, feature_occurrence_id FROM f UNION SELECT 'feature_occurrences_by_event', event_id, feature_occurrence_id FROM f)"""
+    SELECT 'runs_by_input_event' AS index, event_id AS key, run_id AS id, seq FROM f UNION ALL SELECT 'runs_by_extractor', 'extractor/' || lang, run_id, seq FROM f
+    UNION ALL SELECT 'outputs_by_run', run_id, occurrence_id, seq FROM f UNION ALL SELECT 'outputs_by_run', run_id, feature_occurrence_id, seq FROM f
+    UNION ALL SELECT 'runs_by_output_artifact', occurrence_id, run_id, seq FROM f UNION ALL SELECT 'runs_by_output_artifact', feature_occurrence_id, run_id, seq FROM f
+    UNION ALL SELECT 'claims_by_subject', 'subject:' || sha256(subject), claim_id, seq FROM f UNION ALL SELECT 'claims_by_predicate', 'predicate:' || sha256('{"name":"quality"}'), claim_id, seq FROM f
+    UNION ALL SELECT 'claims_by_object', 'object:' || sha256(object), claim_id, seq FROM f UNION ALL SELECT 'occurrences_by_claim', claim_id, occurrence_id, seq FROM f
+    UNION ALL SELECT 'claim_occurrences_by_event', event_id, occurrence_id, seq FROM f UNION ALL SELECT 'features_by_type', 'topic', feature_id, seq FROM f
+    UNION ALL SELECT 'occurrences_by_feature', feature_id, feature_occurrence_id, seq FROM f UNION ALL SELECT 'feature_occurrences_by_event', event_id, feature_occurrence_id, seq FROM f)"""
 FIRST_RUNS = "(SELECT run_id, min(seq) AS seq FROM f GROUP BY run_id)"
 
 
@@ -326,13 +292,13 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.derived_postings(art.first_writes(tables.artifacts(spark, sf_dir)))
 
 
-@query(f"WITH {DERIVED_SQL}, b AS (SELECT * FROM a WHERE NOT (index = 'runs_by_input_event' AND (key, id) NOT IN (SELECT 'doc:' || seq, run_id FROM {FIRST_RUNS}))) SELECT index, key, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM b GROUP BY index, key")
+@query(f"WITH {DERIVED_SQL}, b AS (SELECT index, key, id, min(seq) AS seq FROM a WHERE NOT (index = 'runs_by_input_event' AND (key, id) NOT IN (SELECT 'doc:' || seq, run_id FROM {FIRST_RUNS})) GROUP BY ALL) SELECT index, key, count(*) AS n, string_agg(id, ',' ORDER BY seq, id) AS ids FROM b GROUP BY index, key")
 def derived_indexes(spark, sf_dir):
-    """All reverse indexes of first-written artifacts; lists shown by id."""
-    return px.ordered_lists(_derived(spark, sf_dir)).select("index", "key", "n", F.array_join(F.array_sort("ids"), ",").alias("ids"))
+    """All reverse indexes of first-written artifacts, their lists in the order written."""
+    return px.ordered_lists(_derived(spark, sf_dir)).select("index", "key", "n", joined())
 
 
-@query(f"WITH {DERIVED_SQL}, b AS (SELECT * FROM a WHERE NOT (index = 'runs_by_input_event' AND (key, id) NOT IN (SELECT 'doc:' || seq, run_id FROM {FIRST_RUNS}))), g AS (SELECT index, key, count(*) AS n FROM b GROUP BY index, key) SELECT index, count(*) AS keys, CAST(sum(n) AS BIGINT) AS entries, max(n) AS longest FROM g GROUP BY index")
+@query(f"WITH {DERIVED_SQL}, b AS (SELECT * FROM a WHERE NOT (index = 'runs_by_input_event' AND (key, id) NOT IN (SELECT 'doc:' || seq, run_id FROM {FIRST_RUNS}))), g AS (SELECT index, key, count(DISTINCT id) AS n FROM b GROUP BY index, key) SELECT index, count(*) AS keys, CAST(sum(n) AS BIGINT) AS entries, max(n) AS longest FROM g GROUP BY index")
 def derived_index_sizes(spark, sf_dir):
     return px.index_stats(_derived(spark, sf_dir))
 
@@ -411,11 +377,55 @@ def batch_manifests(spark, sf_dir):
     return batches.anchors(rows, "test", "log").select("batch_id", "event_count", "event_manifest_cid", "first_event_id", "last_event_id")
 
 
-@query()
+POINTER_SQL = E + """, x AS (SELECT seq, event_id, event_cid, payload_cid, kind, root, parent, shard_path, ts, '/app/user/' || split_part(actor_key, '/', 4) AS actor_key, channel_key, split_part(actor_key, '/', 4) AS u, (row_number() OVER (ORDER BY seq) - 1) // 250 AS batch FROM e), d AS (
+    SELECT *, '{"actorPath":["app","user","' || u || '"],"actorPrefixKeys":["/app","/app/user","' || actor_key || '"],"channelPath":["app","events","' || kind || '"],"channelPrefixKeys":["/app","/app/events","' || channel_key || '"],"eventCid":"' || event_cid || '","eventId":"' || event_id
+        || '","inputEventIds":[],"kind":"event-pointer","outputArtifactIds":[],"parentEventIds":[' || coalesce('"' || parent || '"', '') || '],"payloadCid":"' || payload_cid || '","rootEventId":"' || root || '","schema":"event-pointer-v0.1","timePath":[' || year(ts) || ',' || month(ts) || ',' || day(ts) || ',' || hour(ts)
+        || '],"timePrefixKeys":["' || shard_path[1:5] || '","' || shard_path[1:8] || '","' || shard_path[1:11] || '","' || shard_path || '"],"valueKind":"' || kind || '"}' AS pointer, 'batch:test:' || lpad(CAST(batch AS VARCHAR), 4, '0') AS batch_id FROM x)"""
+ANCHOR_SQL = "RECURSIVE " + POINTER_SQL + """, tree(batch, hashes) AS (
+    SELECT batch, list(sha256(pointer) ORDER BY seq) FROM d GROUP BY batch
+    UNION ALL
+    SELECT batch, list_transform(range(1, len(hashes) + 1, 2), lambda i: sha256(unhex(hashes[i]) || unhex(hashes[least(i + 1, len(hashes))]))) FROM tree WHERE len(hashes) > 1
+), merkle AS (SELECT batch, hashes[1] AS root FROM tree WHERE len(hashes) = 1
+), p AS (
+    SELECT batch, seq, event_id, unnest(['time','time','time','time','actor','actor','actor','channel','channel','channel','kind','parent','root']) AS index,
+        unnest([shard_path[1:5], shard_path[1:8], shard_path[1:11], shard_path, '/app', '/app/user', actor_key, '/app', '/app/events', channel_key, kind, parent, root]) AS key FROM d
+), lists AS (SELECT batch, index, key, '"' || key || '":[' || string_agg('"' || event_id || '"', ',' ORDER BY seq) || ']' AS entry FROM p WHERE key IS NOT NULL GROUP BY batch, index, key
+), names AS (SELECT DISTINCT batch, unnest(['actor','channel','kind','parent','root','time']) AS index FROM d
+), indexes AS (SELECT n.batch, string_agg(part, ',' ORDER BY n.index) AS postings FROM (SELECT n.batch, n.index, '"' || n.index || '":{' || coalesce(string_agg(entry, ',' ORDER BY key), '') || '}' AS part FROM names n LEFT JOIN lists l ON l.batch = n.batch AND l.index = n.index GROUP BY n.batch, n.index) n GROUP BY n.batch
+), g AS (SELECT batch, batch_id, count(*) AS event_count, min(shard_path) AS lo, max(shard_path) AS hi, string_agg(event_cid, '","' ORDER BY seq) AS cids, string_agg(event_id, '","' ORDER BY seq) AS ids, min_by(event_id, seq) AS first_event_id, max_by(event_id, seq) AS last_event_id, min(ts) AS t0, max(ts) AS t1 FROM d GROUP BY ALL
+), anchor AS (
+    SELECT g.batch, batch_id, event_count, 'cidv0-local-sha256:' || sha256('{"batchId":"' || batch_id || '","eventCids":["' || cids || '"],"eventIds":["' || ids || '"],"schema":"percept-event-pointer-batch-manifest-v0.1","sourcePointerLogSha256":"log"}') AS event_manifest_cid,
+        'cidv0-local-sha256:' || sha256('{"batchId":"' || batch_id || '","postings":{' || postings || '},"schema":"percept-event-postings-manifest-v0.1","sourcePointerLogSha256":"log"}') AS postings_manifest_cid,
+        'sha256-merkle:' || root AS merkle_root, first_event_id, last_event_id,
+        CASE WHEN lo = hi THEN lo WHEN lo[1:11] = hi[1:11] THEN lo[1:11] WHEN lo[1:8] = hi[1:8] THEN lo[1:8] WHEN lo[1:5] = hi[1:5] THEN lo[1:5] ELSE '/stored-events' END AS shard_path,
+        strftime(date_trunc('hour', t0), '%Y-%m-%dT%H:%M:%SZ') AS min_observed_at, strftime(t1, '%Y-%m-%dT%H:59:59Z') AS max_observed_at
+    FROM g JOIN merkle USING (batch) JOIN indexes USING (batch))"""
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.anchors(batches.split(batches.pointer_documents(tables.events(spark, sf_dir)), 250), "test", "log")
+
+
+@query(f"WITH {ANCHOR_SQL} SELECT * FROM anchor")
 def batch_anchors(spark, sf_dir):
-    """Whole anchors with Merkle roots and postings manifests; tests hold them against plain Python."""
-    rows = batches.split(batches.pointer_documents(tables.events(spark, sf_dir)), 250)
-    return batches.anchors(rows, "test", "log")
+    """Whole anchors with Merkle roots and both manifests."""
+    return _anchors(spark, sf_dir)
+
+
+@query(f"WITH {ANCHOR_SQL} SELECT unnest(['batch_id', 'shard_path', 'event_manifest_cid', 'postings_manifest_cid', 'merkle_root']) AS index, unnest([batch_id, shard_path, event_manifest_cid, postings_manifest_cid, merkle_root]) AS key, batch_id FROM anchor")
+def batch_lookups(spark, sf_dir):
+    """Every anchor under each of its five indexes."""
+    held = materialize(_anchors(spark, sf_dir), "anchors")
+    out = None
+    for by in batches.ANCHOR_INDEXES:
+        part = batches.anchors_by(held, by)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {E} SELECT count(DISTINCT root) AS root_event_count FROM e")
+def root_event_count(spark, sf_dir):
+    return batches.root_event_count(tables.events(spark, sf_dir))
 
 
 TOP_SQL = ", ".join(f"{n} AS (SELECT '{n}' AS what, {c} AS value, count(*) AS n, min(seq) AS first_seq FROM e GROUP BY {c} ORDER BY n DESC, first_seq LIMIT 20)" for n, c in (("kind", "kind"), ("session", "'events'"), ("hour", "shard_path"), ("actor", "actor_key")))
@@ -477,10 +487,22 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.irc_events(rows)
 
 
-@query()
+MESSAGE_SQL = r"""m AS (
+    SELECT conv_id * 1000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, CAST(conv_id AS VARCHAR) AS room, role, coalesce(text, '') AS message, turn % 24 AS h, '2024-01-02T' || lpad(CAST(turn % 24 AS VARCHAR), 2, '0') || ':00:00Z' AS iso FROM conversations
+), j AS (SELECT *, CAST(to_json(message) AS VARCHAR) AS quoted, CAST(to_json(message[1:160]) AS VARCHAR) AS short FROM m
+), y AS (SELECT *, 'cidv0-local-sha256:' || sha256('{"kind":"raw-payload","message":' || quoted || ',"nick":"' || role || '","observedAt":"' || iso || '","raw":":' || role || '","room":"#' || room || '","schema":"raw-irc-v0.1","server":"libera","transport":"irc"}') AS payload_cid FROM j
+), z AS (SELECT *, sha256('{"actorPath":["irc","libera","user","' || role || '"],"causal":{"inputEventIds":[],"outputArtifactIds":[],"parentEventIds":[],"rootEventId":null},"channelPath":["irc","libera","channel","#' || room || '"],"kind":"event-trace","provenance":{"ingestionPipeline":"event-trace-v0","observedBy":"' || observer || '","source":"irc"},"schema":"event-trace-v0.1","time":{"day":2,"hour":' || h
+        || ',"iso":"' || iso || '","minute":0,"month":1,"second":0,"year":2024},"value":{"contentType":"application/json","kind":"message","payloadCid":"' || payload_cid || '","preview":' || short || '}}') AS digest FROM y, observers
+), first AS (SELECT digest, min(seq) AS seq FROM z GROUP BY digest)"""
+
+
+@query("WITH observers AS (SELECT '" + ev.UNKNOWN_PROVENANCE["observedBy"] + "' AS observer), " + MESSAGE_SQL + """
+    SELECT z.seq, 'event:' || digest AS event_id, 'cidv0-local-sha256:' || digest AS event_cid, payload_cid, '/irc,/irc/libera,/irc/libera/user,/irc/libera/user/' || role AS actor_keys,
+        '/irc,/irc/libera,/irc/libera/channel,/irc/libera/channel/%23' || room AS channel_keys, 'message' AS value_kind, 'event:' || digest AS root_event_id, '/2024/01/02/' || lpad(CAST(h AS VARCHAR), 2, '0') AS shard_path FROM z JOIN first USING (digest, seq)""")
 def ingested_messages(spark, sf_dir):
-    """Conversation turns as chat messages, ingested: identities, prefix keys, conflicts. Tests hold ids against plain Python."""
-    return ev.accepted(ev.pointers(ev.with_identities(_messages(spark, sf_dir)))).drop("observed_at")
+    """Conversation turns as chat messages, ingested: identities, prefix keys, conflicts."""
+    rows = ev.accepted(ev.pointers(ev.with_identities(_messages(spark, sf_dir))))
+    return rows.select("seq", "event_id", "event_cid", "payload_cid", F.array_join("actor_keys", ",").alias("actor_keys"), F.array_join("channel_keys", ",").alias("channel_keys"), "value_kind", "root_event_id", "shard_path")
 
 
 @query("""SELECT '/2024/01/02/' || lpad(CAST(turn % 24 AS VARCHAR), 2, '0') AS shard_path, count(DISTINCT (conv_id, role, coalesce(text, ''))) AS n FROM conversations GROUP BY shard_path""")
@@ -492,3 +514,6 @@ def streamed_messages(spark, sf_dir):
     stream = spark.readStream.schema(ev.RAW_COLUMNS).option("maxFilesPerTrigger", 1000).parquet(f"{raw}/in")
     ingest.start(stream, table, f"{raw}/checkpoint").awaitTermination()
     return table.frame().groupBy("shard_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+from tracemill import artifact_queries  # noqa: E402, F401  the rest of the list

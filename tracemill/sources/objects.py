@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.identity import CID_PREFIX, canonical_json, cid_column
 from tracemill.schemas import OBJECT_COLUMNS
+from tracemill.scratch import materialize
 
 
 def object_rows(data: DataFrame) -> DataFrame:
@@ -36,6 +37,13 @@ def audit(objects: DataFrame) -> DataFrame:
     return objects.select("cid", *(v.alias(k) for k, v in made.items())).withColumn("ok", F.col("cid_ok") & F.col("digest_ok") & F.col("size_ok"))
 
 
+def lookup(objects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, found, codec, size, digest, data of each distinct CID of a table; an unknown one is not found and has nulls. Bytes are checked as they are read."""
+    asked = wanted.select("cid").distinct()
+    held = verified(objects.join(asked, "cid", "left_semi")).withColumn("__found", F.lit(True))
+    return asked.join(held, "cid", "left").select("cid", F.coalesce("__found", F.lit(False)).alias("found"), "codec", "size", "digest", "data")
+
+
 def verified(objects: DataFrame) -> DataFrame:
     """The objects; reading one whose bytes don't match raises an error."""
     good = F.sha2("data", 256) == F.substr("cid", F.lit(len(CID_PREFIX) + 1))
@@ -92,17 +100,20 @@ class _Store:
 
 
 class MemoryObjects(_Store):
-    """Objects of this session alone."""
+    """Objects of this session alone: appended frames are kept in shared scratch, which goes with the session."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._rows: list[tuple] = []
+        self._parts: list[DataFrame] = []
 
     def frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self._rows, OBJECT_COLUMNS)
+        out = self.spark.createDataFrame([], OBJECT_COLUMNS)
+        for part in self._parts:
+            out = out.unionByName(part)
+        return out
 
     def append(self, rows: DataFrame) -> None:
-        self._rows += [tuple(r) for r in rows.select(*(c.split()[0] for c in OBJECT_COLUMNS.split(", "))).collect()]
+        self._parts.append(materialize(rows.select(*(c.split()[0] for c in OBJECT_COLUMNS.split(", "))), "objects"))
 
 
 class ParquetObjects(_Store):
