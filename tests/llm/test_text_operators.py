@@ -312,6 +312,52 @@ def test_gradients_match_differences():
             assert g[i] == pytest.approx((up - down) / (2 * eps), rel=0.1, abs=0.02)
 
 
+def plain_reading(net, raw):
+    """Probabilities of a whole text read byte by byte in both directions, averaged over its positions."""
+    def states(d, steps):
+        h, out = np.zeros(d.by_state.shape[1]), []
+        for byte in steps:
+            a, g, n = d.by_byte[:, byte], d.by_state @ h, len(h)
+            z, r = (0.5 * (np.tanh(a[k * n : (k + 1) * n] + g[k * n : (k + 1) * n]) + 1) for k in (0, 1))
+            new = np.tanh(a[2 * n :] + r * g[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    ahead, behind = states(net.forward, raw), states(net.backward, raw[::-1])[::-1]
+    logits = np.array([net.to_label @ np.concatenate([f, b]) + net.bias[:, 0] for f, b in zip(ahead, behind)])
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return (p / p.sum(1, keepdims=True)).mean(0)
+
+
+def test_reading_matches_a_plain_one(monkeypatch):
+    rng = np.random.default_rng(7)
+    small = lambda *shape: rng.normal(0, 0.4, shape).astype(np.float32)
+    net = langid.ByteGRU(["a", "b", "c"], langid.Direction(small(12, 256), small(12, 4)), langid.Direction(small(12, 256), small(12, 4)), small(3, 8), small(3, 1))
+    texts = [bytes(rng.integers(32, 255, n).astype(np.uint8)) for n in (0, 1, 30, 31, 200, 64, 65)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = np.array([plain_reading(net, t) if t else np.zeros(3) for t in texts])
+    assert net.documents(data, offsets) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(langid, "SEGMENT", 32)
+    monkeypatch.setattr(langid, "WARM", 200)  # the whole text before and after
+    assert net.documents(data, offsets) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(langid, "WARM", 24)
+    assert net.documents(data, offsets) == pytest.approx(want, abs=0.02)
+
+
+def test_whole_texts_are_learned_within_a_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels, langs: seen.append((windows, labels, langs)))
+    docs = spark.createDataFrame([(i, "ab" * (500 + i), f"l{i % 3}") for i in range(60)] + [(7, "repeat", "l1"), (None, "no id", "l0"), (90, None, "l0"), (91, "x", None)], "doc_id long, text string, lang string")
+    langid.fit(docs, per_lang=8)
+    windows, labels, langs = seen.pop()
+    assert langs == ["l0", "l1", "l2"] and set(labels.tolist()) == {0, 1, 2}
+    assert 3 * 8 * 9 >= len(windows) >= 3 * 4 * 8 and (windows.reshape(-1)[: 2 * 500] > 0).all()
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 6000)
+    langid.fit(docs, per_lang=8)
+    assert 3 * 8 <= len(seen.pop()[0]) <= 7 * 9
+
+
 def test_languages_held_out(spark, odd, none):
     rnd = random.Random(4)
     kinds = {"xx": ["the", "and", "thing"], "yy": ["ñandú", "que", "año"], "zz": ["ß", "über", "und"]}

@@ -1,19 +1,26 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-Training unrolls the network over windows of WINDOW bytes and propagates
-back through time; every position of a window is trained to name its
-document's language. Prediction reads every byte of a text: it is cut into
-windows, each position gets its label probabilities from both directions, and
-a document's probabilities are the mean over all its positions.
+Training unrolls the network over windows of WINDOW bytes, all of those of the
+texts that are learned from, and propagates back through time; every position
+of a window is trained to name its document's language. Prediction reads every
+byte of a text. Texts of up to SEGMENT bytes are read whole in both
+directions. A longer one is cut into segments that are read side by side, each
+with the WARM bytes before and after it, so that the state that enters a
+segment from either end is one carried over from its neighbour's text; only
+the positions of the segment itself are labelled. A document's probabilities
+are the mean over all its positions.
 
 Every language that a row names is learned, however rare. The state and the
 updates grow with the number of languages; up to FEW_LANGS they are HIDDEN and
-UPDATES.
+UPDATES. What is learned from is a bounded sample of labelled rows: at most
+``per_lang`` documents a language, fewer where their whole texts would take
+more than TRAIN_BYTES together.
 
 Nulls: a null text, or one without a letter, is UNDECIDED with score 0; null
 langs teach nothing. With no labelled rows at all everything is UNDECIDED.
-Ties go to the language first in order. Repeated rows are predicted one by
-one; empty tables give no rows; other columns are not read.
+Ties go to the language first in order. Of rows that share an id one teaches.
+Repeated rows are predicted one by one; empty tables give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,19 +30,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import row_chunks, tidied, utf8
-from tracemill.scratch import ship_package
+from tracemill.scratch import discard, materialize, ship_package
 
 UNDECIDED = "und"
-WINDOW = 64
+WINDOW = 128
+#: Bytes of a text that are read in one go, and of its neighbours that are read before on either side.
+SEGMENT, WARM = 512, 64
 HIDDEN = 8
-LANES = 4096
+#: Segments that are read side by side, for up to FEW_LANGS languages.
+LANES = 1024
 UPDATES = 240
 #: Languages up to which the network and its training have their least size.
 FEW_LANGS = 8
+#: Bytes of all texts that are learned from, at most, as long as each language has one.
+TRAIN_BYTES = 64 << 20
 #: Languages whose drawn ids may be broadcast; beyond it the join shuffles.
 BROADCAST_LANGS = 5000
 
@@ -103,34 +115,43 @@ class ByteGRU:
     to_label: np.ndarray  # (K, 2H)
     bias: np.ndarray  # (K, 1)
 
-    def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """(K, T, N): label probabilities at every position of byte windows (N, T)."""
-        steps = np.ascontiguousarray(windows.T)
-        states = np.concatenate([self.forward.run(steps)[0], self.backward.run(steps[::-1])[0][::-1]], 1)
-        logits = np.matmul(self.to_label, states) + self.bias
+    def label_sums(self, steps: np.ndarray, lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(N, K): label probabilities of byte lanes (N, T), summed over each lane's positions from ``begin`` to ``end``.
+
+        Lanes are read from their first byte on and from their last back.
+        """
+        n, span = steps.shape
+        hidden, places = self.forward.by_state.shape[1], np.arange(span)
+        ahead = self.forward.run(np.ascontiguousarray(steps.T))[0]
+        logits = np.matmul(self.to_label[:, :hidden], ahead)
+        turned = np.maximum(lengths[:, None] - 1 - places, 0)
+        behind = self.backward.run(np.ascontiguousarray(np.take_along_axis(steps, turned, 1).T))[0]
+        back = np.matmul(self.to_label[:, hidden:], behind)
+        logits += np.take_along_axis(back, turned.T[:, None, :], 0)
+        logits += self.bias
         logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits.transpose(1, 0, 2)
+        logits *= ((places[:, None] >= begin) & (places[:, None] < end))[:, None, :] / logits.sum(1, keepdims=True)
+        return logits.sum(0, dtype=np.float64).T
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(documents, K): mean probabilities over all bytes of each; zeros for an empty text."""
         sizes = np.diff(offsets)
-        pieces = -(-sizes // WINDOW)
+        pieces = -(-sizes // SEGMENT)
         doc = np.repeat(np.arange(len(sizes)), pieces)
-        begin = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOW
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        stop = np.minimum(start + SEGMENT, sizes[doc])
+        low, high = np.maximum(start - WARM, 0), np.minimum(stop + WARM, sizes[doc])
         total = np.zeros((len(sizes), len(self.langs)))
-        padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-        span = np.arange(WINDOW)
+        padded = np.concatenate([data, np.zeros(SEGMENT + 2 * WARM, np.uint8)])
         lanes = max(64, LANES * FEW_LANGS // max(FEW_LANGS, len(self.langs)))
-        for lo in range(0, len(doc), lanes):
-            d, b = doc[lo : lo + lanes], begin[lo : lo + lanes]
-            left = sizes[d] - b
-            inside = span < left[:, None]
-            windows = padded[(offsets[d] + b)[:, None] + span] * inside
-            p = (self.probabilities(windows) * inside.T).sum(1)
-            for k in range(len(self.langs)):
-                total[:, k] += np.bincount(d, p[k], len(sizes))
+        order = np.argsort(high - low, kind="stable")  # lanes of like lengths together
+        for at in range(0, len(order), lanes):
+            k = order[at : at + lanes]
+            length = (high - low)[k]
+            span = np.arange(int(length[-1]))
+            steps = padded[(offsets[doc[k]] + low[k])[:, None] + span]
+            np.add.at(total, doc[k], self.label_sums(steps, length, (start - low)[k], (stop - low)[k]))
         return total / np.maximum(sizes, 1)[:, None]
 
 
@@ -140,7 +161,7 @@ def network_size(n_langs: int) -> tuple[int, int]:
     return round(HIDDEN * more**0.5), round(UPDATES * more**0.5)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, updates: int | None = None, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteGRU:
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, updates: int | None = None, batch: int = 128, rate: float = 0.02, seed: int = 5) -> ByteGRU:
     """Adam on the mean cross-entropy of all positions; the same windows always give the same network."""
     rng = np.random.default_rng(seed)
     K = len(langs)
@@ -172,45 +193,39 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, updates:
     return net
 
 
-def training_windows(texts: list[str], labels: np.ndarray, each: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``each`` windows spread over every text."""
-    out, of = [], []
-    for text, label in zip(texts, labels.tolist(), strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        n = max(1, -(-len(raw) // WINDOW))
-        for k in sorted({i * n // each for i in range(each)}):
-            w = np.zeros(WINDOW, np.uint8)
-            part = raw[k * WINDOW : (k + 1) * WINDOW]
-            w[: len(part)] = part
-            out.append(w)
-            of.append(label)
-    return np.array(out, np.uint8).reshape(-1, WINDOW), np.array(of, np.int64)
+def training_windows(raw: bytes) -> np.ndarray:
+    """All windows of a text in a row, the last one filled up with zeros."""
+    out = np.zeros(max(1, -(-len(raw) // WINDOW)) * WINDOW, np.uint8)
+    out[: len(raw)] = np.frombuffer(raw, np.uint8)
+    return out.reshape(-1, WINDOW)
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 192) -> ByteGRU | None:
-    """Learn from at most ``per_lang`` documents of each language, picked by hash.
+    """Learn from the whole texts of at most ``per_lang`` documents of each language, picked by hash.
 
     The pick is one document for each hash slot of a language, so it is the
-    same however rows are dealt; only windows of picked texts reach the driver.
+    same however rows are dealt; only picked texts reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & F.col("id").isNotNull())
     langs = sorted(r.lang for r in usable.select("lang").distinct().collect())
     if not langs:
         return None
-    draw = F.xxhash64("id", F.lit(11))
-    picked = usable.groupBy("lang", F.pmod(draw, F.lit(per_lang)).alias("slot")).agg(F.min_by("id", F.struct(draw, "id")).alias("id")).select("id").distinct()
+    draw, size = F.xxhash64("id", F.lit(11)), F.octet_length("text").cast("long")
+    picked = usable.groupBy("lang", F.pmod(draw, F.lit(per_lang)).alias("slot")).agg(F.min_by(F.struct("id", size.alias("size")), F.struct(draw, "id")).alias("p"))
+    picked = materialize(picked.select("lang", "slot", "p.id", "p.size"), "picked")
+    # fewer slots of each language, where all whole texts would be too many
+    slots, held = per_lang, picked.agg(F.sum("size").alias("n")).first().n
+    if held > TRAIN_BYTES:
+        slots = max(1, per_lang * TRAIN_BYTES // held)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))  # at most per_lang rows a language
+    ids = picked.withColumn("rank", rank).where(F.col("rank") <= slots).select("id").distinct()
     number = {lang: k for k, lang in enumerate(langs)}
-    ship_package(docs.sparkSession)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            windows = [training_windows([text], np.zeros(1, np.int64))[0].tobytes() for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.binary())], ["id", "lang", "windows"])
-
-    found = usable.join(F.broadcast(picked) if len(langs) <= BROADCAST_LANGS else picked, "id", "left_semi").select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(tidied(cut), "id string, lang string, windows binary")
-    sample = sorted({r.id: r for r in found.collect()}.values(), key=lambda r: r.id)
-    windows = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample]
+    found = usable.join(F.broadcast(ids) if len(langs) <= BROADCAST_LANGS else ids, "id", "left_semi")
+    one = found.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    sample = sorted(one.select(F.col("id").cast("string").alias("id"), "r.lang", "r.text").collect(), key=lambda r: r.id)
+    discard(picked)
+    windows = [training_windows(r.text.encode()) for r in sample]
     labels = np.repeat([number[r.lang] for r in sample], [len(w) for w in windows])
     return train(np.concatenate(windows), labels, langs)
 
