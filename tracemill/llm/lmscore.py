@@ -1,12 +1,18 @@
 """Language-model scoring by a weighted backoff automaton over smoothed n-grams.
 
-Counts are global and live nowhere as a whole. Documents are dealt into blocks;
-a block sends the distinct n-grams of its texts with its own training counts,
-once each, to buckets of the hash range. A bucket sums them over all blocks
-and answers every block for the n-grams that it sent. From the answers a block
-builds the part of the automaton that its texts can reach and walks it. What
-is shuffled is linear in the corpus, a frequent n-gram costs one entry for
-each block, and no task holds more than a block or a bucket.
+Counts are global and live nowhere as a whole. Documents are dealt into blocks,
+which are stored once, a compressed row each. A block sends the distinct
+n-grams of its texts with its own training counts, once each, to buckets of the
+hash range. A bucket sums them over all blocks and answers every block for the
+n-grams that it sent. From the answers a block builds the part of the automaton
+that its texts can reach and walks it.
+
+What is shuffled is linear in the corpus. An n-gram that all blocks hold costs
+an entry for each block, but no task sees them all: more than FAN blocks are
+summed in groups of FAN, the groups' sums in groups again, and answers come
+back the same way, so a task holds at most a bucket of FAN senders. Orders are
+asked for in rounds, so that the n-grams of all orders are never on disk at
+once.
 
 Model: p(w | h) = (1 - b) c(hw) / c(h) + b p(w | shorter h), down to
 p(w) = (c(w) + 1) / (N + V + 1). The share b that a context h leaves to backing
@@ -16,24 +22,28 @@ one unknown word, sum to 1. States are contexts; a seen n-gram is an arc with
 its probability; a context's failure arc costs b and leads to its suffix.
 
 Nulls: a null text is empty and scores its end token; a null doc_id is in
-training. Repeated rows count and are scored as often as they occur. Empty
-tables give no rows; other columns are ignored.
+training. Repeated rows count and are scored as often as they occur; they are
+dealt like others. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.textarrays import hashed_words, mix, row_chunks, utf8
+from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
 from tracemill.scratch import materialize, ship_package
 
-ORDER = 2
+ORDER = 3
 GROWTH = 0.85
 #: Bytes of text in a block, and of text whose n-grams fill a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
+#: Senders that a task sums at most.
+FAN = 256
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -61,7 +71,8 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class Grams:
     """The distinct n-grams of a block's rows, for each length up to ``order``, and where they end."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, least: int = 0):
+        """``least``: the first order, from 0, whose tables are made."""
         data, offsets = utf8(table.column("text"))
         self.tokens, self.first = sequences(data, offsets)
         self.order = order
@@ -74,6 +85,10 @@ class Grams:
         for k in range(1, order + 1):
             # the k-gram that ends here: the one of k - 1 before it, and this token
             h = self.tokens if k == 1 else np.concatenate([h[:1], mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) + self.tokens[1:]])
+            if k <= least:
+                for held in (self.keys, self.at, self.index, self.own):
+                    held.append(np.zeros(0, np.int64))
+                continue
             ends = np.flatnonzero(place >= k - 1)
             keys, at, inverse = np.unique(mix(h[ends]), return_index=True, return_inverse=True)
             index = np.zeros(total, np.int32)
@@ -93,48 +108,108 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of sorted keys begins, and the count at the end."""
-    edges = np.array([((b << 64) // buckets) for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def store_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """block, packed: the rows (doc_id, held_out, text) in ``blocks`` blocks, a compressed row each. Rows are dealt by hash and place, so equal rows spread."""
+    draw = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
 
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.select(PACKED.names).cast(PACKED))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def count_requests(dealt: DataFrame, buckets: int, order: int = ORDER) -> DataFrame:
-    """bucket, block, keys, counts: each block's distinct n-grams, once each."""
+    return rows.withColumn("block", F.pmod(draw, F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, packed binary")
+
+
+PACKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.large_string())])
+
+
+def unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+REQUEST = "source long, gram int, bucket long, keys binary, counts binary"
+
+
+def _request_rows(source: int, gram: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first: int = 0, last: int | None = None) -> list[tuple]:
+    """A row for each bucket, of those from ``first`` to ``last`` of the hash range, that holds some of these sorted keys."""
+    last = buckets if last is None else last
+    edges = np.array([(b << 64) // buckets for b in range(first + 1, last)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    return [(source, gram, first + int(b), planes(np.diff(keys[cut[b] : cut[b + 1]], prepend=np.uint64(0))), planes(counts[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def _as_table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def block_requests(blocks: DataFrame, buckets: int, grams: tuple[int, ...]) -> DataFrame:
+    """REQUEST rows of each block's distinct n-grams of these orders, once each, with its own training counts."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = Grams(unpacked(raw.as_buffer()), max(grams) + 1, least=min(grams))
+                for k in grams:
+                    yield _as_table(_request_rows(block, k, held.keys[k], held.own[k], buckets), REQUEST)
+
+    return blocks.mapInArrow(tidied(gather), REQUEST)
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        grams, rows = Grams(table, order), []
-        for k in range(order):
-            cut = bucket_of(grams.keys[k], buckets).tolist()
-            for b in range(buckets):
-                if cut[b + 1] > cut[b]:
-                    keys = grams.keys[k][cut[b] : cut[b + 1]]
-                    rows.append((k * buckets + b, planes(np.diff(keys, prepend=np.uint64(0))), planes(grams.own[k][cut[b] : cut[b + 1]])))
-        names, kinds = ("bucket", "keys", "counts"), (pa.int64(), pa.binary(), pa.binary())
-        out = pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
-        return out.append_column("block", pa.array([key[0].as_py()] * len(rows), pa.int64()))
-
-    return dealt.groupBy("block").applyInArrow(gather, "bucket long, keys binary, counts binary, block long")
-
-
-def count_answers(requests: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, counts: global counts for every request; and a row a bucket (block -1) with distinct, total of training unigrams."""
-
-    def add_up(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        parts = [np.cumsum(unplanes(raw.as_py()), dtype=np.uint64) for raw in table.column("keys")]
-        own = np.concatenate([unplanes(raw.as_py()) for raw in table.column("counts")])
-        keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, own, len(keys)).astype(np.int64)
-        cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
-        answers = [planes(total[inverse[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        # START is a context and no token
-        real = keys != mix(np.array([START]))[0] if bucket < buckets else np.zeros(len(keys), bool)
-        blocks = [*table.column("block").to_pylist(), -1]
-        n = len(answers)
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int64()), "counts": pa.array([*answers, None], pa.binary()), "distinct": pa.array([None] * n + [int((total[real] > 0).sum())], pa.int64()), "total": pa.array([None] * n + [int(total[real].sum())], pa.int64())})
-
-    return requests.groupBy("bucket").applyInArrow(add_up, "block long, bucket long, counts binary, distinct long, total long")
+
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(each row's number of keys, distinct keys, their sums, where each row's keys are among them)."""
+    parts = [np.cumsum(unplanes(raw.as_buffer()), dtype=np.uint64) for raw in table.column("keys")]
+    own = np.concatenate([unplanes(raw.as_buffer()) for raw in table.column("counts")])
+    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    return [len(p) for p in parts], keys, np.bincount(inverse, own, len(keys)).astype(np.int64), inverse
+
+
+ANSWER = "source long, gram int, bucket long, counts binary, distinct long, total long"
+
+
+def _answers(table: pa.Table, sizes: list[int], totals: np.ndarray, inverse: np.ndarray) -> list[tuple]:
+    cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    ids = zip(table.column("source").to_pylist(), table.column("gram").to_pylist(), table.column("bucket").to_pylist(), strict=True)
+    return [(*i, planes(totals[inverse[a:b]]), None, None) for i, a, b in zip(ids, cut[:-1], cut[1:], strict=True)]
+
+
+def global_counts(requests: DataFrame, sources: int, buckets: int) -> DataFrame:
+    """ANSWER rows: global counts for every request; and a row a bucket (source -1) with distinct and total of training n-grams."""
+    if sources <= FAN:
+
+        def add_up(key: tuple, table: pa.Table) -> pa.Table:
+            sizes, keys, totals, inverse = _merged(table)
+            gram, bucket = key[0].as_py(), key[1].as_py()
+            # START is a context and no token
+            real = keys != mix(np.array([START]))[0] if gram == 0 else np.ones(len(keys), bool)
+            stats = (-1, gram, bucket, None, int((totals[real] > 0).sum()), int(totals[real].sum()))
+            return pa.Table.from_batches([_as_table([*_answers(table, sizes, totals, inverse), stats], ANSWER)])
+
+        return requests.groupBy("gram", "bucket").applyInArrow(add_up, ANSWER)
+
+    fan, finer = FAN, buckets * FAN
+    held = materialize(requests, "requests").withColumn("parent", F.floor(F.col("source") / fan))
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        parent, gram, bucket = (k.as_py() for k in key)
+        _, keys, totals, _ = _merged(table)
+        return pa.Table.from_batches([_as_table(_request_rows(parent, gram, keys, totals, finer, bucket * fan, (bucket + 1) * fan), REQUEST)])
+
+    def hand_down(asked: pa.Table, got: pa.Table) -> pa.Table:
+        sizes, keys, _, inverse = _merged(asked)
+        parts = sorted(zip(got.column("bucket").to_pylist(), got.column("counts"), strict=True), key=lambda x: x[0])
+        totals = np.concatenate([unplanes(raw.as_buffer()) for _, raw in parts]).astype(np.int64)
+        if len(totals) != len(keys):
+            raise RuntimeError("a group's n-grams differ from those that it asked for")
+        return pa.Table.from_batches([_as_table(_answers(asked, sizes, totals, inverse), ANSWER)])
+
+    upper = materialize(global_counts(held.groupBy("parent", "gram", "bucket").applyInArrow(merge, REQUEST), -(-sources // fan), finer), "upper")
+    own = upper.where("source >= 0").select(F.col("source").alias("parent"), "gram", F.col("bucket"), F.floor(F.col("bucket") / fan).alias("coarse"), "counts")
+    answers = held.groupBy("parent", "gram", "bucket").cogroup(own.groupBy("parent", "gram", "coarse")).applyInArrow(hand_down, ANSWER)
+    return answers.unionByName(upper.where("source < 0"))
 
 
 class Automaton:
@@ -189,18 +264,19 @@ class Automaton:
         return back
 
 
-def score_blocks(dealt: DataFrame, answers: DataFrame, total: int, distinct: int, buckets: int, order: int = ORDER) -> DataFrame:
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_blocks(blocks: DataFrame, answers: DataFrame, total: int, distinct: int, order: int = ORDER) -> DataFrame:
+    """SCORES of all rows of the blocks."""
 
-    def walk(docs: pa.Table, got: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({x.split()[0]: pa.array([], t) for x, t in zip(schema.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+    def walk(held: pa.Table, got: pa.Table) -> pa.Table:
+        docs = unpacked(held.column("packed")[0].as_buffer())
         grams = Grams(docs, order)
-        by_bucket = sorted(zip(got.column("bucket").to_pylist(), got.column("counts").to_pylist(), strict=True))
+        parts = sorted(zip(got.column("gram").to_pylist(), got.column("bucket").to_pylist(), got.column("counts"), strict=True), key=lambda x: x[:2])
         counts = []
         for k in range(order):
-            parts = [unplanes(raw) for b, raw in by_bucket if b // buckets == k]
-            counts.append(np.concatenate(parts or [np.zeros(0, np.uint64)]).astype(np.int64))
+            counts.append(np.concatenate([np.zeros(0, np.uint64), *(unplanes(raw.as_buffer()) for g, _, raw in parts if g == k)]).astype(np.int64))
             if len(counts[k]) != len(grams.keys[k]):
                 raise RuntimeError("a block's n-grams differ from those that it asked for")
         automaton = Automaton(grams, counts, total, distinct)
@@ -212,7 +288,8 @@ def score_blocks(dealt: DataFrame, answers: DataFrame, total: int, distinct: int
         base = np.bincount(row, automaton.arc[0][word[inner]], docs.num_rows)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(grams.first) - 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(docs.num_rows, total)), "base_score": pa.array(base), "score": pa.array(automaton.walk())})
 
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(walk, schema)
+    own = answers.where("source >= 0").select(F.col("source").alias("block"), "gram", "bucket", "counts")
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(walk, SCORES)
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held: Column | None = None) -> DataFrame:
@@ -220,11 +297,16 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (held_out(F.col(id_col)) if held is None else held).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0)).alias("n")).first().n
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    answers = materialize(count_answers(count_requests(dealt, buckets, order), buckets), "answers")
-    known = answers.where("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
-    return score_blocks(dealt, answers, known.total, known.distinct, buckets, order)
+    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    # a bucket's share of a group of FAN blocks; it is split FAN times as groups join
+    buckets = max(1, -(-min(size, FAN * BLOCK_BYTES) // BUCKET_BYTES))
+    blocks = materialize(store_blocks(rows, n_blocks), "blocks")
+    answers = None
+    for grams in ((0, 1), *((k,) for k in range(2, order))):
+        some = materialize(global_counts(block_requests(blocks, buckets, tuple(k for k in grams if k < order)), n_blocks, buckets), "answers")
+        answers = some if answers is None else answers.unionByName(some)
+    known = answers.where("source = -1 and gram = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    return score_blocks(blocks, answers, known.total, known.distinct, order)
 
 
 __all__ = ["Automaton", "Grams", "held_out", "score_documents"]
