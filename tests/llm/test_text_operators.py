@@ -453,6 +453,56 @@ def test_digests_match_plain_python(spark):
 # pages
 
 
+def body(source):
+    page = htmltext.Page(source)
+    return page.text(np.zeros(len(page.lines), bool))
+
+
+def test_structure_leaves_an_articles_own_parts():
+    assert body('<article><div class="article-header"><h1>T</h1></div><p class="share-price">5 up</p><ul class="search-results"><li>one</li></ul><div class="notice">x</div><div class="ad-slot">x</div><div class="commentList">x</div><div class="articleHeader">y</div><div class="comments">x</div><form>x</form></article>') == "T\n\n5 up\n\none\n\ny"
+    assert body('<form id="f"><div class="site-nav">m</div><main><p>a</p><math><mi>x</mi></math></main></form>') == "a\n\nx"
+    assert body("<form><p>all in a form</p></form>") == "all in a form"
+    assert body("<p>text</p><form><p>search</p></form><object>o</object>") == "text\n\no"
+
+
+def test_differencing_decides_what_structure_cannot(spark):
+    """Unmarked pages whose frame no tag or class names: with differencing off it would stay."""
+    rnd = random.Random(1)
+    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(12))
+    texts = {i: [line(), line()] for i in range(12)}
+    page = lambda i: "<div>Home of the news</div>" + "".join(f"<p>{t}</p>" for t in texts[i]) + "<div>All rights reserved since 1999</div>"
+    pages = [(i, f"http://h.example/p/{i:02}", page(i), "t", 7) for i in range(12)] + [(99, "http://other.example/", page(0), "t", 7)]
+    schema = "page_id long, url string, html string, text string, n_differenced long"
+    got = {r.page_id: r for r in htmltext.main_texts(spark.createDataFrame(pages, schema)).collect()}
+    assert {i: got[i].text for i in texts} == {i: "\n\n".join(t) for i, t in texts.items()}
+    assert all(got[i].n_differenced == 2 and got[i].n_structural == 0 for i in texts)
+    assert body(page(3)) != got[3].text and got[99].text == body(page(0))
+    marked = [(i, u, h.replace("<p>", "<article><p>", 1).replace("</p><div>", "</p></article><div>"), t, n) for i, u, h, t, n in pages]
+    got = {r.page_id: r for r in htmltext.main_texts(spark.createDataFrame(marked, schema)).collect()}
+    assert {i: got[i].text for i in texts} == {i: "\n\n".join(t) for i, t in texts.items()}
+    assert all(got[i].n_differenced == 2 for i in texts) and got[99].n_structural == 2
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "<p>" + "word " * 60_000 + "</p>" + "<p>x</p>" * 3000 + "</article>"
+    rows = [(1, None, None, 1), (2, "", "", 1), (3, "http://h/", "   ", 1), (4, "http://h/", "<nav>m</nav>", 1), (5, "http://[bad", "<p>t</p>", 1), (6, "http://h/6", long, 1), (6, "http://h/6", long, 1), (None, "http://h/7", "<p>n</p>", 1)]
+    got = sorted(((r.page_id or 0, r.url or "", r.text) for r in htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, lines int")).collect()), key=str)
+    want = "word " * 60_000
+    assert got == sorted([(1, "", ""), (2, "", ""), (3, "http://h/", ""), (4, "http://h/", ""), (5, "http://[bad", "t"), *[(6, "http://h/6", "\n\n".join([want.strip(), *["x"] * 3000]))] * 2, (0, "http://h/7", "n")], key=str)
+
+
+@pytest.mark.parametrize("bits", [0, 40, 1 << 28])
+def test_split_alignments_are_as_long(monkeypatch, bits):
+    rng = np.random.default_rng(bits)
+    for _ in range(60):
+        a, b = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 40))
+        monkeypatch.setattr(htmltext, "ROW_BITS", 1 << 28)
+        whole = htmltext.common_lines(a, b)
+        monkeypatch.setattr(htmltext, "ROW_BITS", bits)
+        x, y = htmltext.common_lines(a, b)
+        assert x.sum() == y.sum() == whole[0].sum() and (a[x] == b[y]).all()
+
+
 def test_common_lines_are_a_longest_subsequence():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
