@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,10 +50,26 @@ def test_each_stage_decides_on_what_it_is_given(spark, tables):
         before = ids(docs)
     (a, language), (_, quality), (c, near), (_, clean) = kept
     assert a - language == {i for i in a if i % 40 == 4 and not any(map(str.isalpha, texts[i] or ""))}
-    assert good <= quality and not {i for i in quality if i % 8 == 1}
+    # the sample is as large as the labelled share of good documents, and SLACK more, asks for
+    assert good <= quality and len({i for i in quality if i % 8 == 1}) == math.ceil((136 / 156 + corpus_pipeline.quality.SLACK) * len(language)) - 204
     roots = brute_components([(i, texts[i]) for i in c], corpus_pipeline.SIMILARITY)
     assert near == {i for i in c if roots[i][1] == i}
     assert near - clean == {i for i in near if i % 40 == 3} and good & near <= clean
     whole = corpus_pipeline.run(spark, where)
     assert ids(whole) == clean
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_dedup", "decontaminate", "pack"]
+
+
+def test_stages_of_no_rows(spark, tables):
+    where, docs, _, _ = tables
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), where).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, tables):
+    where, docs, _, _ = tables
+    mine = docs.selectExpr("*", "'mine' AS kept", "9.5D AS score", "1 AS n_ngrams", "2 AS log_ratio", "'l' AS lang_pred", "3 AS sample_key", "4L AS component_id", "5 AS doc_key", "6 AS c0")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, mine, where)
+        assert left.columns == mine.columns and left.dtypes == mine.dtypes
+        assert left.where("kept = 'mine' AND score = 9.5 AND n_ngrams = 1 AND log_ratio = 2 AND lang_pred = 'l' AND sample_key = 3 AND component_id = 4 AND doc_key = 5 AND c0 = 6").count() == left.count() > 0
