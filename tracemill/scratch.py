@@ -22,12 +22,14 @@ _shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none."""
+    """The shared folder. Where the session names none, a local session gets a temporary one; on a cluster that is an error, as executors could not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -1,7 +1,9 @@
 """Structured Streaming ingestion: raw events into an events table, with rebuilds of the shards that a batch touches.
 
 Exact deduplication of unbounded ids has no watermark, so each micro-batch is
-matched with the table instead of a state store: the table is the state.
+matched with the table instead of a state store: the table is the state. An
+event's identity hashes its time, so a repeat can only lie in its own hour
+shard, and of the table only the shards that a batch touches are read.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tracemill.operators import events as ev
 from tracemill.operators import snapshots
 from tracemill.schemas import EVENT_COLUMNS
+from tracemill.scratch import materialize
+
+#: Shards of a micro-batch that may be broadcast, so that others' partitions are not read.
+BROADCAST_SHARDS = 100_000
 
 
 class EventTable:
@@ -34,8 +40,11 @@ class EventTable:
 
     def ingest(self, raw: DataFrame, batch_id: int) -> DataFrame:
         """Identify a batch, drop what earlier batches hold, append the rest; the shards that it touched."""
-        pointers = ev.pointers(ev.with_identities(raw))
-        new = ev.accepted(pointers, self.frame(batch_id)).withColumn("batch_id", F.lit(batch_id))
+        pointers = materialize(ev.pointers(ev.with_identities(raw)), "pointers")
+        shards = snapshots.affected_shards(pointers)
+        held = self.frame(batch_id)
+        held = held.join(F.broadcast(shards) if shards.count() <= BROADCAST_SHARDS else shards, "shard_path", "left_semi").select(*held.columns)
+        new = ev.accepted(pointers, held).withColumn("batch_id", F.lit(batch_id))
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "shard_path").parquet(self.path)
         return snapshots.affected_shards(self.spark.read.schema(EVENT_COLUMNS + ", batch_id long").parquet(self.path).where(F.col("batch_id") == batch_id))
 
