@@ -54,6 +54,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted now: they go when the driver collects their plans, which it may do late. For
+    large steps whose results are stored."""
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for df in frames:
