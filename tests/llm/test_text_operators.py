@@ -241,7 +241,8 @@ def brute_resample(docs, labels, noise, slack):
     grams = lambda t: (w := spaced(t)) and [*((x,) for x in w), *zip(w, w[1:])]
     good = {i for i, q, t in labels if q == 1 and not t and i is not None}
     raw, target = Counter(g for _, t in docs for g in grams(t)), Counter(g for i, t in docs if i in good for g in grams(t))
-    n_raw, n_target, prior = sum(raw.values()), sum(target.values()), quality.PRIOR
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    prior = min(quality.PRIOR, n_target)
     ratio = {g: math.log((target[g] + prior * c / n_raw) / (n_target + prior) / (c / n_raw)) for g, c in raw.items()}
     sums = [(i, len(grams(t)), sum(ratio[g] for g in grams(t))) for i, t in docs]
     best = {}

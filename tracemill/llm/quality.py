@@ -38,7 +38,7 @@ from tracemill.scratch import discard, materialize, ship_package
 BITS = 16
 BUCKETS = 1 << BITS
 MOST_LABELS = 100_000
-#: Pseudo-counts that draw the target model to the raw one.
+#: Pseudo-counts that draw the target model to the raw one, but never more than the target's own counts.
 PRIOR = 65_536.0
 #: The share of documents kept beyond the labelled share of good ones.
 SLACK = 0.015
@@ -101,7 +101,8 @@ def fit(docs: DataFrame, good: np.ndarray, *, id_col: str = "doc_id", text_col:
         return Model(np.zeros(BUCKETS))
     share = raw / raw.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log((target + PRIOR * share) / (target.sum() + PRIOR) / share)
+        prior = min(PRIOR, target.sum())
+        ratio = np.log((target + prior * share) / (target.sum() + prior) / share)
     return Model(np.where(raw > 0, ratio, 0.0))
 
 
