@@ -75,7 +75,9 @@ def test_a_stored_snapshot_mines_as_a_fresh_one(spark, done, tmp_path):
     assert {r.feature_id for r in snapshots.read(spark, f"file://{tmp_path}/s").features.collect()} == {json.loads(x.pointer)["featureId"] for x in done.recorder.artifacts().collect() if x.family == "feature-occurrence"}
 
 
-def test_local_ids_of_many_ranges(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_local_ids_by_ranges_and_by_shards(spark, monkeypatch, most):
+    monkeypatch.setattr(snapshots, "SHARD_ROWS", most)
     rows = [(i, "a" if i % 3 else "b") for i in range(5000)]
     got = snapshots.with_local_ids(spark.createDataFrame(rows, "seq long, shard_path string").repartition(16)).collect()
     want, at = {}, {"a": 0, "b": 0}

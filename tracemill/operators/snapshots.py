@@ -1,7 +1,7 @@
 """Hour shards: dense local ids, posting tokens, edges and their manifest.
 
 A snapshot is a set of frames over one shard or, with ``shard=None``, over all
-shards at once, partitioned by shard_path; its events are written once. Mining reads these frames and
+shards at once, partitioned by shard_path. Mining reads these frames and
 never payloads.
 """
 
@@ -37,9 +37,20 @@ def affected_shards(events: DataFrame) -> DataFrame:
     return events.select("shard_path").distinct()
 
 
+#: Rows of the largest shard up to which a shard is numbered in one task.
+SHARD_ROWS = 4_000_000
+
+
 def with_local_ids(events: DataFrame) -> DataFrame:
-    """Adds local_id: 1, 2, ... by seq in each shard. Rows are dealt by ranges of (shard, seq) and numbered within them, so a shard
-    of any size spreads over tasks; the counts of shards in ranges, a row each, say where a range goes on. Written once."""
+    """Adds local_id: 1, 2, ... by seq in each shard.
+
+    Where a shard has more than SHARD_ROWS rows, rows are dealt by ranges of
+    (shard, seq) and numbered within them, so a shard of any size spreads over
+    tasks; the counts of shards in ranges, a row each, say where a range goes on.
+    """
+    largest = events.groupBy("shard_path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+    if (largest or 0) <= SHARD_ROWS:
+        return events.withColumn("local_id", F.row_number().over(Window.partitionBy("shard_path").orderBy("seq")).cast("long"))
     dealt = events.repartitionByRange("shard_path", "seq").withColumn("__part", F.spark_partition_id())
     dealt = materialize(dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part", "shard_path").orderBy("seq"))), "shards")
     sizes = dealt.groupBy("shard_path", "__part").agg(F.count(F.lit(1)).alias("n"))
