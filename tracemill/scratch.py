@@ -8,8 +8,10 @@ losing an executor never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -57,6 +59,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries deleted now: they go when the driver collects their plans, which it may do late. For
     large steps whose results are stored."""
+    gc.collect()  # Python's own references to plans first
+    time.sleep(1)  # listeners still hold the last query's plan for a moment
     spark._jvm.System.gc()
 
 
