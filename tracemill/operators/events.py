@@ -13,6 +13,7 @@ from tracemill.functions import identity, paths
 from tracemill.operators.components import components
 from tracemill.scratch import discard, materialize, ship_package
 
+# The provenance that the identity of an event without one hashes.
 UNKNOWN_PROVENANCE = {"source": "unknown", "observedBy": "omega-claw", "ingestionPipeline": "event-trace-v0"}
 RAW_COLUMNS = "seq long, payload string, observed_at string, actor_path array<string>, channel_path array<string>, value_kind string, content_type string, preview string, provenance string, parent_event_ids array<string>, root_event_id string, input_event_ids array<string>, output_artifact_ids array<string>"
 IDENTITY_COLUMNS = "payload_json string, payload_cid string, envelope string, event_id string, event_cid string, iso string"
