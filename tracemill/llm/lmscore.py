@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
-from tracemill.scratch import materialize, ship_package
+from tracemill.scratch import free_shuffles, materialize, ship_package
 
 ORDER = 3
 GROWTH = 0.85
@@ -301,9 +301,11 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # a bucket's share of a group of FAN blocks; it is split FAN times as groups join
     buckets = max(1, -(-min(size, FAN * BLOCK_BYTES) // BUCKET_BYTES))
     blocks = materialize(store_blocks(rows, n_blocks), "blocks")
+    free_shuffles(docs.sparkSession)
     answers = None
     for grams in ((0, 1), *((k,) for k in range(2, order))):
         some = materialize(global_counts(block_requests(blocks, buckets, tuple(k for k in grams if k < order)), n_blocks, buckets), "answers")
+        free_shuffles(docs.sparkSession)
         answers = some if answers is None else answers.unionByName(some)
     known = answers.where("source = -1 and gram = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     return score_blocks(blocks, answers, known.total, known.distinct, order)
