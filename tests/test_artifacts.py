@@ -75,6 +75,37 @@ def test_a_stored_snapshot_mines_as_a_fresh_one(spark, done, tmp_path):
     assert {r.feature_id for r in snapshots.read(spark, f"file://{tmp_path}/s").features.collect()} == {json.loads(x.pointer)["featureId"] for x in done.recorder.artifacts().collect() if x.family == "feature-occurrence"}
 
 
+def most_joined_rows(df):
+    """The rows of the largest join that ``df`` ran, by its plan's own figures."""
+    df.collect()
+    left, most = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in kind:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_a_feature_written_for_many_events_is_joined_once(spark):
+    """A feature is one artifact, though each of its writers adds a row: joined by rows, tokens would take their number squared."""
+    n, seen = 200, F.col("seq").cast("string")
+    rows = spark.range(n).select(F.col("id").alias("seq"))
+    made = lambda family, id_, **fields: rows.select("seq", F.lit(family).alias("family"), id_.alias("id"), F.lit("c").alias("cid"), F.lit("b").alias("body"), identity.sorted_json(**fields).alias("pointer"))
+    written = made("feature", F.lit("feature:1"), featureId=F.lit("feature:1"), featureType=F.lit("topic")).unionByName(made("feature-occurrence", F.concat(F.lit("o"), seen), featureId=F.lit("feature:1"), sourceEventId=F.concat(F.lit("e"), seen)))
+    keys, none = F.array(F.lit("/a")), F.array().cast("array<string>")
+    events = rows.select("seq", F.concat(F.lit("e"), seen).alias("event_id"), F.lit("k").alias("value_kind"), keys.alias("actor_keys"), keys.alias("channel_keys"), F.lit("r").alias("root_event_id"), none.alias("parent_event_ids"), F.lit("/2031").alias("shard_path"))
+    tokens = snapshots.build(events, written).tokens.where("token like 'feature%'")
+    assert most_joined_rows(tokens) == n
+    assert {(r.token, r["count"]) for r in tokens.groupBy("token").count().collect()} == {("feature:feature:1", n), ("feature.type:topic", n)}
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_local_ids_by_ranges_and_by_shards(spark, monkeypatch, most):
     monkeypatch.setattr(snapshots, "SHARD_ROWS", most)

@@ -78,7 +78,7 @@ def build(events: DataFrame, artifacts: DataFrame | None = None, shard: str | No
         tokens = tokens.unionByName(seen.select("shard_path", F.explode(F.array(F.concat(F.lit("claim:"), "claim_id"), F.lit("artifact.kind:claim-occurrence"))).alias("token"), "local_id"))
         focc = artifacts.where("family = 'feature-occurrence'").select(art.field("sourceEventId").alias("event_id"), F.col("id").alias("occurrence_id"), art.field("featureId").alias("feature_id"), "seq")
         features = focc.join(ids.select("event_id"), "event_id", "left_semi")
-        types = artifacts.where("family = 'feature'").select(F.col("id").alias("feature_id"), art.field("featureType").alias("feature_type"))
+        types = artifacts.where("family = 'feature'").select(F.col("id").alias("feature_id"), art.field("featureType").alias("feature_type")).distinct()  # a feature is written once for each document that has it
         seen = focc.join(ids, "event_id").join(types, "feature_id", "left")
         both = F.array_compact(F.array(F.concat(F.lit("feature:"), "feature_id"), F.concat(F.lit("feature.type:"), "feature_type")))
         tokens = tokens.unionByName(seen.select("shard_path", F.explode(both).alias("token"), "local_id"))
