@@ -50,6 +50,34 @@ def test_units_encode_as_whole_texts(name):
     assert got == want
 
 
+class NoOffsets:
+    """A tokenizer that refuses the calls which also track character offsets: those take a sixth more time."""
+
+    def __init__(self, tokenizer):
+        self.normalizer, self.encode_batch_fast = tokenizer.normalizer, tokenizer.encode_batch_fast
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_are_encoded_without_offsets(name):
+    texts = [t or "" for t in ODD] + ["one two,\n\nthree ", "", " \t"]
+    enc = UnitEncoder(json_of(name))
+    want = [e.ids + [2] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    enc.tokenizer = NoOffsets(enc.tokenizer)
+    assert [ids[at[i] : at[i + 1]].tolist() for lo, hi, ids, at in enc.chunks(pa.array(texts), 2) for i in range(hi - lo)] == want
+
+
+@pytest.mark.parametrize("n, symbols", [(0, 5), (1, 1), (3, 1), (64, 2), (70, 3), (5000, 40), (60000, 50000)])
+def test_codes_are_laid_out_bit_by_bit(n, symbols):
+    ids = (np.random.default_rng(n).zipf(1.3, n) % symbols).astype("<u2")
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=symbols))
+    codes = huffman.canonical_codes(lengths)
+    bits, marks = huffman.encode_bits(ids, lengths, codes)
+    spelt = [f"{codes[i]:0{lengths[i]}b}" for i in ids]
+    whole = "".join(spelt)
+    assert bits == bytes(int(whole[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(whole), 8))
+    assert marks.tolist() == [sum(map(len, spelt[:i])) for i in range(0, n, huffman.STRIDE)]
+
+
 def plain_first_fit(sizes, capacity):
     room, out = [], {}
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):

@@ -90,13 +90,17 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
     begin = end - size
-    value = codes[ids].astype(np.uint64) << (np.uint64(32) - size.astype(np.uint64) - (begin & 7).astype(np.uint64))
-    n_bytes = (int(end[-1]) + 7) // 8 if len(ids) else 0
-    out, at = np.zeros(n_bytes + 4), begin >> 3
-    for k in range(4):  # codes never share a bit, so sums of bytes are their unions
-        part = (value >> np.uint64(24 - 8 * k)) & np.uint64(255)
-        out += np.bincount(at + k, part, len(out))[: len(out)]
-    return out[:n_bytes].astype(np.uint8).tobytes(), begin[::STRIDE]
+    if not len(ids):
+        return b"", begin
+    word, room = begin >> 6, 64 - (begin & 63) - size  # a code goes into one word of 64 bits, and on into the next without room
+    value, over = codes[ids].astype(np.uint64), np.flatnonzero(room < 0)
+    first = value << np.maximum(room, 0).astype(np.uint64)
+    first[over] = value[over] >> (-room[over]).astype(np.uint64)
+    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
+    out[word[heads]] = np.add.reduceat(first, heads)  # codes never share a bit, so sums are their unions
+    out[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], begin[::STRIDE]
 
 
 def decode_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:

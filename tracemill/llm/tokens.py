@@ -11,6 +11,7 @@ white space than ASCII's, or a special token's string) are encoded whole.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 from tracemill.llm.textarrays import CHUNK_BYTES, mix, row_chunks, utf8, word_hashes, words
 
-SPACES = " \t\n\v\f\r"
+SPACES = b" \t\n\v\f\r"
 CASED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 MOST_UNITS = 1_000_000
 _encoders: dict[tuple[int, int], "UnitEncoder"] = {}
@@ -72,6 +73,7 @@ class UnitEncoder:
 
     def __init__(self, tokenizer_json: str, most_units: int = MOST_UNITS):
         self.most_units = most_units
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         model = json.loads(tokenizer_json)
         suffix = model["model"].get("end_of_word_suffix") or ""
@@ -89,28 +91,32 @@ class UnitEncoder:
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text, without the character offsets that it otherwise tracks."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in a row, ids in each), from units encoded as runs of text of some thousand characters."""
         flat, counts = [], []
         for i in range(0, len(units), 400):
             part = units[i : i + 400]
             if self.spaced:
-                text, bounds = "".join(part), [len(u.encode()) for u in part]
+                text, bounds = b"".join(part).decode(), list(map(len, part))
             else:  # this kind drops white space and changes case first, which can change sizes
-                text = self.tokenizer.normalizer.normalize_str(" ".join(u.strip(SPACES) for u in part))
+                text = self.tokenizer.normalizer.normalize_str(b" ".join(u.strip(SPACES) for u in part).decode())
                 pieces = text.split(" ")
                 bounds = [len(u.encode()) for u in pieces] if len(pieces) == len(part) else []
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64) if text else np.zeros(0, np.int64)
+            ids = np.array(self._library([text])[0], np.int64) if text else np.zeros(0, np.int64)
             reach, ends = np.cumsum(self.sizes[ids]), np.cumsum(bounds)
             cut = np.searchsorted(reach, ends, "right")
             if not len(bounds) or np.any(np.concatenate([[0], reach])[cut] != ends) or cut[-1] != len(ids):
-                each = [self.tokenizer.encode(u, add_special_tokens=False).ids for u in part]
+                each = self._library([u.decode() for u in part])
                 ids, cut = np.array([x for e in each for x in e], np.int64), np.cumsum([len(e) for e in each])
             flat.append(ids.astype(np.uint32))
             counts.append(np.diff(cut, prepend=0))
         return np.concatenate(flat), np.concatenate(counts)
 
-    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
         flat, counts = self._ids_of(units)
         at = self.known.size
         while at + len(keys) > len(self.begin):
@@ -164,7 +170,7 @@ class UnitEncoder:
                 self._forget(len(keys))
             raw = data.tobytes()
             b, e = begins[missing[where]].tolist(), ends[missing[where]].tolist()
-            self._learn(keys, [raw[i:j].decode("utf-8") for i, j in zip(b, e, strict=True)])
+            self._learn(keys, [raw[i:j] for i, j in zip(b, e, strict=True)])
             slot[missing] = self.known.find(hashes[missing])
         counts = self.count[slot]
         flat = self.pool[_spans(self.begin[slot], counts)]
@@ -173,7 +179,7 @@ class UnitEncoder:
         if whole.any():
             for r in np.flatnonzero(whole).tolist():
                 text = data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8")
-                direct[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                direct[r] = np.array(self._library([text])[0], np.uint32)
                 sizes[r] = len(direct[r])
         at = np.zeros(len(offsets), np.int64)
         np.cumsum(sizes + 1, out=at[1:])
