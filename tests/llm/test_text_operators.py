@@ -1,7 +1,9 @@
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -224,6 +226,38 @@ def test_scores_of_no_rows(none):
     assert lmscore.score_documents(none).count() == 0
 
 
+def shuffle_files(spark):
+    """The names of the shuffle files that this session's block manager holds."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {os.path.basename(x) for x in held.split("\n") if os.path.basename(x).startswith("shuffle_")}
+
+
+def test_each_round_of_scoring_leaves_no_shuffle_files(spark, monkeypatch):
+    """Rounds' shuffle files must not add up on disk, whenever the driver collects its garbage; nor do requests and sums outlive their round."""
+    monkeypatch.setattr(lmscore, "FAN", 2)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 700)
+    kept, seen, before = lmscore.materialize, [], set()
+
+    def stored(df, tag, **how):
+        if not seen:  # the size of the input has been summed
+            before.update(shuffle_files(spark))
+        out = kept(df, tag, **how)
+        for _ in range(50):  # executors delete in their own time
+            if not shuffle_files(spark) - before:
+                break
+            time.sleep(0.1)
+        seen.append((tag, len(shuffle_files(spark) - before), out))
+        return out
+
+    monkeypatch.setattr(lmscore, "materialize", stored)
+    texts = spark.createDataFrame([(i, f"a b c {i} d " * 30) for i in range(12)], "doc_id long, text string")
+    scored = lmscore.score_documents(texts)
+    assert {"requests", "upper", "answers"} <= {tag for tag, _, _ in seen} and not [(tag, n) for tag, n, _ in seen if n]
+    left = [tag for tag, _, out in seen if os.path.exists(out._scratch_path.removeprefix("file:").replace("///", "/"))]
+    assert left == ["blocks", "answers", "answers"] and scored.count() == 12
+
+
 # quality
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.textarrays import hashed_words, mix, row_chunks, tidied, utf8
-from tracemill.scratch import free_shuffles, materialize, ship_package
+from tracemill.scratch import discard, materialize, ship_package
 
 ORDER = 3
 GROWTH = 0.85
@@ -176,8 +176,11 @@ def _answers(table: pa.Table, sizes: list[int], totals: np.ndarray, inverse: np.
     return [(*i, planes(totals[inverse[a:b]]), None, None) for i, a, b in zip(ids, cut[:-1], cut[1:], strict=True)]
 
 
-def global_counts(requests: DataFrame, sources: int, buckets: int) -> DataFrame:
-    """ANSWER rows: global counts for every request; and a row a bucket (source -1) with distinct and total of training n-grams."""
+def global_counts(requests: DataFrame, sources: int, buckets: int, spent: list[DataFrame]) -> DataFrame:
+    """ANSWER rows: global counts for every request; and a row a bucket (source -1) with distinct and total of training n-grams.
+
+    ``spent`` gets the scratch tables that can go once the answers are stored.
+    """
     if sources <= FAN:
 
         def add_up(key: tuple, table: pa.Table) -> pa.Table:
@@ -191,7 +194,8 @@ def global_counts(requests: DataFrame, sources: int, buckets: int) -> DataFrame:
         return requests.groupBy("gram", "bucket").applyInArrow(add_up, ANSWER)
 
     fan, finer = FAN, buckets * FAN
-    held = materialize(requests, "requests").withColumn("parent", F.floor(F.col("source") / fan))
+    stored = materialize(requests, "requests", free=True)
+    held = stored.withColumn("parent", F.floor(F.col("source") / fan))
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         parent, gram, bucket = (k.as_py() for k in key)
@@ -206,7 +210,10 @@ def global_counts(requests: DataFrame, sources: int, buckets: int) -> DataFrame:
             raise RuntimeError("a group's n-grams differ from those that it asked for")
         return pa.Table.from_batches([_as_table(_answers(asked, sizes, totals, inverse), ANSWER)])
 
-    upper = materialize(global_counts(held.groupBy("parent", "gram", "bucket").applyInArrow(merge, REQUEST), -(-sources // fan), finer), "upper")
+    above: list[DataFrame] = []
+    upper = materialize(global_counts(held.groupBy("parent", "gram", "bucket").applyInArrow(merge, REQUEST), -(-sources // fan), finer, above), "upper", free=True)
+    discard(*above)
+    spent += [stored, upper]
     own = upper.where("source >= 0").select(F.col("source").alias("parent"), "gram", F.col("bucket"), F.floor(F.col("bucket") / fan).alias("coarse"), "counts")
     answers = held.groupBy("parent", "gram", "bucket").cogroup(own.groupBy("parent", "gram", "coarse")).applyInArrow(hand_down, ANSWER)
     return answers.unionByName(upper.where("source < 0"))
@@ -300,12 +307,12 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     # a bucket's share of a group of FAN blocks; it is split FAN times as groups join
     buckets = max(1, -(-min(size, FAN * BLOCK_BYTES) // BUCKET_BYTES))
-    blocks = materialize(store_blocks(rows, n_blocks), "blocks")
-    free_shuffles(docs.sparkSession)
+    blocks = materialize(store_blocks(rows, n_blocks), "blocks", free=True)
     answers = None
     for grams in ((0, 1), *((k,) for k in range(2, order))):
-        some = materialize(global_counts(block_requests(blocks, buckets, tuple(k for k in grams if k < order)), n_blocks, buckets), "answers")
-        free_shuffles(docs.sparkSession)
+        spent: list[DataFrame] = []
+        some = materialize(global_counts(block_requests(blocks, buckets, tuple(k for k in grams if k < order)), n_blocks, buckets, spent), "answers", free=True)
+        discard(*spent)
         answers = some if answers is None else answers.unionByName(some)
     known = answers.where("source = -1 and gram = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     return score_blocks(blocks, answers, known.total, known.distinct, order)

@@ -8,16 +8,16 @@ losing an executor never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Whether Spark deletes a query's shuffle files as the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -46,24 +46,29 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to shared scratch and read it back: lineage ends here."""
+def materialize(df: DataFrame, tag: str, *, free: bool = False) -> DataFrame:
+    """Write ``df`` to shared scratch and read it back: lineage ends here.
+
+    With ``free``, Spark deletes the write's shuffle files as it ends. Otherwise
+    they go when the driver happens to collect the plan; for large steps.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free and before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        elif free:
+            spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of finished queries deleted now: they go when the driver collects their plans, which it may do late. For
-    large steps whose results are stored."""
-    gc.collect()  # Python's own references to plans first
-    time.sleep(1)  # listeners still hold the last query's plan for a moment
-    spark._jvm.System.gc()
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for df in frames:
