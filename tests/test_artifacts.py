@@ -13,7 +13,7 @@ from tracemill.operators import postings as px
 from tracemill.plans import flow
 from tracemill.schemas import FAMILIES
 from tracemill.scratch import scratch_root
-from tracemill.sources import objects
+from tracemill.sources import objects, tables
 
 
 @pytest.fixture(scope="module")
@@ -118,6 +118,24 @@ def test_local_ids_by_ranges_and_by_shards(spark, monkeypatch, most):
     assert {r.seq: r.local_id for r in got} == want
 
 
+def test_a_large_shard_is_numbered_by_several_tasks(spark):
+    """One window over a shard of hundreds of thousands of rows would sort them in one task, for each part of a snapshot again."""
+    n = 3 * snapshots.SHARD_ROWS
+    rows = spark.range(0, 2 * n, 2).select(F.col("id").alias("seq"), F.lit("/2031").alias("shard_path"))
+    got = snapshots.with_local_ids(rows).withColumn("task", F.spark_partition_id())
+    assert got.where("local_id <> seq / 2 + 1").count() == 0
+    sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert sum(sizes) == n and max(sizes) < n
+
+
+def test_repeated_documents_have_an_occurrence_each(spark, tmp_path):
+    """As in SQL: a claim's id comes from its own row, so rows of one id are not paired with each other."""
+    spark.createDataFrame([(1, "en", "web"), (1, "en", "web"), (2, "de", "web")], "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = tables.artifacts(spark, str(tmp_path)).groupBy("family", "seq").count().collect()
+    assert {(r.family, r.seq): r["count"] for r in found} == {(f, s): 3 - s for s in (1, 2) for f in ("run", "claim", "claim-occurrence", "feature", "feature-occurrence")}
+
+
 def test_compacted_postings_name_their_snapshot(spark):
     tokens = spark.createDataFrame([("s", "t", 5), ("s", "t", 2), ("u", "t", 1)], "shard_path string, token string, local_id long")
     named = spark.createDataFrame([("s", "cid-of-s")], "shard_path string, snapshot_cid string")

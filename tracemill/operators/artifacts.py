@@ -109,10 +109,15 @@ def field(name: str, kind: str = "string") -> Column:
     return text if kind == "string" else F.from_json(text, kind) if kind.startswith(("array", "map", "struct")) else text.cast(kind)
 
 
+def with_claims(cores: DataFrame) -> DataFrame:
+    """Adds body, cid and id of the claim of each row's subject, predicate and object: each is canonical JSON text."""
+    parts = F.concat(F.lit('{"kind":"claim","object":'), "object", F.lit(',"predicate":'), "predicate", F.lit(',"schema":"claim-core-v0.1","subject":'), "subject", F.lit("}"))
+    return cores.withColumn("body", parts).withColumn("cid", identity.cid_column(F.col("body"))).withColumn("id", identity.content_id_column("claim", F.col("body")))
+
+
 def claim_rows(cores: DataFrame) -> DataFrame:
     """Claim artifacts of (seq, subject, predicate, object): each part is canonical JSON text."""
-    parts = F.concat(F.lit('{"kind":"claim","object":'), "object", F.lit(',"predicate":'), "predicate", F.lit(',"schema":"claim-core-v0.1","subject":'), "subject", F.lit("}"))
-    made = cores.withColumn("body", parts).withColumn("cid", identity.cid_column(F.col("body"))).withColumn("id", identity.content_id_column("claim", F.col("body")))
+    made = with_claims(cores)
     keys = {f"{p}Key": identity.content_id_column(p, F.col(p)) for p in ("subject", "predicate", "object")}
     pointer = identity.sorted_json(kind=F.lit("claim-pointer"), schema=F.lit("claim-pointer-v0.1"), claimId=F.col("id"), claimCid=F.col("cid"), **keys)
     return made.select("seq", F.lit("claim").alias("family"), "id", "cid", "body", pointer.alias("pointer"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import identity
 from tracemill.functions.paths import day_key
 from tracemill.operators.snapshots import Snapshot
+from tracemill.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,7 @@ def mine_parent_child_motif(snapshot: Snapshot, parent_kind: str, child_kind: st
 def attached_claims(snapshot: Snapshot, occurrences: DataFrame) -> DataFrame:
     """Occurrences with claim_occurrence_ids: those of their events, in participation order, then in the order written."""
     key = ["shard_path", "root_event_id", "event_ids"]
+    occurrences = materialize(occurrences, "occurrences")  # read twice
     each = occurrences.select(*key, F.posexplode("event_ids").alias("place", "event_id")).join(snapshot.claims, "event_id")
     lists = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "seq", "occurrence_id"))).alias("o"))
     return occurrences.join(lists, key, "left").withColumn("claim_occurrence_ids", F.coalesce(F.transform("o", lambda x: x["occurrence_id"]), F.array().cast("array<string>"))).drop("o")

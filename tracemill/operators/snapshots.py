@@ -7,6 +7,7 @@ never payloads.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -37,27 +38,32 @@ def affected_shards(events: DataFrame) -> DataFrame:
     return events.select("shard_path").distinct()
 
 
-#: Rows of the largest shard up to which a shard is numbered in one task.
-SHARD_ROWS = 4_000_000
+#: Rows of the largest shard up to which a shard is numbered in one task, and parts of a larger one at most.
+SHARD_ROWS, SHARD_PARTS = 100_000, 200
 
 
 def with_local_ids(events: DataFrame) -> DataFrame:
     """Adds local_id: 1, 2, ... by seq in each shard.
 
-    Where a shard has more than SHARD_ROWS rows, rows are dealt by ranges of
-    (shard, seq) and numbered within them, so a shard of any size spreads over
-    tasks; the counts of shards in ranges, a row each, say where a range goes on.
+    Where a shard has more than SHARD_ROWS rows, shards are cut into parts at
+    approximate quantiles of seq. Parts are numbered within them, so a shard of
+    any size spreads over tasks; the rows of earlier parts, a count each, say
+    where a part goes on. Columns that nobody asks for are not computed for it.
     """
-    largest = events.groupBy("shard_path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
-    if (largest or 0) <= SHARD_ROWS:
+    rows = F.count(F.lit(1)).alias("n")
+    largest = events.groupBy("shard_path").agg(rows).agg(F.max("n").alias("n")).first().n or 0
+    if largest <= SHARD_ROWS:
         return events.withColumn("local_id", F.row_number().over(Window.partitionBy("shard_path").orderBy("seq")).cast("long"))
-    dealt = events.repartitionByRange("shard_path", "seq").withColumn("__part", F.spark_partition_id())
-    dealt = materialize(dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part", "shard_path").orderBy("seq"))), "shards")
-    sizes = dealt.groupBy("shard_path", "__part").agg(F.count(F.lit(1)).alias("n"))
+    n = min(SHARD_PARTS, -(-largest // max(1, SHARD_ROWS)))
+    quantiles = F.percentile_approx("seq", [k / n for k in range(1, n)] or [0.5])
+    cuts = materialize(events.groupBy(F.col("shard_path").alias("__shard")).agg(F.array_distinct(quantiles).alias("__cuts")), "cuts")
+    parted = lambda df: df.join(cuts, F.col("shard_path").eqNullSafe(F.col("__shard")), "left").withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col("seq")))).drop("__shard", "__cuts")
+    sizes = parted(events.select("shard_path", "seq")).groupBy("shard_path", "__part").agg(rows)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard_path").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = sizes.select(F.col("shard_path").alias("__shard"), F.col("__part").alias("__range"), before.alias("__before"))
-    joined = dealt.join(begins, F.col("shard_path").eqNullSafe(F.col("__shard")) & (F.col("__part") == F.col("__range")))
-    return materialize(joined.select(*events.columns, (F.col("__before") + F.col("__place")).cast("long").alias("local_id")), "local_ids")
+    begins = materialize(sizes.select(F.col("shard_path").alias("__shard"), F.col("__part").alias("__range"), before.alias("__before")), "begins")
+    place = F.row_number().over(Window.partitionBy("shard_path", "__part").orderBy("seq"))
+    placed = parted(events).withColumn("__place", place).join(begins, F.col("shard_path").eqNullSafe(F.col("__shard")) & (F.col("__part") == F.col("__range")))
+    return placed.select(*events.columns, (F.col("__before") + F.col("__place")).cast("long").alias("local_id"))
 
 
 def build(events: DataFrame, artifacts: DataFrame | None = None, shard: str | None = None) -> Snapshot:
@@ -66,23 +72,25 @@ def build(events: DataFrame, artifacts: DataFrame | None = None, shard: str | No
         events = events.where(F.array_contains("time_keys", shard)).withColumn("shard_path", F.lit(shard))
     ev = with_local_ids(events).withColumn("actor_key", leaf_key(F.col("actor_keys"))).withColumn("channel_key", leaf_key(F.col("channel_keys")))
     named = F.array(F.concat(F.lit("event.kind:"), "value_kind"), F.concat(F.lit("actor:"), "actor_key"), F.concat(F.lit("channel:"), "channel_key"), F.concat(F.lit("root:"), "root_event_id"))
-    tokens = ev.select("shard_path", F.explode(named).alias("token"), "local_id")
+    tokens = ev.select("shard_path", F.explode(F.array_distinct(named)).alias("token"), "local_id")
     ids = ev.select("event_id", "shard_path", "local_id")
     edges = parent_edges(events).join(ids.select(F.col("event_id").alias("child"), "shard_path"), "child").select("shard_path", "parent", "child", "seq", "pos")
     none = ev.sparkSession.createDataFrame([], "event_id string, occurrence_id string, claim_id string, seq long")
     claims, features = none, none.withColumnRenamed("claim_id", "feature_id")
     if artifacts is not None:
         occ = artifacts.where("family = 'claim-occurrence'").select(art.field("sourceEventId").alias("event_id"), F.col("id").alias("occurrence_id"), art.field("claimId").alias("claim_id"), "seq")
-        claims = occ.join(ids.select("event_id"), "event_id", "left_semi")
-        seen = occ.join(ids, "event_id")
-        tokens = tokens.unionByName(seen.select("shard_path", F.explode(F.array(F.concat(F.lit("claim:"), "claim_id"), F.lit("artifact.kind:claim-occurrence"))).alias("token"), "local_id"))
+        ids = materialize(ids, "ids")  # several parts read these
+        claims = materialize(occ.join(ids.select("event_id"), "event_id", "left_semi"), "claims")
+        seen = claims.join(ids, "event_id")
+        written = seen.select("shard_path", F.explode(F.array(F.concat(F.lit("claim:"), "claim_id"), F.lit("artifact.kind:claim-occurrence"))).alias("token"), "local_id")
         focc = artifacts.where("family = 'feature-occurrence'").select(art.field("sourceEventId").alias("event_id"), F.col("id").alias("occurrence_id"), art.field("featureId").alias("feature_id"), "seq")
-        features = focc.join(ids.select("event_id"), "event_id", "left_semi")
+        features = materialize(focc.join(ids.select("event_id"), "event_id", "left_semi"), "features")
         types = artifacts.where("family = 'feature'").select(F.col("id").alias("feature_id"), art.field("featureType").alias("feature_type")).distinct()  # a feature is written once for each document that has it
-        seen = focc.join(ids, "event_id").join(types, "feature_id", "left")
+        seen = features.join(ids, "event_id").join(types, "feature_id", "left")
         both = F.array_compact(F.array(F.concat(F.lit("feature:"), "feature_id"), F.concat(F.lit("feature.type:"), "feature_type")))
-        tokens = tokens.unionByName(seen.select("shard_path", F.explode(both).alias("token"), "local_id"))
-    return Snapshot(shard, ev, tokens.distinct(), edges, claims, features)
+        written = written.unionByName(seen.select("shard_path", F.explode(both).alias("token"), "local_id"))
+        tokens = tokens.unionByName(written.distinct())
+    return Snapshot(shard, ev, tokens, edges, claims, features)
 
 
 def posting_lists(snapshot: Snapshot) -> DataFrame:
@@ -112,10 +120,14 @@ def write(snapshot: Snapshot, path: str) -> None:
     shards = snapshot.events.select("event_id", "shard_path")
     parts = {"events": snapshot.events, "tokens": snapshot.tokens, "edges": snapshot.edges, "claims": snapshot.claims.join(shards, "event_id"), "features": snapshot.features.join(shards, "event_id")}
     second = {"events": "local_id", "tokens": "token", "edges": "seq", "claims": "seq", "features": "seq"}
-    for name, frame in parts.items():
-        named = frame.select(*(c.split()[0] for c in LAYOUTS[name].split(", ")))
+
+    def put(name: str) -> None:
+        named = parts[name].select(*(c.split()[0] for c in LAYOUTS[name].split(", ")))
         named.repartitionByRange("shard_path", second[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_path").parquet(f"{path}/{name}")
 
+    with ThreadPoolExecutor(len(parts)) as pool:  # one part's last tasks leave cores to the next
+        list(pool.map(put, parts))
+
 
 def read(spark, path: str, shard: str | None = None) -> Snapshot:
     """A written snapshot with its claims and features; a shard reads its own partition alone."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import identity, paths
-from tracemill.operators.artifacts import claim_rows
+from tracemill.operators.artifacts import claim_rows, with_claims
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pointer = identity.sorted_json
     runs = docs.select(F.col("doc_id").alias("seq"), F.lit("run").alias("family"), run_id.alias("id"), identity.cid_column(F.col("lang")).alias("cid"), F.col("lang").alias("body"), pointer(runId=run_id, runType=F.lit("claim-feature-extraction"), extractorKey=F.concat(F.lit("extractor/"), "lang"), minerKey=F.lit(""), reasonerKey=F.lit(""), inputEventIds=F.array(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))), outputArtifactIds=F.array().cast("array<string>")).alias("pointer"))
     source = F.concat(F.lit("doc:"), F.col("seq").cast("string"))
-    claim_id = claims.select("seq", F.col("id").alias("claim_id"), F.col("cid").alias("claim_cid"))
-    occ = made.join(claim_id, "seq").withColumn("polarity", F.when(F.col("toxic") == 1, "denied").otherwise("asserted"))
+    occ = with_claims(made).withColumnsRenamed({"id": "claim_id", "cid": "claim_cid"}).drop("body").withColumn("polarity", F.when(F.col("toxic") == 1, "denied").otherwise("asserted"))
     body = F.concat_ws("|", "claim_id", source, run_id, "polarity")
     occ_id = identity.content_id_column("claim-occ", body)
     occurrences = occ.select("seq", F.lit("claim-occurrence").alias("family"), occ_id.alias("id"), identity.cid_column(body).alias("cid"), body.alias("body"), pointer(occurrenceId=occ_id, claimId=F.col("claim_id"), claimCid=F.col("claim_cid"), sourceEventId=source, sourcePayloadCid=identity.cid_column(source), extractionRunId=run_id, polarity=F.col("polarity")).alias("pointer"))
