@@ -120,7 +120,7 @@ def test_local_ids_by_ranges_and_by_shards(spark, monkeypatch, most):
 
 def test_a_large_shard_is_numbered_by_several_tasks(spark):
     """One window over a shard of hundreds of thousands of rows would sort them in one task, for each part of a snapshot again."""
-    n = 3 * snapshots.SHARD_ROWS
+    n = 300_000
     rows = spark.range(0, 2 * n, 2).select(F.col("id").alias("seq"), F.lit("/2031").alias("shard_path"))
     got = snapshots.with_local_ids(rows).withColumn("task", F.spark_partition_id())
     assert got.where("local_id <> seq / 2 + 1").count() == 0
