@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.corpus import document
+from tracemill import artifact_queries
 from tracemill.functions import deltas, identity
 from tracemill.operators import artifacts as art
 from tracemill.operators import facts, metrics, mining, snapshots
@@ -136,6 +137,44 @@ def test_repeated_documents_have_an_occurrence_each(spark, tmp_path):
     assert {(r.family, r.seq): r["count"] for r in found} == {(f, s): 3 - s for s in (1, 2) for f in ("run", "claim", "claim-occurrence", "feature", "feature-occurrence")}
 
 
+def test_a_snapshot_stored_at_once_is_the_one_built_and_written(spark, done, tmp_path):
+    events, artifacts = done.recorder.events(), done.recorder.artifacts()
+    snapshots.write(snapshots.build(events, artifacts), f"file://{tmp_path}/built")
+    snapshots.store(events, artifacts, f"file://{tmp_path}/stored")
+    built, stored = (snapshots.read(spark, f"file://{tmp_path}/{x}") for x in ("built", "stored"))
+    for part in snapshots.LAYOUTS:
+        want, got = (sorted(map(str, getattr(s, part).collect())) for s in (built, stored))
+        assert got == want and got
+    with pytest.raises(Exception, match="already exists"):
+        snapshots.store(events, artifacts, f"file://{tmp_path}/stored")
+
+
+def test_a_stored_occurrence_is_drawn_once(spark, done, tmp_path):
+    """Every pointer is built and parsed once, though several parts of a snapshot are made of it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(pointer):
+        calls.add(1)
+        return pointer
+
+    artifacts = done.recorder.artifacts()
+    n = artifacts.where("family in ('claim-occurrence', 'feature-occurrence', 'feature')").count()
+    drawn = artifacts.withColumn("pointer", F.udf(seen, "string")("pointer"))
+    snapshots.write(snapshots.build(done.recorder.events(), drawn), f"file://{tmp_path}/s")
+    assert calls.value == n
+
+
+def test_occurrences_of_repeated_events_are_stored_once(spark, tmp_path):
+    """A shard that has an event twice has each of its occurrences once, and tokens for both of its places."""
+    spark.createDataFrame([(1, "a", "en", "web"), (1, "b", "en", "web"), (2, "c", "de", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = artifact_queries.stored_snapshot_components(spark, str(tmp_path)).groupBy("kind", "event_id").count().collect()
+    assert {(r.kind, r.event_id): r["count"] for r in rows} == {("claim", "doc:1"): 2, ("claim", "doc:2"): 1, ("feature", "doc:1"): 2, ("feature", "doc:2"): 1}
+    snap = snapshots.build(tables.document_events(spark, str(tmp_path)), tables.artifacts(spark, str(tmp_path)))
+    assert snap.claims.count() == snap.features.count() == 3
+    assert snap.tokens.where("token = 'artifact.kind:claim-occurrence'").count() == 3
+
+
 def test_compacted_postings_name_their_snapshot(spark):
     tokens = spark.createDataFrame([("s", "t", 5), ("s", "t", 2), ("u", "t", 1)], "shard_path string, token string, local_id long")
     named = spark.createDataFrame([("s", "cid-of-s")], "shard_path string, snapshot_cid string")

@@ -167,7 +167,7 @@ def snapshot_artifact_tokens(spark, sf_dir):
 def _stored(spark: SparkSession, sf_dir: str) -> snapshots.Snapshot:
     """The documents' snapshot, written and read again."""
     path = scratch_path(spark, "snapshot")
-    snapshots.write(snapshots.build(tables.document_events(spark, sf_dir), tables.artifacts(spark, sf_dir)), path)
+    snapshots.store(tables.document_events(spark, sf_dir), tables.artifacts(spark, sf_dir), path)
     return snapshots.read(spark, path)
 
 
