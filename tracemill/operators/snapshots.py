@@ -185,11 +185,13 @@ def store(events: DataFrame, artifacts: DataFrame, path: str) -> None:
     shard by its task, while the occurrences are drawn; all else is made of
     the stored events.
     """
+    ev = _named(events)
     with ThreadPoolExecutor(4) as pool:
-        drawn = pool.submit(_occurrences, artifacts)
-        _part(_named(events), "events", path, "errorifexists")
-        held = _held(events.sparkSession, path, "events")
-        parts = _parts(_snapshot(None, held, held, held, drawn.result()))
+        put = pool.submit(_part, ev, "events", path, "errorifexists")  # the longest, so first
+        drawn = _occurrences(artifacts)
+        put.result()
+        held = _held(ev.sparkSession, path, "events")
+        parts = _parts(_snapshot(None, held, held, held, drawn))
         list(pool.map(lambda name: _part(parts[name], name, path), parts))
 
 
